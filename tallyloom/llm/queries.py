@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing
+from . import decontaminate, line_dedup, mixing, near_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1,
+    "op2_near_dedup": near_dedup.op2,
     "op8_mixing": mixing.op8,
     "op9_line_dedup": line_dedup.op9,
+    "op10_token_counts": token_counts.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
