@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, near_dedup, quality, token_counts, toxicity
+from . import decontaminate, language_id, line_dedup, mixing, near_dedup, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1,
     "op2_near_dedup": near_dedup.op2,
     "op4_quality": quality.op4,
     "op5_toxicity": toxicity.op5,
+    "op7_language_id": language_id.op7,
     "op8_mixing": mixing.op8,
     "op9_line_dedup": line_dedup.op9,
     "op10_token_counts": token_counts.op10,
