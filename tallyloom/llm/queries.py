@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, mixing, near_dedup, quality, token_counts, toxicity
+from . import decontaminate, language_id, line_dedup, mixing, near_dedup, nearest, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1,
     "op2_near_dedup": near_dedup.op2,
+    "op3_nearest_neighbours": nearest.op3,
     "op4_quality": quality.op4,
     "op5_toxicity": toxicity.op5,
     "op7_language_id": language_id.op7,
