@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
-from tallyloom.llm.frames import discard, materialise, table
+from tallyloom.llm.frames import discard, materialise, set_aside, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that ten documents or more share; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs)
+    held, back = set_aside(docs, {"n_lines", "n_dropped"})
+    kept = line_dedup.dedup_lines(held)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    return kept.select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

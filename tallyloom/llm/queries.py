@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, line_dedup, mixing, near_dedup, nearest, quality, token_counts, toxicity
+from . import decontaminate, language_id, language_model, line_dedup, mixing, near_dedup, nearest, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nearest_neighbours": nearest.op3,
     "op4_quality": quality.op4,
     "op5_toxicity": toxicity.op5,
+    "op6_language_model": language_model.op6,
     "op7_language_id": language_id.op7,
     "op8_mixing": mixing.op8,
     "op9_line_dedup": line_dedup.op9,
