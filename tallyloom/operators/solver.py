@@ -95,9 +95,66 @@ def examples_from_any(df: DataFrame, raw: str, name: str = "parsed") -> DataFram
     return df.mapInArrow(run, schema)
 
 
-def _matches(examples: Column, name: str) -> Column:
-    """How many examples a transform explains."""
-    return F.size(F.filter(examples, lambda e: TRANSFORMS[name](e["left"], e["right"]) == e["output"]))
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used and wherever filters are pushed."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _named(**columns: Column) -> Column:
+    return F.struct(*(c.alias(n) for n, c in columns.items()))
+
+
+SOLVED = ("rule_type", "normalized_answer", "solver_answer", "verified", "confidence", "failure_type", "matched_examples", "total_examples", "solver_notes")
+
+
+def _solution(question: Column, answer: Column, examples: Column) -> Column:
+    names = list(TRANSFORMS)
+    listed = F.array(*map(F.lit, names))
+    text = lambda c: c.cast("string")
+
+    def explained(s: Column) -> Column:
+        """Of each example: does it have the question's operator, and which transforms explain it?"""
+        hits = F.transform(s["all"], lambda e: _named(own=F.coalesce(e["op"] == s["q"]["op"], F.lit(False)), by=F.array(*(fn(e["left"], e["right"]) == e["output"] for fn in TRANSFORMS.values()))))
+        return let(_named(q=s["q"], answer=s["answer"], hits=hits, own=F.filter(hits, lambda h: h["own"])), counted)
+
+    def count(hits: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.size(F.filter(hits, lambda h: F.get(h["by"], k))))
+
+    def counted(s: Column) -> Column:
+        return let(_named(q=s["q"], answer=s["answer"], n=F.size(s["hits"]), n_own=F.size(s["own"]), counts=count(s["hits"]), own_counts=count(s["own"])), induced)
+
+    def first(counts: Column, n: Column) -> Column:
+        return F.when(n > 0, F.get(listed, F.nullif(F.array_position(counts, n), F.lit(0)).cast("int") - 1))
+
+    def induced(s: Column) -> Column:
+        most = F.array_max(s["counts"])
+        best = F.get(listed, F.array_position(s["counts"], most).cast("int") - 1)
+        return let(_named(q=s["q"], answer=s["answer"], n=s["n"], n_own=s["n_own"], most=most, best=best, whole=first(s["counts"], s["n"]), part=first(s["own_counts"], s["n_own"])), ruled)
+
+    def ruled(s: Column) -> Column:
+        q, n, n_own, whole, part = s["q"], s["n"], s["n_own"], s["whole"], s["part"]
+        rule = F.when(q.isNull(), "").otherwise(F.coalesce(whole, F.concat(F.lit("operator_conditioned_rule:"), q["op"], F.lit(":"), part), F.lit("")))
+        matched = F.when(q.isNull() | (n == 0), 0).when(whole.isNotNull(), n).when(part.isNotNull(), n_own).otherwise(s["most"])
+        notes = (
+            F.when(q.isNull(), "could not parse question expression").when(n == 0, "no examples; refusing fallback verification")
+            .when(whole.isNotNull(), F.concat(F.lit("rule matches all "), text(n), F.lit(" examples")))
+            .when(part.isNotNull(), F.concat(F.lit("operator-conditioned rule matches "), text(n_own), F.lit(" examples with op "), q["op"]))
+            .otherwise(F.concat(F.lit("no rule matched all examples; best="), s["best"], F.lit(" matched "), text(s["most"]), F.lit("/"), text(n)))
+        )
+        return let(_named(q=q, answer=s["answer"], n=n, rule=rule, matched=matched, notes=notes), applied)
+
+    def applied(s: Column) -> Column:
+        solved = F.when(s["rule"] != "", apply_rule(s["rule"], s["q"]["left"], s["q"]["right"])).otherwise("")
+        return let(_named(q=s["q"], answer=s["answer"], n=s["n"], rule=s["rule"], matched=s["matched"], notes=s["notes"], solved=solved), judged)
+
+    def judged(s: Column) -> Column:
+        none, unruled = s["q"].isNull(), s["rule"] == ""
+        verified = ~unruled & (s["answer"] != "") & (s["solved"] == s["answer"])
+        failure = F.when(none, "extraction failure").when(unruled & (s["n"] == 0), "guess failure").when(unruled, "wrong operator rule").when(verified, "").when(s["answer"] == "", "answer format failure").otherwise("answer mismatch")
+        confidence = F.when(none, "none").when(unruled, "low").when(verified & (s["matched"] == s["n"]), "high").when(s["solved"] != "", "medium").otherwise("low")
+        return _named(rule_type=s["rule"], normalized_answer=s["answer"], solver_answer=s["solved"], verified=verified, confidence=confidence, failure_type=failure, matched_examples=s["matched"].cast("long"), total_examples=s["n"].cast("long"), solver_notes=s["notes"])
+
+    return let(_named(q=parse_expression(question), answer=clean_answer(answer), all=F.coalesce(examples, F.array().cast(T.ArrayType(EXAMPLE)))), explained)
 
 
 def solve(df: DataFrame, *, question: str = "question", answer: str = "answer", examples: str = "parsed") -> DataFrame:
@@ -107,39 +164,7 @@ def solve(df: DataFrame, *, question: str = "question", answer: str = "answer",
     The first transform that explains every example is the rule; else the first that explains every example with the
     question's operator.
     """
-    names = list(TRANSFORMS)
-    q = F.col("_q")
-    staged = df.withColumns({"_q": parse_expression(F.col(question)), "_answer": clean_answer(F.col(answer)), "_all": F.coalesce(examples, F.array().cast(T.ArrayType(EXAMPLE)))})
-    staged = staged.withColumn("_own", F.filter("_all", lambda e: e["op"] == F.col("_q.op")))
-    staged = staged.withColumns({"_n": F.size("_all"), "_n_own": F.size("_own"), "_counts": F.array(*(_matches(F.col("_all"), n) for n in names)), "_own_counts": F.array(*(_matches(F.col("_own"), n) for n in names))})
-    first = lambda counts, total: F.coalesce(*(F.when(F.get(counts, F.lit(k)) == F.col(total), F.lit(n)) for k, n in enumerate(names)))
-    best = F.array_max("_counts")
-    staged = staged.withColumns({
-        "_global": F.when(F.col("_n") > 0, first("_counts", "_n")),
-        "_conditioned": F.when(F.col("_n_own") > 0, first("_own_counts", "_n_own")),
-        "_best": F.get(F.array(*map(F.lit, names)), (F.array_position("_counts", best) - 1).cast("int")), "_most": best,
-    })
-    op = F.col("_q.op")
-    rule = F.when(q.isNull(), "").otherwise(F.coalesce(F.col("_global"), F.concat(F.lit("operator_conditioned_rule:"), op, F.lit(":"), F.col("_conditioned")), F.lit("")))
-    staged = staged.withColumn("rule_type", rule)
-    has_rule = F.col("rule_type") != ""
-    matched = F.when(q.isNull() | (F.col("_n") == 0), 0).when(F.col("_global").isNotNull(), F.col("_n")).when(F.col("_conditioned").isNotNull(), F.col("_n_own")).otherwise(F.col("_most"))
-    text = lambda c: F.col(c).cast("string")
-    notes = (
-        F.when(q.isNull(), "could not parse question expression")
-        .when(F.col("_n") == 0, "no examples; refusing fallback verification")
-        .when(F.col("_global").isNotNull(), F.concat(F.lit("rule matches all "), text("_n"), F.lit(" examples")))
-        .when(F.col("_conditioned").isNotNull(), F.concat(F.lit("operator-conditioned rule matches "), text("_n_own"), F.lit(" examples with op "), op))
-        .otherwise(F.concat(F.lit("no rule matched all examples; best="), F.col("_best"), F.lit(" matched "), text("_most"), F.lit("/"), text("_n")))
-    )
-    staged = staged.withColumns({"matched_examples": matched.cast("long"), "total_examples": F.col("_n").cast("long"), "solver_notes": notes, "solver_answer": F.when(has_rule, apply_rule(F.col("rule_type"), F.col("_q.left"), F.col("_q.right"))).otherwise("")})
-    verified = has_rule & (F.col("_answer") != "") & (F.col("solver_answer") == F.col("_answer"))
-    staged = staged.withColumns({"normalized_answer": F.col("_answer"), "verified": verified})
-    staged = staged.withColumns({
-        "failure_type": F.when(q.isNull(), "extraction failure").when(~has_rule & (F.col("_n") == 0), "guess failure").when(~has_rule, "wrong operator rule").when(F.col("verified"), "").when(F.col("_answer") == "", "answer format failure").otherwise("answer mismatch"),
-        "confidence": F.when(q.isNull(), "none").when(~has_rule, "low").when(F.col("verified") & (F.col("matched_examples") == F.col("total_examples")), "high").when(F.col("solver_answer") != "", "medium").otherwise("low"),
-    })
-    return staged.drop(*(c for c in staged.columns if c.startswith("_") and c not in df.columns))
+    return df.withColumn("_solved", _solution(F.col(question), F.col(answer), F.col(examples))).withColumns({c: F.col(f"_solved.{c}") for c in SOLVED}).drop("_solved")
 
 
 def reasoning_text(*, category: Column, question: Column, examples: Column, rule: Column, solver_answer: Column) -> Column:
