@@ -177,7 +177,7 @@ def cases(joined: DataFrame, category: str, *, order: str, include_fragile: bool
         priority = bit_numeral_priority(kind, F.col("category"), solver, synthetic, answer_min)
     return rows.select(
         "problem_id", "category", "subcategory", F.substring("question", 1, 300).alias("question"), "gold_answer", "pred_answer", "is_correct", "min_logprob", "answer_min_logprob", "failure_type", "failure_reason",
-        solver.alias("solver_check_possible"), synthetic.alias("synthetic_generation_possible"), lookup(kind, templates, default).alias("recommended_template"), priority.alias("example_priority"), F.col(order),
+        solver.alias("solver_check_possible"), synthetic.alias("synthetic_generation_possible"), lookup(kind, templates, default).alias("recommended_template"), priority.alias("example_priority"), *([] if order == "problem_id" else [F.col(order)]),
     )
 
 

@@ -90,11 +90,11 @@ TOKENS = """tokens0 AS (
 STATS = f"""{TOKENS}, stats0 AS (
   SELECT *, list_min(token_logprobs) AS low, list_position(tokens, 'the answer is') AS start FROM tokens0
 ), stats1 AS (
-  SELECT *, list_position(token_logprobs, low) AS at, CASE WHEN start > 0 THEN list_slice(token_logprobs, start, len(token_logprobs)) END AS answer FROM stats0
+  SELECT *, list_position(token_logprobs, low) AS pos, CASE WHEN start > 0 THEN list_slice(token_logprobs, start, len(token_logprobs)) END AS answer FROM stats0
 ), stats AS (
   SELECT problem_id, round_even(low, 4) AS min_logprob, round_even(list_sum(token_logprobs) / len(token_logprobs), 4) AS mean_logprob, round_even(list_min(answer), 4) AS answer_min_logprob, round_even(list_sum(answer) / len(answer), 4) AS answer_mean_logprob,
-    len(list_filter(token_logprobs, lambda x: x < {fixed.LOW_LOGPROB}))::BIGINT AS low_conf_token_count, tokens[at] AS lowest_logprob_token, array_to_string(tokens[greatest(1, at - 5):at + 5], '') AS lowest_logprob_context,
-    coalesce(len(list_filter(answer, lambda x: x < {fixed.LOW_LOGPROB})), 0)::BIGINT AS answer_low_conf_token_count, array_to_string(tokens[greatest(1, at - 5):at - 1], '') AS left_context, array_to_string(tokens[at + 1:at + 5], '') AS right_context,
+    len(list_filter(token_logprobs, lambda x: x < {fixed.LOW_LOGPROB}))::BIGINT AS low_conf_token_count, tokens[pos] AS lowest_logprob_token, array_to_string(tokens[greatest(1, pos - 5):pos + 5], '') AS lowest_logprob_context,
+    coalesce(len(list_filter(answer, lambda x: x < {fixed.LOW_LOGPROB})), 0)::BIGINT AS answer_low_conf_token_count, array_to_string(tokens[greatest(1, pos - 5):pos - 1], '') AS left_context, array_to_string(tokens[pos + 1:pos + 5], '') AS right_context,
     CASE WHEN start > 0 THEN start - 1 END AS answer_start
   FROM stats1
 )"""
