@@ -8,8 +8,10 @@ a Jaccard similarity of at least ``percent`` / 100 are linked; groups are what l
   first collection and one of the second: ``bands**2`` tables of ``2 * rows`` hashes from ``2 * bands * rows`` hashes.
   At similarity s a pair meets in some table with probability ``(1 - (1 - s**rows)**bands)**2``: 0.99998 at 0.8 with
   the defaults.  Bands that no second class holds are dropped before keys are formed.
-* Candidates are verified on full sets.  In each bucket a class is first compared with one leader only; then with another
-  leader where a bucket still spans components; then every pair of a bucket across components.
+* Candidates are verified on full sets.  A class is first compared with one leader of its buckets; then, where a bucket
+  still spans components, with the member that has most company, its centre.  What is left are pairs of a bucket
+  across components.  Sizes, intersections with the common centre and a bitmap of the shingles beyond it bound
+  their similarity from above; pairs whose bound falls short are passed over, all others are compared.
   Pairs within one component need no comparison, as the result is the components.
 * Components come from alternating star contractions; nothing is gathered on the driver.
 
@@ -34,6 +36,7 @@ from .frames import discard, free_name, materialise, table
 ROWS = 3
 BANDS = 16
 BROADCAST_IDS = 1 << 18
+BITMAP = 8
 
 
 def _sets(chunk: ts.Chunk, shingle: int) -> list[np.ndarray]:
@@ -85,18 +88,22 @@ def signatures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     return docs.select(doc_id, text).mapInArrow(run, schema)
 
 
-def table_keys(classes: DataFrame, bands: int = BANDS) -> DataFrame:
-    """(key, id, size) of the buckets that can hold two classes: pairs of bands that are both shared."""
+def shared_bands(classes: DataFrame, bands: int = BANDS) -> DataFrame:
+    """(id, size, first, second): of each collection the bands that a second class has, in order."""
     each = classes.select("id", "size", F.posexplode("bands").alias("place", "band"))
     shared = each.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("band")
     met = each.join(shared, "band")
     own = met.groupBy("id", "size").agg(
-        F.collect_list(F.when(F.col("place") < bands, F.col("band"))).alias("first"),
-        F.collect_list(F.when(F.col("place") >= bands, F.col("band"))).alias("second"),
+        F.array_sort(F.collect_list(F.when(F.col("place") < bands, F.col("band")))).alias("first"),
+        F.array_sort(F.collect_list(F.when(F.col("place") >= bands, F.col("band")))).alias("second"),
     )
-    pairs = own.where((F.size("first") > 0) & (F.size("second") > 0)).select("id", "size", F.explode("first").alias("a"), "second").select("id", "size", "a", F.explode("second").alias("b"))
-    keyed = pairs.select(F.xxhash64("a", "b").alias("key"), "id", "size")
-    return keyed
+    return own.where((F.size("first") > 0) & (F.size("second") > 0))
+
+
+def table_keys(shared: DataFrame) -> DataFrame:
+    """(key, id, size) of the buckets that can hold two classes: each pair of a band of both collections."""
+    pairs = shared.select("id", "size", F.explode("first").alias("a"), "second").select("id", "size", "a", F.explode("second").alias("b"))
+    return pairs.select(F.xxhash64("a", "b").alias("key"), "id", "size")
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -142,72 +149,108 @@ def _grams(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, shingle: int
     return wanted.mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """Of (u, v) pairs those whose full sets are similar enough, with both set sizes and their intersection."""
+def _compared(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(u, v) pairs compared on full sets: their common shingles, and what u has beyond v as a bitmap.
+
+    ``bits`` has a bit for the hash of each shingle of u that v lacks, ``hidden`` says how many of those share a bit.
+    """
     both = pairs.join(grams.select(F.col("id").alias("u"), F.col("grams").alias("gu")), "u").join(grams.select(F.col("id").alias("v"), F.col("grams").alias("gv")), "v").select("u", "v", "gu", "gv")
     kind = grams.schema["id"].dataType
-    schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
+    long = T.LongType()
+    schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind), *(T.StructField(c, long) for c in ("size_u", "size_v", "common", "hidden")), T.StructField("bits", T.ArrayType(long))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(len(batch), bool)
+            numbers = np.zeros((len(batch), 4), np.int64)
+            bits = np.zeros((len(batch), 64 * BITMAP), bool)
             for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                good[i] = 100 * common >= percent * (len(a) + len(b) - common) and common > 0
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["u", "v"])
+                mine = np.isin(a, b, assume_unique=True)
+                bits[i, (a[~mine] % np.uint64(64 * BITMAP)).astype(np.int64)] = True
+                numbers[i] = len(a), len(b), mine.sum(), (~mine).sum() - bits[i].sum()
+            words = np.packbits(bits, axis=1).view(np.int64).ravel()
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * BITMAP), pa.array(words))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c) for c in numbers.T.copy()), flat], names=schema.names)
 
     return both.mapInArrow(run, schema)
 
 
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where((F.col("common") > 0) & (F.col("common") * 100 >= (F.col("size_u") + F.col("size_v") - F.col("common")) * percent)).select("u", "v")
+
+
 def _alike(percent: int) -> Column:
     """Sizes that allow the similarity."""
     return F.least("size", "other") * 100 >= F.greatest("size", "other") * percent
 
 
+def _possible(percent: int) -> Column:
+    """False only where two sets can't be similar enough, as their intersections with one centre show.
+
+    Outside the centre they can share no more shingles than bits of both bitmaps and shingles hidden behind a bit; inside it
+    no more than the smaller of their intersections with it.
+    """
+    shared = F.least("hidden", "other_hidden")
+    for k in range(BITMAP):
+        shared = shared + F.bit_count(F.get("bits", F.lit(k)).bitwiseAND(F.get("other_bits", F.lit(k))))
+    beyond = F.least(F.col("size") - F.col("common"), F.col("other") - F.col("other_common"), shared)
+    most = F.least("common", "other_common") + beyond
+    return (F.col("centre") != F.col("other_centre")) | (most * (100 + percent) >= (F.col("size") + F.col("other")) * percent)
+
+
 def group(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of ``docs``."""
     signed = materialise(signatures(docs, doc_id=doc_id, text=text, shingle=shingle, rows=rows, bands=bands), "signatures")
     named = signed.where(F.col("id").isNotNull() & (F.col("size") > 0))
     classes = materialise(named.groupBy("set_a", "set_b", "size").agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("id")), "classes")
-    keys = materialise(table_keys(classes.select("id", "size", "bands"), bands), "table-keys")
+    shared = materialise(shared_bands(classes.select("id", "size", "bands"), bands), "shared-bands")
+    keys = materialise(table_keys(shared), "table-keys")
 
-    def spanning(comps: DataFrame | None, lead: Column) -> DataFrame:
-        """Rows of buckets that still hold several components, each with its bucket's leader."""
+    def unsettled(comps: DataFrame | None) -> DataFrame:
+        """Rows of the buckets that still hold several components."""
         known = keys.withColumn("component", F.col("id")) if comps is None else keys.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        leaders = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct(lead.alias("order"), F.col("id"), F.col("component"), F.col("size"))).alias("lead")).where("least < most")
-        return known.join(leaders.select("key", "lead"), "key").select("key", "id", "size", "component", F.col("lead.id").alias("leader"), F.col("lead.component").alias("leader_component"), F.col("lead.size").alias("other"))
-
-    def to_leader(rows: DataFrame) -> DataFrame:
-        """One leader for each class: the least of its buckets."""
-        return rows.where((F.col("component") != F.col("leader_component")) & _alike(percent)).groupBy("id").agg(F.min("leader").alias("v")).select(F.col("id").alias("u"), "v")
-
-    first = materialise(to_leader(spanning(None, F.col("id"))), "pairs")
-    candidates = keys.select("id").distinct()
-    grams = materialise(_one_each(_grams(docs, candidates, doc_id, text, shingle)), "grams")
-    comps = materialise(components(_verified(first, grams, percent)), "components")
-    tested = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-
-    def joined(comps: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Components after the links among ``pairs``, and all tested pairs."""
-        ordered = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        fresh = materialise(ordered.join(tested, ["u", "v"], "left_anti"), "pairs")
-        links = _verified(fresh, grams, percent)
+        spans = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+        return known.join(spans, "key").select("key", "id", "size", "component")
+
+    def settle(comps: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after some more links."""
         for side in ("u", "v"):
             of = comps.select(F.col("id").alias(side), F.col("component").alias("c"))
             links = links.join(of, side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
         merged = materialise(components(links), "components")
         if merged.isEmpty():
-            return comps, tested.union(fresh)
+            return comps
         moved = comps.join(merged.select(F.col("id").alias("component"), F.col("component").alias("new")), "component", "left").select("id", F.coalesce("new", "component").alias("component"))
-        roots = merged.join(comps.select("id"), "id", "left_anti")
-        return materialise(moved.unionByName(roots), "components"), tested.union(fresh)
-
-    comps, tested = joined(comps, to_leader(spanning(comps, F.xxhash64("id", "key"))))
-    rest = materialise(spanning(comps, F.col("id")).select("key", "id", "size", "component"), "unsettled")
-    other = rest.select("key", F.col("id").alias("v"), F.col("size").alias("other"), F.col("component").alias("other_component"))
-    across = rest.join(other, "key").where((F.col("component") < F.col("other_component")) & _alike(percent)).select(F.col("id").alias("u"), "v")
-    comps, tested = joined(comps, across)
+        return materialise(moved.unionByName(merged.join(comps.select("id"), "id", "left_anti")), "components")
+
+    grams = materialise(_one_each(_grams(docs, keys.select("id").distinct(), doc_id, text, shingle)), "grams")
+
+    # a leader for each class: the least of its buckets
+    leaders = keys.groupBy("key").agg(F.min(F.struct("id", "size")).alias("lead"))
+    led = keys.join(leaders, "key").select("id", "size", F.col("lead.id").alias("v"), F.col("lead.size").alias("other")).where(F.col("id") != F.col("v"))
+    first = led.where(_alike(percent)).groupBy("id").agg(F.min("v").alias("v")).select(F.col("id").alias("u"), "v")
+    comps = materialise(components(_linked(_compared(first, grams), percent)), "components")
+
+    # a centre for each class: of its buckets' members the one with most company
+    rest = materialise(unsettled(comps), "unsettled")
+    company = rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("id").agg(F.sum("n").alias("company"))
+    best = rest.join(company, "id").groupBy("key").agg(F.max(F.struct("company", "id")).alias("best"))
+    centres = rest.select("key", "id").join(best, "key").groupBy("id").agg(F.max("best").alias("best")).select(F.col("id").alias("u"), F.col("best.id").alias("v"))
+    near = materialise(_compared(centres, grams), "centres")
+    comps = settle(comps, _linked(near.where("u <> v"), percent))
+
+    # what is left: classes outside their bucket's main component with all that their shingles beyond the centre allow
+    rest = materialise(unsettled(comps), "unsettled")
+    place = near.select(F.col("u").alias("id"), F.col("v").alias("centre"), "common", "hidden", "bits")
+    rest = rest.join(rest.groupBy("key").agg(F.mode("component").alias("main")), "key").join(place, "id").join(shared.select("id", "first", "second"), "id")
+    mine = rest.where(F.col("component") != F.col("main")).drop("main")
+    other = rest.select("key", *(F.col(c).alias(f"other_{c}" if c != "size" else "other") for c in ("id", "size", "component", "centre", "common", "hidden", "bits", "first", "second")))
+    # a pair meets in many buckets; the one of the least bands of both collections that it shares stands for all
+    least = lambda c: F.array_min(F.array_intersect(c, f"other_{c}"))
+    once = F.col("key") == F.xxhash64(least("first"), least("second"))
+    across = mine.join(other, "key").where((F.col("component") != F.col("other_component")) & _alike(percent) & _possible(percent) & once)
+    pairs = across.select(F.greatest("id", "other_id").alias("u"), F.least("id", "other_id").alias("v")).distinct()
+    comps = settle(comps, _linked(_compared(pairs, grams), percent))
 
     resolved = classes.select("set_a", "set_b", "size", "id").join(comps, "id", "left").select("set_a", "set_b", "size", F.coalesce("component", "id").alias("component"))
     out = signed.select("id", "size", "set_a", "set_b").join(resolved, ["set_a", "set_b", "size"], "left")
