@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +30,26 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, *, doc_id: str = "doc
     return docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select("label", text).limit(bound)
 
 
+def fitted(rows: DataFrame, fit: Callable[[pa.Array, np.ndarray], object]) -> object:
+    """A model of a bounded (label, text) sample, fitted in one task; the driver gets the model alone.
+
+    Rows are put in an order of their own, so the model doesn't depend on partitions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), pa.schema([("label", pa.int64()), ("text", pa.string())]))
+        keys = np.array([zlib.crc32(x.as_buffer()) if x.is_valid else 0 for chunk in table.column(1).chunks for x in chunk], np.int64)
+        table = table.take(pa.array(np.argsort(keys, kind="stable")))
+        labels = (table.column(0).to_numpy() > 0).astype(np.int64)
+        texts = table.column(1).combine_chunks()
+        del table
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, labels))], pa.binary())], names=["model"])
+
+    one = rows.select(F.col("label").cast("long").alias("label"), F.col("text").cast("string").alias("text")).repartition(1)
+    found = one.mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(found[0].model)) if found else fit(pa.array([], pa.string()), np.zeros(0, np.int64))
+
+
 def squash(raw: np.ndarray, cut: float, at: float) -> np.ndarray:
     """Raw scores as numbers from 0 to 1, with ``cut`` at ``at``."""
     return 1 / (1 + np.exp(-np.clip(raw - cut + np.log(at / (1 - at)), -40, 40)))

@@ -15,7 +15,6 @@ pass through, result columns replace columns of the same name.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import textscan as ts
 from .frames import remainder, set_aside, table
-from .labelled import sample, squash
+from .labelled import fitted, sample, squash
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7)
@@ -173,10 +172,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", **options) -> Model:
-    rows = sample(docs, labels, label, **options).toArrow()
-    texts = rows.column(1).to_pylist()
-    rows = rows.take(pa.array(sorted(range(len(texts)), key=lambda i: zlib.crc32((texts[i] or "").encode())), pa.int64()))  # one order whatever the partitions
-    return fit(rows.column(1).combine_chunks(), (rows.column(0).to_numpy() > 0).astype(np.int64))
+    return fitted(sample(docs, labels, label, **options), fit)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
