@@ -37,6 +37,7 @@ SMOOTHING = 0.01
 FOLDS, HELD_OUT = 4, 2
 SCAN_BYTES = 4 << 20
 WORDS_AT_ONCE = 1 << 14
+KEPT_WORDS = 1 << 20
 UNDETERMINED = "und"
 
 LETTERS = np.zeros(256, bool)
@@ -152,6 +153,38 @@ def _words(chunk: ts.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return np.repeat(spans.owner(), parts), number, starts[first], ends[first]
 
 
+class Distinct:
+    """Distinct words of several chunks: hashes in order, bytes, and a row of numbers for each."""
+
+    def __init__(self, columns: int):
+        self.hashes, self.values = np.zeros(0, np.uint64), np.zeros((0, columns))
+        self.data, self.starts, self.ends = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of known hashes, -1 for others."""
+        if not len(self):
+            return np.full(len(hashes), -1)
+        k = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+        return np.where(self.hashes[k] == hashes, k, -1)
+
+    def add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> None:
+        """Add the values of known words to theirs, and the words that are new."""
+        hashes = ts.span_hashes(data, starts, ends)
+        at = self.find(hashes)
+        self.values[at[at >= 0]] += values[at >= 0]
+        new = np.flatnonzero(at < 0)
+        size = (ends - starts)[new]
+        own = np.cumsum(size) + len(self.data)
+        self.starts, self.ends = np.concatenate([self.starts, own - size]), np.concatenate([self.ends, own])
+        self.data = np.concatenate([self.data, data[ts.expand(starts[new], size)]])
+        self.hashes, self.values = np.concatenate([self.hashes, hashes[new]]), np.concatenate([self.values, values[new]])
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.values, self.starts, self.ends = self.hashes[order], self.values[order], self.starts[order], self.ends[order]
+
+
 def _lattices(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[slice, Lattice]]:
     """Words of similar length together, some at a time."""
     for at in range(0, len(starts), WORDS_AT_ONCE):
@@ -171,12 +204,24 @@ class Model:
     prior: np.ndarray
     pieces: np.ndarray
 
-    def score(self, vocabulary: Vocabulary, chunk: ts.Chunk) -> np.ndarray:
-        owner, number, starts, ends = _words(chunk)
+    def logs(self, vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log probability of each word in each language."""
         logs = np.zeros((len(starts), len(self.languages)))
         order = np.argsort(ends - starts, kind="stable")
-        for part, lattice in _lattices(vocabulary, chunk.data, starts[order], ends[order]):
+        for part, lattice in _lattices(vocabulary, data, starts[order], ends[order]):
             logs[order[part]] = np.log(lattice.totals(lattice.forward(self.pieces)))
+        return logs
+
+    def score(self, vocabulary: Vocabulary, chunk: ts.Chunk, known: Distinct) -> np.ndarray:
+        """Log likelihood of each text in each language; ``known`` keeps words from chunk to chunk."""
+        owner, number, starts, ends = _words(chunk)
+        at = known.find(ts.span_hashes(chunk.data, starts, ends))
+        new = np.flatnonzero(at < 0)
+        logs = np.zeros((len(starts), len(self.languages)))
+        logs[at >= 0] = known.values[at[at >= 0]]
+        logs[new] = self.logs(vocabulary, chunk.data, starts[new], ends[new])
+        if len(known) < KEPT_WORDS:
+            known.add(chunk.data, starts[new], ends[new], logs[new])
         return np.stack([self.prior[k] + np.bincount(owner, logs[number, k], len(chunk)) for k in range(len(self.languages))], axis=1)
 
 
@@ -207,15 +252,24 @@ def train(docs: DataFrame, *, lang: str = "lang", text: str = "text", path: str
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vocabulary, (numbers, pieces) = vocabulary_of(model.value), shared.value
-            total = np.zeros(pieces.shape)
+            total, columns = np.zeros(pieces.shape), pieces.shape[1]
+            words = Distinct(columns)
+
+            def expected(words: Distinct) -> np.ndarray:
+                order = np.argsort(words.ends - words.starts, kind="stable")
+                parts = _lattices(vocabulary, words.data, words.starts[order], words.ends[order])
+                return sum((lattice.expected(pieces, words.values[order[part]]) for part, lattice in parts), np.zeros(pieces.shape))
+
             for batch in batches:
                 column = np.array([numbers[x] for x in batch.column(0).to_pylist()], np.int64)
                 for chunk in ts.chunks(batch.column(1), size=SCAN_BYTES):
                     owner, number, starts, ends = _words(chunk)
-                    weights = np.bincount(number * pieces.shape[1] + column[chunk.first + owner], minlength=len(starts) * pieces.shape[1]).reshape(len(starts), pieces.shape[1]).astype(float)
-                    order = np.argsort(ends - starts, kind="stable")
-                    for part, lattice in _lattices(vocabulary, chunk.data, starts[order], ends[order]):
-                        total += lattice.expected(pieces, weights[order[part]])
+                    weights = np.bincount(number * columns + column[chunk.first + owner], minlength=len(starts) * columns).reshape(len(starts), columns)
+                    words.add(chunk.data, starts, ends, weights.astype(float))
+                    if len(words) >= KEPT_WORDS:
+                        total += expected(words)
+                        words = Distinct(columns)
+            total += expected(words)
             at = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(total[at])], names=schema.names)
 
@@ -237,6 +291,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", path: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, vocabulary = shared.value, vocabulary_of(pieces.value)
+        known = Distinct(len(model.languages))
         for batch in batches:
             names, scores = [], []
             for chunk in ts.chunks(batch.column(place), size=SCAN_BYTES):
@@ -244,7 +299,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", path: str | N
                     names += [UNDETERMINED] * len(chunk)
                     scores += [0.0] * len(chunk)
                     continue
-                raw = model.score(vocabulary, chunk)
+                raw = model.score(vocabulary, chunk, known)
                 best = raw.argmax(axis=1)
                 sure = 1 / np.exp(raw - raw.max(axis=1, keepdims=True)).sum(axis=1)
                 letters = _has_letter(chunk)

@@ -71,3 +71,18 @@ def test_edges(spark):
     assert li.identify(docs.limit(0), model).count() == 0
     nothing = li.train(docs.limit(0))
     assert {r.lang_pred for r in li.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_distinct_words_add_up():
+    texts = [b"the cat the dog", b"a cat and the end", b""]
+    known, want = li.Distinct(1), {}
+    for t in texts:
+        data = np.frombuffer(t, np.uint8)
+        chunk = li.ts.Chunk(0, data, np.array([0, len(data)]))
+        _, number, starts, ends = li._words(chunk)
+        known.add(data, starts, ends, np.bincount(number, minlength=len(starts))[:, None].astype(float))
+        for w in t.split():
+            want[w] = want.get(w, 0) + 1
+    got = {known.data[a:b].tobytes(): v[0] for a, b, v in zip(known.starts, known.ends, known.values, strict=True)}
+    assert got == want
+    assert (known.find(known.hashes) == np.arange(len(known))).all() and (known.find(np.array([5], np.uint64)) == -1).all()
