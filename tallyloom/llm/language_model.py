@@ -1,17 +1,20 @@
 """Scoring by a hashed maximum-entropy language model.
 
-Tokens are white-space words with A-Z lower-cased, and one end token for each text.  The next token's class is a softmax over hashed
-features of what precedes it: the last token, the last two, and two skip features (the classes of the second and third
-last token).  A class is a frequent token of its own, all tokens that never occur in training, or a suffix class of the other tokens;
-within a suffix class a token has its smoothed relative frequency.  So the probabilities of all known tokens and of "unknown"
-add up to 1.  As in the Good-Turing estimate, tokens that occur once in training stand for the unknown class while it is fitted.
+Tokens are white-space words with A-Z lower-cased, and one end token for each text.  The next token is a leaf of a tree, and each
+node on its path is a softmax over hashed features of what precedes it: nothing, the last token, the last two, and two skip features
+(the second and the third last token).  Every token met in training has a leaf of its own, and all that never occur share one,
+so the probabilities of all known tokens and of "unknown" add up to 1 and each feature can raise each single token.  Leaves
+of tokens of like counts form a band; above the bands stands a Huffman tree, below one its tokens by rank, ``CLASSES`` ways
+at each node.  Without weights the tree gives smoothed relative frequencies.  As in the Good-Turing estimate, a token of n
+occurrences in training counts as one of n - 1 while the tree above the bands is fitted, so tokens that occur once stand for unknown.
 
 1. Each task codes its texts as stretches: numbers of a stretch's own dictionary of token hashes.
-2. Dictionaries go by hash range to shards, which add up counts over all training texts and answer each
-   stretch.  What moves is the distinct tokens of each stretch; nothing is broadcast.
-3. Rounds of distributed gradient updates: each task runs mini-batches over its share of training stretches from the
-   common weights, and the changes of each feature are averaged over the tasks that met it.  Weights have a fixed size.
-4. Each text is scored in numpy batches.
+2. Dictionaries go by hash range to shards, which add up counts over all training texts, rank the tokens of each band and answer each
+   stretch.  What moves is the distinct tokens of each stretch; the driver gets a row of bands for each shard.
+3. Tokens go with their features to parts by the last token (by the last two where that is frequent, dealt further where these
+   are too).  A part has about ``PART_TOKENS`` tokens, so the number of parts and of feature slots follows the corpus.
+   Each learns weights of its own in one pass of mini-batches over its training tokens, then scores all its tokens.
+4. Each text's score is the sum over the parts.
 
 Edge cases: null and empty texts are the end token alone; repeated rows are counted and scored each; rows without an id are
 scored too; without training texts every token is unknown; an empty table gives an empty result; extra columns
@@ -20,6 +23,9 @@ pass only through the caller's join.
 
 from __future__ import annotations
 
+import gc
+import heapq
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,24 +41,43 @@ from .frames import discard, materialise, remainder, table
 
 STRETCH_BYTES = 8 << 20
 SHARD_ENTRIES = 1 << 20
-HEADS, TAILS = 15, 16
-CLASSES = HEADS + TAILS + 1
-UNKNOWN = CLASSES - 1
-BITS_ONE, BITS_TWO = 12, 14
-AT_TWO, AT_SKIP, AT_FAR, FEATURES = 1 << BITS_ONE, (1 << BITS_ONE) + (1 << BITS_TWO), (1 << BITS_ONE) + (1 << BITS_TWO) + CLASSES + 1, (1 << BITS_ONE) + (1 << BITS_TWO) + 2 * (CLASSES + 1)
+PART_TOKENS = 1 << 20
+FREQUENT = 1 << 17
+CLASSES = 4  # branches of a node
+KINDS = 5  # of features
+FEATURES = 1 << 10  # slots of a kind in a part, at least
+TOKENS_PER_SLOT = 2
 BATCH = 16384
-ROUNDS = 2
-RATE = 0.5
-BLOCK = 1024
-SALTS = 32
+RATE = 0.3
+NEVER = -1e4
 END = np.uint64(0x9E3779B97F4A7C15)
+#: Least counts of the bands.
+EDGES = np.array(sorted({int(2 ** (k / 2)) for k in range(100)}), np.int64)
+BANDS = len(EDGES)
 
-_SHARES = T.StructType([T.StructField("shard", T.LongType()), T.StructField("stretch", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("suffixes", T.BinaryType())])
+_SHARES = T.StructType([T.StructField("shard", T.LongType()), T.StructField("stretch", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 _ANSWERS = T.StructType([
-    T.StructField("stretch", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("counts", T.BinaryType()),
-    T.StructField("known", T.LongType()), T.StructField("tails", T.ArrayType(T.DoubleType())), T.StructField("tops", T.ArrayType(T.StructType([T.StructField("n", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("suffix", T.IntegerType())]))),
+    T.StructField("stretch", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("counts", T.BinaryType()), T.StructField("ranks", T.BinaryType()),
+    T.StructField("kinds", T.ArrayType(T.LongType())), T.StructField("mass", T.ArrayType(T.DoubleType())),
 ])
-_CHANGES = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("salt", T.IntegerType()), T.StructField("rows", T.BinaryType()), T.StructField("met", T.BinaryType()), T.StructField("changes", T.BinaryType())])
+_BLOCKS = T.StructType([T.StructField("part", T.LongType()), T.StructField("stretch", T.LongType()), T.StructField("n", T.LongType()), T.StructField("block", T.BinaryType())])
+_SUMS = T.StructType([T.StructField("stretch", T.LongType()), T.StructField("texts", T.BinaryType()), T.StructField("sums", T.BinaryType())])
+
+
+def band_of(counts: np.ndarray) -> np.ndarray:
+    """-1 for counts of 0."""
+    return np.searchsorted(EDGES, counts, "right") - 1
+
+
+def _hashes(data: np.ndarray, spans: ts.Spans) -> np.ndarray:
+    """Of words, some bytes at a time: hashing takes memory of many times the bytes."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(spans):
+        a = spans.starts[at]
+        to = max(at + 1, int(np.searchsorted(spans.ends, a + ts.CHUNK_BYTES, "right")))
+        out.append(ts.span_hashes(data[a : spans.ends[to - 1]], spans.starts[at:to] - a, spans.ends[at:to] - a))
+        at = to
+    return np.concatenate(out)
 
 
 def encode(docs: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
@@ -60,7 +85,7 @@ def encode(docs: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
     kind = docs.schema[doc_id].dataType
     schema = T.StructType([
         T.StructField("stretch", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("sizes", T.BinaryType()), T.StructField("train", T.BinaryType()),
-        T.StructField("tokens", T.BinaryType()), T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("suffixes", T.BinaryType()), T.StructField("n_train", T.LongType()), T.StructField("entries", T.LongType()),
+        T.StructField("tokens", T.BinaryType()), T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("n_train", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("entries", T.LongType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,22 +93,20 @@ def encode(docs: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
         for batch in batches:
             for chunk in ts.chunks(batch.column(1), size=STRETCH_BYTES):
                 spans = ts.words(chunk)
-                hashes = ts.span_hashes(chunk.data, spans.starts, spans.ends)
+                hashes = _hashes(chunk.data, spans)
                 counts = spans.counts()
-                at = spans.bounds[1:]  # each text's end token
-                tokens = np.insert(hashes, at, END)
-                suffix = np.insert(ts.span_hashes(chunk.data, np.maximum(spans.ends - 2, spans.starts), spans.ends) % np.uint64(TAILS), at, np.uint64(0))
+                tokens = np.insert(hashes, spans.bounds[1:], END)  # each text's end token
                 train = np.array(batch.column(2).slice(chunk.first, len(chunk)).to_pylist(), bool)
-                unique, first, place = np.unique(tokens, return_index=True, return_inverse=True)
+                unique, place = np.unique(tokens, return_inverse=True)
                 seen = np.bincount(place, minlength=len(unique))
                 order = np.argsort(-seen, kind="stable")  # small numbers for frequent tokens
                 rank = np.empty(len(order), np.int32)
                 rank[order] = np.arange(len(order))
                 used = np.repeat(train, counts + 1)
                 own = np.bincount(rank[place[used]], minlength=len(unique)).astype(np.int32)
-                cells = [(counts + 1).astype(np.int32), train, rank[place].astype(np.int32), unique[order], own, suffix[first[order]].astype(np.uint8)]
+                cells = [(counts + 1).astype(np.int32), train, _pack([rank[place]]), unique[order], own]
                 ids = pa.ListArray.from_arrays(pa.array([0, len(chunk)], pa.int32()), batch.column(0).slice(chunk.first, len(chunk)))
-                yield pa.RecordBatch.from_arrays([pa.array([number]), ids, *(pa.array([c.tobytes()], pa.binary()) for c in cells), pa.array([int(used.sum())]), pa.array([len(unique)])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), ids, *(pa.array([c if isinstance(c, bytes) else c.tobytes()], pa.binary()) for c in cells), pa.array([int(used.sum())]), pa.array([len(tokens)]), pa.array([len(unique)])], names=schema.names)
                 number += 1
 
     return docs.select(doc_id, text, train.alias("train")).mapInArrow(run, schema)
@@ -92,225 +115,366 @@ def encode(docs: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
 def _deal(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for stretch, hashes, counts, suffixes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, n, s = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int32), np.frombuffer(suffixes, np.uint8)
+            for stretch, hashes, counts in zip(*batch.columns, strict=True):
+                h, n = np.frombuffer(hashes.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int32)
                 to = ts.mix(h) % np.uint64(shards)
                 order = np.argsort(to, kind="stable")
                 edges = np.concatenate([[0], np.cumsum(np.bincount(to.astype(np.int64), minlength=shards))])
                 full = np.flatnonzero(np.diff(edges))
-                cells = [[x[order[edges[k] : edges[k + 1]]].tobytes() for k in full] for x in (h, n, s)]
-                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([stretch] * len(full), pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=_SHARES.names)
+                cells = [[x[order[edges[k] : edges[k + 1]]].tobytes() for k in full] for x in (h, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([stretch.as_py()] * len(full), pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=_SHARES.names)
 
     return run
 
 
 def _answer(key: tuple, shares: pa.Table) -> pa.Table:
-    """Total counts of a shard's tokens, for each stretch in the order it asked."""
-    parts = [shares.column(c).to_pylist() for c in ("hashes", "counts", "suffixes")]
-    h, n, s = (np.concatenate([np.frombuffer(x, kind) for x in part]) for part, kind in zip(parts, (np.uint64, np.int32, np.uint8), strict=True))
-    unique, first, place = np.unique(h, return_index=True, return_inverse=True)
+    """Total counts of a shard's tokens and their ranks in the shard's bands, for each stretch in the order it asked."""
+    parts = [shares.column(c).to_pylist() for c in ("hashes", "counts")]
+    h, n = (np.concatenate([np.frombuffer(x, kind) for x in part]) for part, kind in zip(parts, (np.uint64, np.int32), strict=True))
+    unique, place = np.unique(h, return_inverse=True)
     total = np.bincount(place, n, len(unique)).astype(np.int64)
-    suffix, known = s[first], total > 0
-    top = np.lexsort((unique, -total))[:HEADS]
+    band = band_of(total)
+    order = np.argsort(band, kind="stable")
+    kinds = np.bincount(band + 1, minlength=BANDS + 1)
+    rank = np.empty(len(unique), np.int32)
+    rank[order] = np.arange(len(unique)) - np.repeat(np.cumsum(kinds) - kinds, kinds)
+    mass = np.bincount(band_of(np.maximum(total - 1, 0)) + 1, total, BANDS + 1)
     edges = np.cumsum([len(x) // 8 for x in parts[0]])[:-1]
-    answers = [x.tobytes() for x in np.split(total[place], edges)]
-    tails = np.bincount(suffix[known], total[known] + 0.5, TAILS).tolist()
-    tops = [{"n": int(total[i]), "hash": int(unique[i].astype(np.int64)), "suffix": int(suffix[i])} for i in top if total[i] > 0]
-    rows = len(answers)
-    kind = pa.list_(pa.struct([("n", pa.int64()), ("hash", pa.int64()), ("suffix", pa.int32())]))
+    counts, ranks = ([x.tobytes() for x in np.split(values[place], edges)] for values in (total, rank))
+    rest = [None] * (len(counts) - 1)
     return pa.table({
-        "stretch": shares.column("stretch"), "shard": shares.column("shard"), "counts": pa.array(answers, pa.binary()),
-        "known": pa.array([int(known.sum())] + [None] * (rows - 1), pa.int64()), "tails": pa.array([tails] + [None] * (rows - 1), pa.list_(pa.float64())), "tops": pa.array([tops] + [None] * (rows - 1), kind),
+        "stretch": shares.column("stretch"), "shard": shares.column("shard"), "counts": pa.array(counts, pa.binary()), "ranks": pa.array(ranks, pa.binary()),
+        "kinds": pa.array([kinds[1:].tolist(), *rest], pa.list_(pa.int64())), "mass": pa.array([mass.tolist(), *rest], pa.list_(pa.float64())),
     })
 
 
+@dataclass
+class Paths:
+    """Ways from the root to some leaves, one after another: nodes, branches taken, and the logs of what each branch holds."""
+
+    starts: np.ndarray
+    sizes: np.ndarray
+    nodes: np.ndarray
+    branches: np.ndarray
+    bias: np.ndarray
+
+
+class Tree:
+    """Known tokens are numbered from 1, bands of frequent ones first; 0 is unknown."""
+
+    def __init__(self, kinds: np.ndarray, mass: np.ndarray):
+        """Tokens of each band, and training tokens (of one occurrence less) of unknown and each band."""
+        self.kinds = kinds
+        self.first = 1 + kinds[::-1].cumsum()[::-1] - kinds  # number of each band's first token
+        self.digits = np.array([next(d for d in itertools.count() if CLASSES**d >= n) for n in kinds.tolist()])
+        weight = mass + 0.5 * np.concatenate([[1], kinds])
+        leaves = [0, *(np.flatnonzero(kinds) + 1).tolist()]
+        heap = [(float(weight[k]), k, (k,)) for k in leaves]
+        while (len(heap) - 1) % (CLASSES - 1):
+            heap.append((0.0, -len(heap) - 1, ()))
+        heapq.heapify(heap)
+        ways: dict[int, list] = {k: [] for k in leaves}
+        bias = []
+        while len(heap) > 1:
+            below = [heapq.heappop(heap) for _ in range(CLASSES)]
+            for branch, (_, _, own) in enumerate(below):
+                for k in own:
+                    ways[k].append((len(bias), branch))
+            bias.append([np.log(w) if w else NEVER for w, _, _ in below])
+            heapq.heappush(heap, (sum(x[0] for x in below), BANDS + len(bias), sum((x[2] for x in below), ())))
+        self.top_bias = np.array(bias, np.float32).reshape(-1, CLASSES)
+        self.top_sizes = np.zeros(BANDS + 1, np.int64)
+        self.top = np.zeros((BANDS + 1, max(map(len, ways.values())), 2), np.int64)
+        for k, way in ways.items():
+            self.top_sizes[k] = len(way)
+            self.top[k, : len(way)] = np.array(way[::-1], np.int64).reshape(-1, 2)
+
+    def known(self) -> int:
+        return int(self.kinds.sum())
+
+    def bands(self, numbers: np.ndarray) -> np.ndarray:
+        """Of tokens by number; -1 for unknown."""
+        return np.where(numbers > 0, BANDS - np.searchsorted(self.first[::-1], numbers, "right"), -1)
+
+    def frequent(self, least: int) -> int:
+        """The last number in the bands of at least so many occurrences."""
+        return int(self.kinds[EDGES >= least].sum())
+
+    def paths(self, numbers: np.ndarray, below: np.ndarray) -> Paths:
+        """To tokens by number; ``below``: to the next lower band, then as in the own band."""
+        band = self.bands(numbers)
+        used = self.kinds > 0
+        lower = np.array([next((j for j in range(k - 1, -1, -1) if used[j]), -1) for k in range(BANDS + 1)])
+        leaf = np.where(below, lower[band], band) + 1
+        depth = np.where(band >= 0, self.digits[band], 0)
+        sizes = self.top_sizes[leaf] + depth
+        starts = np.cumsum(sizes) - sizes
+        total = int(sizes.sum())
+        nodes, branches, bias = np.zeros(total, np.uint64), np.zeros(total, np.int64), np.zeros((total, CLASSES), np.float32)
+        for j in range(self.top.shape[1]):
+            i = np.flatnonzero(self.top_sizes[leaf] > j)
+            at, (node, branch) = starts[i] + j, self.top[leaf[i], j].T
+            nodes[at], branches[at], bias[at] = node, branch, self.top_bias[node]
+        rank, begin = numbers - self.first[band], starts + self.top_sizes[leaf]
+        for j in range(int(depth.max(initial=0))):
+            i = np.flatnonzero(depth > j)
+            size = CLASSES ** (depth[i] - j - 1)  # leaves below a branch
+            child = rank[i] // size
+            at = begin[i] + j
+            prefix = child // CLASSES
+            nodes[at] = ((band[i] + 1).astype(np.uint64) << np.uint64(56)) + (np.uint64(j + 1) << np.uint64(50)) + prefix.astype(np.uint64)
+            branches[at] = child % CLASSES
+            left = self.kinds[band[i]][:, None] - (prefix[:, None] * CLASSES + np.arange(CLASSES)) * size[:, None]
+            held = np.clip(left, 0, size[:, None])
+            bias[at] = np.where(held > 0, np.log(np.maximum(held, 1)), NEVER)
+        return Paths(starts, sizes, ts.mix(nodes + np.uint64(1)), branches, bias)
+
+
 @dataclass
 class Statistics:
     """What all training texts have together."""
 
     tokens: int
-    known: int
-    heads: dict[int, int]  # hash of a frequent token: its class
-    tails: np.ndarray  # smoothed counts of the suffix classes
-    shares: np.ndarray  # of the classes among training tokens, as far as counts tell
+    all_tokens: int  # held-out ones too
+    parts: int
+    offsets: np.ndarray  # of each shard's ranks in each band
+    tree: Tree
 
 
-def _code(stats: Statistics, shards: int):
-    """From a stretch and its answers: counts and classes of its dictionary."""
+def _code(stats: Statistics, schema: T.StructType):
+    """From stretches and their answers: numbers of the dictionary, and what the texts have without the model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            out = {"totals": [], "classes": []}
-            for row in rows:
-                h, s = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["suffixes"], np.uint8)
-                order = np.argsort(ts.mix(h) % np.uint64(shards), kind="stable")
-                total = np.empty(len(h), np.int64)
-                answers = sorted(row["answers"], key=lambda x: x["shard"])
-                total[order] = np.concatenate([np.frombuffer(x["counts"], np.int64) for x in answers])
-                classes = np.where(total > 0, HEADS + s, UNKNOWN).astype(np.uint8)
-                for token, k in stats.heads.items():
-                    classes[h == np.uint64(token)] = k
-                out["totals"].append(total.tobytes())
-                out["classes"].append(classes.tobytes())
-            names = ["stretch", "ids", "sizes", "train", "tokens", "hashes"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *(pa.array(x, pa.binary()) for x in out.values())], names=[*names, *out])
+        base_total = np.log10(stats.tokens + 0.5 * (stats.tree.known() + 1))
+        shards = len(stats.offsets)
+        for row in (batch.slice(i, 1) for batch in batches for i in range(len(batch))):
+            cell = {c: row.column(row.schema.get_field_index(c)) for c in row.schema.names}
+            h, sizes = (np.frombuffer(cell[c][0].as_py(), kind) for c, kind in (("hashes", np.uint64), ("sizes", np.int32)))
+            [tokens] = _unpack(cell["tokens"][0].as_py(), int(sizes.sum()), 1)
+            to = (ts.mix(h) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            total, rank = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+            answers = sorted(cell["answers"][0].as_py(), key=lambda x: x["shard"])
+            total[order] = np.concatenate([np.frombuffer(x["counts"], np.int64) for x in answers])
+            rank[order] = np.concatenate([np.frombuffer(x["ranks"], np.int32) for x in answers])
+            band = band_of(total)
+            number = np.where(total > 0, stats.tree.first[band] + stats.offsets[to, band] + rank, 0)
+            below = (total > 0) & (band_of(total - 1) < band)
+            start = np.cumsum(sizes) - sizes
+            known = np.add.reduceat((total > 0)[tokens].astype(np.int64), start)
+            base = np.add.reduceat((np.log10(total + 0.5) - base_total)[tokens], start)
+            cells = [(number * 2 + below).tobytes(), known.tobytes(), base.tobytes()]
+            yield pa.RecordBatch.from_arrays([*(cell[c] for c in ("stretch", "ids", "sizes", "train", "tokens")), *(pa.array([x], pa.binary()) for x in cells)], names=schema.names)
 
     return run
 
 
-def _features(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers of each token of a stretch (four rows), and its dictionary number; the third: text sizes."""
-    tokens, sizes = np.frombuffer(row["tokens"], np.int32), np.frombuffer(row["sizes"], np.int32)
-    h, classes = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["classes"], np.uint8)
-    start = np.cumsum(sizes) - sizes
-    n = len(tokens)
-    since = np.arange(n) - np.repeat(start, sizes)  # place in the text
-    token_hash, token_class = h[tokens], classes[tokens]
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Numbers as planes of their bytes, as most of the higher ones are 0."""
+    return pa.compress(b"".join(np.ascontiguousarray(c.astype(np.int64).view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(pa.decompress(data, 6 * n * columns, codec="zstd"), np.uint8).reshape(columns, 6, n)
+    out = np.zeros((columns, n, 8), np.uint8)
+    out[:, :, :6] = planes.transpose(0, 2, 1)
+    return list(out.view(np.int64)[:, :, 0])
+
+
+def _place(stats: Statistics, stretch: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The part of each token of a stretch, by what precedes it."""
+    key = ts.mix(one.astype(np.uint64) + np.uint64(1))
+    often = np.flatnonzero(one <= stats.tree.frequent(FREQUENT) + 1)  # also the start of a text and unknown
+    pair = ts.mix(key[often] * np.uint64(3) + two[often].astype(np.uint64))
+    _, number, many = np.unique(pair, return_inverse=True, return_counts=True)
+    # a pair that is frequent as well, as far as this stretch tells, is dealt over several parts by stretch
+    ways = np.maximum(1, many * (stats.all_tokens / len(one)) // FREQUENT).astype(np.uint64)
+    own = ts.mix(np.array([stretch + 1], np.uint64))[0]
+    key[often] = pair + (own % ways)[number]
+    return (ts.mix(key) % np.uint64(stats.parts)).astype(np.int64)
+
 
-    def back(values: np.ndarray, by: int, outside: int) -> np.ndarray:
-        moved = np.full(n, outside, values.dtype)
-        moved[by:] = values[:-by] if n > by else values[:0]
-        moved[since < by] = outside
-        return moved
+def _ship(stats: Statistics):
+    """Tokens of stretches with their features, by part."""
 
-    one, two = back(token_hash, 1, 1), back(token_hash, 2, 1)
-    f = np.empty((4, n), np.int32)
-    f[0] = one >> np.uint64(64 - BITS_ONE)
-    f[1] = (ts.mix(one * np.uint64(3) + two) >> np.uint64(64 - BITS_TWO)).astype(np.int32) + AT_TWO
-    f[2] = back(token_class, 2, CLASSES).astype(np.int32) + AT_SKIP
-    f[3] = back(token_class, 3, CLASSES).astype(np.int32) + AT_FAR
-    return f, tokens, sizes
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stretch, sizes, train, tokens, numbers in (row for batch in batches for row in zip(*batch.columns, strict=True)):
+            sizes, numbers = np.frombuffer(sizes.as_py(), np.int32), np.frombuffer(numbers.as_py(), np.int64)
+            stretch, n, owner = stretch.as_py(), int(sizes.sum()), np.repeat(np.arange(len(sizes)), sizes)
+            [tokens] = _unpack(tokens.as_py(), n, 1)
+            owner = owner.astype(np.int32)
+            since = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # place in the text
+            target = numbers[tokens]
+            context = []
+            for by in (1, 2, 3):
+                moved = np.zeros(n, np.int64)  # 0: before the text
+                moved[by:] = (target[:-by] >> 1) + 1
+                moved[since < by] = 0
+                context.append(moved)
+            part = _place(stats, stretch, *context[:2])
+            order = np.argsort(part, kind="stable")
+            edges = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=stats.parts))])
+            columns = [x[order] for x in (target * 2 + np.repeat(np.frombuffer(train.as_py(), bool), sizes), *context, owner)]
+            for k in np.flatnonzero(np.diff(edges)):
+                own = [x[edges[k] : edges[k + 1]] for x in columns]
+                own[-1] = np.diff(own[-1], prepend=0)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([stretch], pa.int64()), pa.array([len(own[0])], pa.int64()), pa.array([_pack(own)], pa.binary())], names=_BLOCKS.names)
+
+    return run
 
 
 def _softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[f[0]]
+    z = weights.take(f[0], axis=0)
     for k in range(1, len(f)):
-        z += weights[f[k]]
+        z += weights.take(f[k], axis=0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
+    # by column, as rows are short
+    most = z[:, 0].copy()
+    for c in range(1, z.shape[1]):
+        np.maximum(most, z[:, c], out=most)
+    z -= most[:, None]
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
-def _descend(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, f: np.ndarray, target: np.ndarray) -> None:
-    """One mini-batch: gradients of each feature are added up, steps shrink with what a feature has seen."""
-    p = _softmax(weights, bias, f)
-    p[np.arange(len(target)), target] -= 1
-    for k in range(len(f)):
-        order = np.argsort(f[k], kind="stable")
-        rows = f[k][order]
-        at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        many = np.diff(np.append(at, len(rows)))
-        grad = np.add.reduceat(p[order], at, axis=0) / np.sqrt(many)[:, None]
-        rows = rows[at]
-        squares[rows] += (grad * grad).mean(axis=1)
-        weights[rows] -= RATE * grad / np.sqrt(squares[rows] + 1)[:, None]
-
-
-def _learn(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, bias = shared.value
-        weights, squares = common.copy(), np.zeros(len(common), np.float32)
-        for batch in batches:
-            for row in batch.to_pylist():
-                f, tokens, sizes = _features(row)
-                totals, classes = np.frombuffer(row["totals"], np.int64), np.frombuffer(row["classes"], np.uint8)
-                target = np.where(totals == 1, UNKNOWN, classes)[tokens]
-                use = np.flatnonzero(np.repeat(np.frombuffer(row["train"], bool), sizes))
-                for at in range(0, len(use), BATCH):
-                    part = use[at : at + BATCH]
-                    _descend(weights, bias, squares, f[:, part], target[part])
-        met = np.flatnonzero(squares > 0).astype(np.int32)
-        salt = TaskContext.get().partitionId() % SALTS
-        for b in range(0, FEATURES, BLOCK):
-            rows = met[(met >= b) & (met < b + BLOCK)]
-            if len(rows):
-                cells = [rows.tobytes(), np.ones(len(rows), np.int32).tobytes(), (weights[rows] - common[rows]).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK], pa.int32()), pa.array([salt], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names=_CHANGES.names)
+class Model:
+    """The weights of one part: ``slots`` rows for each kind of feature, which follow its training tokens."""
+
+    def __init__(self, n_train: int):
+        self.bits = max(FEATURES, -(-n_train // TOKENS_PER_SLOT) - 1).bit_length() if n_train > FEATURES else FEATURES.bit_length() - 1
+        self.weights = np.zeros((KINDS << self.bits, CLASSES), np.float32)
+        self.squares = np.zeros_like(self.weights)
+        self.grad = np.zeros_like(self.weights)
+        self.met = np.zeros(len(self.weights), bool)
+
+    def look(self, paths: Paths, target: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the paths, their tokens, and their features' slots (a row for each kind)."""
+        sizes = paths.sizes[target]
+        rows, of = ts.expand(paths.starts[target], sizes), np.repeat(np.arange(len(target)), sizes)
+        nodes = paths.nodes[rows]
+        f = np.empty((KINDS, len(rows)), np.int64)
+        for k in range(KINDS):
+            h = (np.repeat(context[k], sizes) ^ nodes) * np.uint64(0xD6E8FEB86659FD93)
+            f[k] = (h >> np.uint64(64 - self.bits)).astype(np.int64) + (k << self.bits)
+        return rows, of, f
+
+    def learn(self, paths: Paths, target: np.ndarray, context: np.ndarray) -> None:
+        """One mini-batch: gradients of each slot are added up, steps shrink with what a slot has seen."""
+        rows, _, f = self.look(paths, target, context)
+        p = _softmax(self.weights, paths.bias[rows], f)
+        p[np.arange(len(p)), paths.branches[rows]] -= 1
+        flat, by_two = self.grad.reshape(-1).view(np.complex64), p.reshape(-1).view(np.complex64).reshape(-1, CLASSES // 2)
+        for k in range(KINDS):
+            for c in range(CLASSES // 2):
+                np.add.at(flat, f[k] * (CLASSES // 2) + c, by_two[:, c])
+            self.met[f[k]] = True
+        rows = np.flatnonzero(self.met)
+        g, s = self.grad.take(rows, axis=0), self.squares.take(rows, axis=0)
+        s += g * g
+        self.squares[rows] = s
+        self.weights[rows] = self.weights.take(rows, axis=0) - RATE * g / np.sqrt(s + 1)
+        self.grad[rows], self.met[rows] = 0, False
+
+    def logs(self, paths: Paths, target: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Log probability of each target."""
+        rows, of, f = self.look(paths, target, context)
+        p = _softmax(self.weights, paths.bias[rows], f)[np.arange(len(rows)), paths.branches[rows]]
+        return np.bincount(of, np.log10(np.minimum(p, 1) + 1e-30), len(target))
+
+
+def contexts(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
+    """Hashes of the features of each kind."""
+    a, b, c = (x.astype(np.uint64) for x in (one, two, three))
+    salt = lambda k: np.uint64(k) << np.uint64(56)
+    return np.stack([np.zeros(len(a), np.uint64), ts.mix(a + salt(1)), ts.mix(ts.mix(a + salt(2)) + b), ts.mix(b + salt(3)), ts.mix(c + salt(4))])
+
+
+def _learn_and_score(shared):
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: Tree = shared.value.tree
+        rows = sorted(((s.as_py(), n.as_py(), b.as_py()) for batch in batches for s, n, b in zip(*(batch.column(c) for c in ("stretch", "n", "block")), strict=True)), key=lambda r: r[0])
+        value, one, two, three, owner = (np.concatenate(x) for x in zip(*(_unpack(b, n, 5) for _, n, b in rows), strict=True))
+        unique, target = np.unique(value >> 1, return_inverse=True)
+        rows = [(s, n) for s, n, _ in rows]
+        context = contexts(one, two, three)
+        del one, two, three
+        use = np.flatnonzero(value & 1)
+        del value
+        model = Model(len(use))
+        paths = tree.paths(unique >> 1, (unique & 1) > 0)
+        for at in range(0, len(use), BATCH):
+            model.learn(paths, target[use[at : at + BATCH]], context[:, use[at : at + BATCH]])
+        paths = tree.paths(unique >> 1, np.zeros(len(unique), bool))
+        logs = np.concatenate([model.logs(paths, target[at : at + BATCH], context[:, at : at + BATCH]) for at in range(0, len(target), BATCH)])
+        at = 0
+        for stretch, n in rows:
+            texts, place = np.unique(np.cumsum(owner[at : at + n]), return_inverse=True)
+            sums = np.bincount(place, logs[at : at + n])
+            at += n
+            yield pa.RecordBatch.from_arrays([pa.array([stretch], pa.int64()), pa.array([texts.astype(np.int32).tobytes()], pa.binary()), pa.array([sums.astype(np.float32).tobytes()], pa.binary())], names=_SUMS.names)
 
     return run
 
 
-def _add_up(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Changes of one block of features from several tasks."""
-    base = key[0].as_py() * BLOCK
-    met, total = np.zeros(BLOCK, np.int32), np.zeros((BLOCK, CLASSES), np.float32)
-    for batch in batches:
-        for rows, many, changes in zip(*(batch.column(c).to_pylist() for c in ("rows", "met", "changes")), strict=True):
-            r = np.frombuffer(rows, np.int32) - base
-            met[r] += np.frombuffer(many, np.int32)
-            total[r] += np.frombuffer(changes, np.float32).reshape(len(r), CLASSES)
-    rows = np.flatnonzero(met)
-    cells = [(rows + base).astype(np.int32).tobytes(), met[rows].tobytes(), total[rows].tobytes()]
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names=_CHANGES.names)
+def _finish(stats: Statistics, schema: T.StructType):
+    """Rows of the texts of a stretch, with the sums of the parts."""
 
-
-def _score(shared, stats: Statistics, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
-        base_total = np.log10(stats.tokens + 0.5 * (stats.known + 1))
-        tails = np.log10(np.maximum(stats.tails, 0.5))
-        for batch in batches:
-            for row, ids in zip(batch.drop_columns(["ids"]).to_pylist(), batch.column(batch.schema.get_field_index("ids")), strict=True):
-                f, tokens, sizes = _features(row)
-                totals, classes = np.frombuffer(row["totals"], np.int64), np.frombuffer(row["classes"], np.uint8)
-                logs = np.log10(totals + 0.5)
-                within = np.where((classes >= HEADS) & (classes < UNKNOWN), logs - tails[np.clip(classes.astype(np.int64) - HEADS, 0, TAILS - 1)], 0.0)
-                token_class = classes[tokens]
-                value = within[tokens]
-                for at in range(0, len(tokens), BATCH):
-                    p = _softmax(weights, bias, f[:, at : at + BATCH])
-                    value[at : at + BATCH] += np.log10(p[np.arange(len(p)), token_class[at : at + BATCH]] + 1e-30)
-                start = np.cumsum(sizes) - sizes
-                add = lambda x, start=start: np.add.reduceat(x, start)
-                n = len(sizes)
-                columns = [~np.frombuffer(row["train"], bool), sizes.astype(np.int64), add((totals > 0)[tokens].astype(np.int64)), np.full(n, stats.tokens), add((logs - base_total)[tokens]), add(value)]
-                yield pa.RecordBatch.from_arrays([ids.values, *map(pa.array, columns)], names=schema.names)
+        for row in (batch.slice(i, 1) for batch in batches for i in range(len(batch))):
+            cell = {c: row.column(row.schema.get_field_index(c))[0] for c in row.schema.names}
+            sizes, train, known, base = (np.frombuffer(cell[c].as_py(), kind) for c, kind in (("sizes", np.int32), ("train", bool), ("known", np.int64), ("base", np.float64)))
+            value = np.zeros(len(sizes))
+            # in one order, so that sums are the same from run to run
+            for x in sorted(cell["found"].as_py(), key=lambda x: (x["texts"], x["sums"])):
+                value[np.frombuffer(x["texts"], np.int32)] += np.frombuffer(x["sums"], np.float32)
+            columns = [~train, sizes.astype(np.int64), known, np.full(len(sizes), stats.tokens), base, value]
+            yield pa.RecordBatch.from_arrays([cell["ids"].values, *map(pa.array, columns)], names=schema.names)
 
     return run
 
 
-def score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def release(spark) -> None:
+    """Let Spark delete the shuffle files of steps that are written: it does when their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row, by a model of the rows where ``train`` holds."""
     sc = docs.sparkSession.sparkContext
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     stretches = materialise(encode(docs, doc_id, text, train), "stretches")
-    n_train, entries = stretches.agg(F.sum("n_train"), F.sum("entries")).first()
+    n_train, n_tokens, entries, n_stretches = stretches.agg(F.sum("n_train"), F.sum("n_tokens"), F.sum("entries"), F.count("*")).first()
     if entries is None:
         return docs.sparkSession.createDataFrame([], schema)
     shards = -(-entries // SHARD_ENTRIES)
-    shares = stretches.select("stretch", "hashes", "counts", "suffixes").mapInArrow(_deal(shards), _SHARES)
+    shares = stretches.select("stretch", "hashes", "counts").mapInArrow(_deal(shards), _SHARES)
     answers = materialise(shares.groupBy("shard").applyInArrow(_answer, _ANSWERS), "answers")
 
-    known, *tails = answers.agg(F.sum("known"), *(F.sum(F.get("tails", F.lit(k))) for k in range(TAILS))).first()
-    tops = answers.select(F.explode("tops").alias("top")).select("top.*").orderBy(F.desc("n"), "hash").limit(HEADS).collect()
-    tails = np.array([float(x or 0) for x in tails])
-    for r in tops:
-        tails[r.suffix] -= r.n + 0.5
-    tails = np.maximum(tails, 0)
-    class_counts = np.concatenate([[r.n for r in tops], np.zeros(HEADS - len(tops)), tails, [0.05 * (n_train or 0)]]) + 1.0
-    stats = Statistics(int(n_train or 0), int(known or 0), {r.hash % (1 << 64): k for k, r in enumerate(tops)}, tails, class_counts / class_counts.sum())
-
-    by_stretch = answers.groupBy("stretch").agg(F.collect_list(F.struct("shard", "counts")).alias("answers"))
-    binary = [T.StructField(c, T.BinaryType()) for c in ("sizes", "train", "tokens", "hashes", "totals", "classes")]
+    del shares
+    release(docs.sparkSession)
+    kinds, mass = np.zeros((shards, BANDS), np.int64), np.zeros(BANDS + 1)
+    for r in answers.where(F.col("kinds").isNotNull()).select("shard", "kinds", "mass").collect():  # a row for each shard
+        kinds[r.shard] = r.kinds
+        mass += r.mass
+    stats = Statistics(n_train, n_tokens, -(-n_tokens // PART_TOKENS), np.cumsum(kinds, axis=0) - kinds, Tree(kinds.sum(axis=0), mass))
+
+    by_stretch = answers.groupBy("stretch").agg(F.collect_list(F.struct("shard", "counts", "ranks")).alias("answers"))
+    binary = [T.StructField(c, T.BinaryType()) for c in ("sizes", "train", "tokens", "numbers", "known", "base")]
     coded_schema = T.StructType([T.StructField("stretch", T.LongType()), stretches.schema["ids"], *binary])
-    coded = materialise(stretches.drop("counts", "n_train", "entries").join(by_stretch, "stretch").mapInArrow(_code(stats, shards), coded_schema), "coded")
+    asked = stretches.drop("counts", "n_train", "n_tokens", "entries").repartition(n_stretches, "stretch").join(by_stretch.repartition(n_stretches, "stretch"), "stretch")
+    coded = materialise(asked.mapInArrow(_code(stats, coded_schema), coded_schema), "coded")
     discard(stretches)
     discard(answers)
-
-    weights, bias = np.zeros((FEATURES, CLASSES), np.float32), np.log(stats.shares).astype(np.float32)
-    for k in range(rounds if n_train else 0):
-        # each round takes its own part of the stretches, so all training texts are met once
-        part = coded.where(F.pmod(F.xxhash64("stretch"), F.lit(rounds)) == k)
-        changes = part.mapInArrow(_learn(sc.broadcast((weights, bias))), _CHANGES)
-        for by in (["block", "salt"], ["block"]):
-            changes = changes.groupBy(*by).applyInArrow(_add_up, _CHANGES)
-        for row in changes.toLocalIterator():
-            rows = np.frombuffer(bytes(row.rows), np.int32)
-            weights[rows] += np.frombuffer(bytes(row.changes), np.float32).reshape(len(rows), CLASSES) / np.frombuffer(bytes(row.met), np.int32)[:, None]
-    return coded.mapInArrow(_score(sc.broadcast((weights, bias)), stats, schema), schema)
+    del asked, by_stretch, stretches, answers
+    release(docs.sparkSession)
+
+    blocks = coded.select("stretch", "sizes", "train", "tokens", "numbers").mapInArrow(_ship(stats), _BLOCKS)
+    # parts are few and large: with more partitions than parts, few share one
+    sums = blocks.repartition(3 * stats.parts, "part").groupBy("part").applyInArrow(_learn_and_score(sc.broadcast(stats)), _SUMS)
+    found = sums.groupBy("stretch").agg(F.collect_list(F.struct("texts", "sums")).alias("found"))
+    return coded.drop("tokens", "numbers").join(found, "stretch").mapInArrow(_finish(stats, schema), schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -55,3 +55,36 @@ def test_probabilities_add_up():
     weights = rng.normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32)
     f = np.stack([rng.integers(0, lm.FEATURES, 50) for _ in range(4)])
     assert np.allclose(lm._softmax(weights, np.zeros(lm.CLASSES, np.float32), f).sum(axis=1), 1, atol=1e-5)
+
+
+def test_every_known_token_is_a_leaf():
+    rng = np.random.default_rng(1)
+    kinds, mass = np.zeros(lm.BANDS, np.int64), np.zeros(lm.BANDS + 1)
+    kinds[[0, 1, 2, 5, 9]], mass[[0, 1, 2, 5, 9]] = [37, 16, 5, 4, 1], [37, 20, 9, 30, 25]
+    tree = lm.Tree(kinds, mass)
+    numbers = np.arange(64)  # 0 is unknown
+    paths = tree.paths(numbers, np.zeros(64, bool))
+    model = lm.Model(5000)
+    model.weights[:] = rng.normal(size=model.weights.shape)
+    for context in (lm.contexts(*np.array([[3], [9], [0]])), lm.contexts(*np.array([[60], [1], [5]]))):
+        assert np.isclose(np.sum(10 ** model.logs(paths, numbers, context.repeat(64, axis=1))), 1, atol=1e-4)
+
+
+def test_context_raises_a_single_rare_token(spark):
+    # 400 pairs of words; each first word is followed by its own second one, whose count is that of 799 others
+    rng = np.random.default_rng(2)
+    docs = [(i, " ".join(f"a{k} b{k}" for k in rng.integers(0, 400, 50))) for i in range(4000)]
+    rows = lm.score(spark.createDataFrame(docs, "doc_id long, text string"), remainder("doc_id", 5) != 1).collect()
+    held = [r for r in rows if r.held_out]
+    n = sum(r.n_tokens for r in held)
+    # half of the tokens are certain, the other half one of 400: 1.3 on average; 2.9 without contexts
+    assert sum(r.base_score for r in held) / n < -2.8
+    assert sum(r.score for r in held) / n > -1.7
+
+
+def test_slots_and_parts_follow_the_corpus():
+    bits = [lm.Model(n).bits for n in (0, 1 << 14, 1 << 18, 1 << 20)]
+    assert bits == [10, 13, 17, 19]
+    stats = lambda n: lm.Statistics(n, n, -(-n // lm.PART_TOKENS), np.zeros((1, lm.BANDS), np.int64), lm.Tree(np.eye(lm.BANDS, dtype=np.int64)[0] * n, np.zeros(lm.BANDS + 1)))
+    one, two = np.random.default_rng(3).integers(1, 1 << 22, (2, 1 << 16))
+    assert [len(np.unique(lm._place(stats(n), 0, one, two))) for n in (1 << 20, 1 << 24, 1 << 26)] == [1, 16, 64]
