@@ -10,8 +10,8 @@ A text is split at ``\\n``; a line's key is the line stripped of ``[\\x20\\x09-\
 3. Repeated keys come back to the documents: as a broadcast set while they are at most ``broadcast_keys``, otherwise by
    a shuffle join of the suspected lines, then of the line numbers to drop.
 
-The filter has ``bits_per_line`` bits for each line within ``max_bits``; fuller filters suspect more lines,
-and the counts stay exact.
+The filter has ``bits_per_line`` bits for each line.  Where that is more than ``max_bits``, keys are taken in ranges of
+their hashes, one after another, each with filters of its own and by the shuffle join, so the bits for each line stay the same.
 
 Edge cases: a null or empty text is one empty line; every row counts as one document even if ids repeat;
 keys shorter than ``min_chars`` code points are never dropped; an empty table gives an empty result; extra
@@ -101,12 +101,18 @@ def _bits(hashes: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
 
 
-def _fill(text: str, min_chars: int, n_bits: int):
+def _in_range(hashes: np.ndarray, part: int, parts: int) -> np.ndarray:
+    return ts.mix(hashes) % np.uint64(parts) == np.uint64(part)
+
+
+def _fill(text: str, min_chars: int, n_bits: int, part: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(n_bits, bool), np.zeros(n_bits, bool)
         for batch in batches:
             for chunk in ts.chunks(batch.column(batch.schema.get_field_index(text))):
                 spans, _, _, hashes, enough = keys_of(chunk, min_chars)
+                if parts > 1:
+                    enough = enough & _in_range(hashes, part, parts)
                 at = _first_in_document(hashes, spans.owner(), enough)
                 h, many = np.unique(hashes[at], return_counts=True)
                 a, b = _bits(h, n_bits)
@@ -136,11 +142,18 @@ def filter_bits(n_lines: int, bits_per_line: int = BITS_PER_LINE, max_bits: int
     return min(max_bits, 1 << max(BLOCK_BITS.bit_length() - 1, (max(1, n_lines * bits_per_line) - 1).bit_length()))
 
 
-def seen_twice(docs: DataFrame, text: str, min_chars: int, bits_per_line: int = BITS_PER_LINE, max_bits: int = MAX_BITS) -> np.ndarray:
-    """The second filter, as booleans: at most ``max_bits``, whatever the input."""
-    n_lines = docs.agg(F.sum(F.length(F.col(text)) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0
-    n_bits = filter_bits(n_lines, bits_per_line, max_bits)
-    filters = docs.select(text).mapInArrow(_fill(text, min_chars, n_bits), _FILTERS)
+def count_lines(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.length(F.col(text)) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0
+
+
+def ranges(n_lines: int, bits_per_line: int = BITS_PER_LINE, max_bits: int = MAX_BITS) -> int:
+    """In how many ranges of hashes keys are taken."""
+    return max(1, -(-n_lines * bits_per_line // max_bits))
+
+
+def seen_twice(docs: DataFrame, text: str, min_chars: int, n_bits: int, part: int = 0, parts: int = 1) -> np.ndarray:
+    """The second filter of one range of keys, packed."""
+    filters = docs.select(text).mapInArrow(_fill(text, min_chars, n_bits, part, parts), _FILTERS)
     merged = filters.groupBy("block").applyInArrow(_merge_blocks, _FILTERS)
     twice = np.zeros(n_bits, bool)
     for row in merged.select("block", "twice").toLocalIterator():
@@ -152,13 +165,14 @@ def seen_twice(docs: DataFrame, text: str, min_chars: int, bits_per_line: int =
 class Twice:
     """The second filter as broadcast."""
 
-    def __init__(self, packed: np.ndarray):
-        self.packed, self.n_bits = packed, len(packed) * 8
+    def __init__(self, filter_of_range: tuple[np.ndarray, int, int]):
+        self.packed, self.part, self.parts = filter_of_range
+        self.n_bits = len(self.packed) * 8
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         a, b = _bits(hashes, self.n_bits)
         at = lambda i: (self.packed[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 > 0
-        return at(a) & at(b)
+        return at(a) & at(b) & (_in_range(hashes, self.part, self.parts) if self.parts > 1 else True)
 
 
 def _digest(chunk: ts.Chunk, start: int, end: int) -> bytes:
@@ -194,7 +208,11 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_
     """``docs`` with the kept lines as ``text`` (null stays null), and n_lines, n_dropped (longs)."""
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    twice = spark.sparkContext.broadcast(seen_twice(docs, text, min_chars, bits_per_line, max_bits))
+    n_lines = count_lines(docs, text)
+    n_bits, parts = filter_bits(n_lines, bits_per_line, max_bits), ranges(n_lines, bits_per_line, max_bits)
+    if parts > 1:
+        return _dedup_by_ranges(docs, text, min_docs, min_chars, n_bits, parts)
+    twice = spark.sparkContext.broadcast((seen_twice(docs, text, min_chars, n_bits), 0, 1))
     keys = materialise(repeated_keys(docs, twice, text=text, min_docs=min_docs, min_chars=min_chars), "repeated-lines")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     place = docs.columns.index(text)
@@ -234,9 +252,27 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_
 def _dedup_by_join(docs: DataFrame, keys: DataFrame, twice, text: str, min_chars: int) -> DataFrame:
     """The way for any number of repeated keys: suspected lines meet the keys by shuffle, and the numbers of
     the lines to drop go back to their documents."""
-    row, place = free_name(docs, "row_key"), docs.columns.index(text)
+    row = free_name(docs, "row_key")
     # rows need an own key that holds over reruns, so they are written with it once
     keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed-documents")
+    return _without(docs, keyed, _drops(keyed, keys, twice, text, min_chars, row), text, row)
+
+
+def _dedup_by_ranges(docs: DataFrame, text: str, min_docs: int, min_chars: int, n_bits: int, parts: int) -> DataFrame:
+    """The same for more lines than one filter is for: a range of keys at a time, and only the lines to drop are kept of each."""
+    row = free_name(docs, "row_key")
+    keyed, drops = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed-documents"), None
+    for part in range(parts):
+        twice = docs.sparkSession.sparkContext.broadcast((seen_twice(keyed, text, min_chars, n_bits, part, parts), part, parts))
+        keys = materialise(repeated_keys(keyed, twice, text=text, min_docs=min_docs, min_chars=min_chars), "repeated-lines")
+        own = materialise(_drops(keyed, keys, twice, text, min_chars, row), "lines-to-drop")
+        twice.unpersist()
+        drops = own if drops is None else drops.union(own)
+    return _without(docs, keyed, drops, text, row)
+
+
+def _drops(keyed: DataFrame, keys: DataFrame, twice, text: str, min_chars: int, row: str) -> DataFrame:
+    """Numbers of the lines to drop, by row."""
     suspects_schema = T.StructType([T.StructField(row, T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("key", T.BinaryType())])
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +286,12 @@ def _dedup_by_join(docs: DataFrame, keys: DataFrame, twice, text: str, min_chars
                 digests = [_digest(chunk, a, b) for a, b in zip(starts[at], ends[at], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[chunk.first + owner]), pa.array((at - spans.bounds[owner]).astype(np.int32)), pa.array(digests, pa.binary())], names=[row, "line", "key"])
 
-    drops = keyed.select(text, row).mapInArrow(suspects, suspects_schema).join(keys, "key").groupBy(row).agg(F.collect_list("line").alias("drops"))
+    return keyed.select(text, row).mapInArrow(suspects, suspects_schema).join(keys, "key").select(row, "line")
+
+
+def _without(docs: DataFrame, keyed: DataFrame, lines_to_drop: DataFrame, text: str, row: str) -> DataFrame:
+    place = docs.columns.index(text)
+    drops = lines_to_drop.groupBy(row).agg(F.collect_list("line").alias("drops"))
     joined = keyed.join(drops, row, "left")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     marked = joined.withColumn("drops", F.coalesce("drops", F.array().cast("array<int>")))

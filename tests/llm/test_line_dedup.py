@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from tallyloom.llm import line_dedup as ld
@@ -42,3 +43,21 @@ def test_query_and_empty(spark):
     want = sorted((d, n, m, hashlib.sha256(t.encode()).hexdigest()) for d, n, m, t in brute(docs, 10, 1))
     assert sorted(tuple(r) for r in ld.op9(spark, sf).collect()) == want
     assert ld.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(("min_docs", "min_chars"), [(2, 1), (10, 1), (2, 0)])
+def test_many_lines_are_taken_in_ranges(spark, min_docs, min_chars):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string").repartition(3)
+    assert ld.ranges(ld.count_lines(docs, "text"), max_bits=512) > 1
+    rows = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in ld.dedup_lines(docs, min_docs=min_docs, min_chars=min_chars, max_bits=512).collect()), key=str)
+    assert rows == sorted(brute(DOCS, min_docs, min_chars), key=str)
+
+
+def test_filters_stay_sparse(spark):
+    docs = spark.createDataFrame([(i, "\n".join(f"line {i} {k}" for k in range(50))) for i in range(100)], "doc_id long, text string")
+    n, most = 5000, 1 << 14
+    parts = ld.ranges(n, max_bits=most)
+    assert parts == 5 and ld.ranges(1 << 30) == 128
+    for part in range(parts):
+        twice = ld.seen_twice(docs, "text", 1, ld.filter_bits(n, max_bits=most), part, parts)
+        assert np.unpackbits(twice).mean() < 0.05
