@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .frames import free_name, set_aside, table
+from .frames import free_name, map_arrow, set_aside, table
 
 SHARD_BYTES = 32 << 20
 FILTER_BITS = 22
@@ -144,7 +144,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
                 result = pa.array(found, batch.schema.field(batch.num_columns - 1).type)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], result], schema=batch.schema)
 
-        out = out.mapInArrow(scan, schema)
+        out = map_arrow(out, scan, schema)
     words = F.aggregate(f"{state}.words", F.lit(0).cast("long"), lambda total, w: total + w["to"] - w["from"])
     return out.select(*keep, F.col(f"{state}.n_words").alias("n_words"), words.alias("n_hit"), F.col(f"{state}.items").alias("items"), F.col(f"{state}.spans").alias("spans"))
 

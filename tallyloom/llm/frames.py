@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(df: DataFrame, names: set[str], keep: str | None = None) -> DataFrame:
+    """``df`` without columns named as one of ``names`` in any case, but for the column ``keep``."""
+    return df.select(*(F.col(quoted(c)) for c in df.columns if c == keep or c.lower() not in {n.lower() for n in names}))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def set_aside(df: DataFrame, names: set[str]) -> tuple[DataFrame, list]:
     """``df`` with columns named as one of ``names`` renamed, and the columns that give the first form back."""
     renamed = {}
@@ -65,14 +75,25 @@ def set_aside(df: DataFrame, names: set[str]) -> tuple[DataFrame, list]:
     return df.withColumnsRenamed(renamed), [F.col(renamed.get(c, c)).alias(c) for c in df.columns]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+def give_back() -> None:
+    """Return freed memory of this process to the system, which a worker that waits for its next task would keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in workers that give memory back after each task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from fn(batch)
+    def and_give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(and_give_back, schema)
 
 
 def remainder(column: str, n: int):

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .frames import discard, materialise, remainder, table
+from .frames import discard, map_arrow, materialise, remainder, table
 
 STRETCH_BYTES = 8 << 20
 SHARD_ENTRIES = 1 << 20
@@ -109,7 +109,7 @@ def encode(docs: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([number]), ids, *(pa.array([c if isinstance(c, bytes) else c.tobytes()], pa.binary()) for c in cells), pa.array([int(used.sum())]), pa.array([len(tokens)]), pa.array([len(unique)])], names=schema.names)
                 number += 1
 
-    return docs.select(doc_id, text, train.alias("train")).mapInArrow(run, schema)
+    return map_arrow(docs.select(doc_id, text, train.alias("train")), run, schema)
 
 
 def _deal(shards: int):
@@ -449,7 +449,7 @@ def score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str =
     if entries is None:
         return docs.sparkSession.createDataFrame([], schema)
     shards = -(-entries // SHARD_ENTRIES)
-    shares = stretches.select("stretch", "hashes", "counts").mapInArrow(_deal(shards), _SHARES)
+    shares = map_arrow(stretches.select("stretch", "hashes", "counts"), _deal(shards), _SHARES)
     answers = materialise(shares.groupBy("shard").applyInArrow(_answer, _ANSWERS), "answers")
 
     del shares
@@ -464,17 +464,17 @@ def score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str =
     binary = [T.StructField(c, T.BinaryType()) for c in ("sizes", "train", "tokens", "numbers", "known", "base")]
     coded_schema = T.StructType([T.StructField("stretch", T.LongType()), stretches.schema["ids"], *binary])
     asked = stretches.drop("counts", "n_train", "n_tokens", "entries").repartition(n_stretches, "stretch").join(by_stretch.repartition(n_stretches, "stretch"), "stretch")
-    coded = materialise(asked.mapInArrow(_code(stats, coded_schema), coded_schema), "coded")
+    coded = materialise(map_arrow(asked, _code(stats, coded_schema), coded_schema), "coded")
     discard(stretches)
     discard(answers)
     del asked, by_stretch, stretches, answers
     release(docs.sparkSession)
 
-    blocks = coded.select("stretch", "sizes", "train", "tokens", "numbers").mapInArrow(_ship(stats), _BLOCKS)
+    blocks = map_arrow(coded.select("stretch", "sizes", "train", "tokens", "numbers"), _ship(stats), _BLOCKS)
     # parts are few and large: with more partitions than parts, few share one
     sums = blocks.repartition(3 * stats.parts, "part").groupBy("part").applyInArrow(_learn_and_score(sc.broadcast(stats)), _SUMS)
     found = sums.groupBy("stretch").agg(F.collect_list(F.struct("texts", "sums")).alias("found"))
-    return coded.drop("tokens", "numbers").join(found, "stretch").mapInArrow(_finish(stats, schema), schema)
+    return map_arrow(coded.drop("tokens", "numbers").join(found, "stretch"), _finish(stats, schema), schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .frames import free_name, materialise, table
+from .frames import free_name, map_arrow, materialise, table
 
 BLOCK_BITS = 1 << 20
 BITS_PER_LINE = 16
@@ -153,7 +153,7 @@ def ranges(n_lines: int, bits_per_line: int = BITS_PER_LINE, max_bits: int = MAX
 
 def seen_twice(docs: DataFrame, text: str, min_chars: int, n_bits: int, part: int = 0, parts: int = 1) -> np.ndarray:
     """The second filter of one range of keys, packed."""
-    filters = docs.select(text).mapInArrow(_fill(text, min_chars, n_bits, part, parts), _FILTERS)
+    filters = map_arrow(docs.select(text), _fill(text, min_chars, n_bits, part, parts), _FILTERS)
     merged = filters.groupBy("block").applyInArrow(_merge_blocks, _FILTERS)
     twice = np.zeros(n_bits, bool)
     for row in merged.select("block", "twice").toLocalIterator():
@@ -194,7 +194,7 @@ def repeated_keys(docs: DataFrame, twice, *, text: str, min_docs: int, min_chars
                     counted = pa.table({"key": pa.array(digests, pa.binary()), "n": np.ones(len(at), np.int64)}).group_by("key").aggregate([("n", "sum")])
                     yield from counted.select(["key", "n_sum"]).rename_columns(["key", "n"]).to_batches()
 
-    counts = docs.select(text).mapInArrow(suspects, _SUSPECTS).groupBy("key").agg(F.sum("n").alias("n"))
+    counts = map_arrow(docs.select(text), suspects, _SUSPECTS).groupBy("key").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") >= min_docs).select("key")
 
 
@@ -245,7 +245,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_
                 columns = [new if k == place else c for k, c in enumerate(batch.columns)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(n_lines or [np.zeros(0, np.int64)])), pa.array(n_dropped)], names=schema.names)
 
-        return docs.mapInArrow(apply, schema)
+        return map_arrow(docs, apply, schema)
     return _dedup_by_join(docs, keys, twice, text, min_chars)
 
 
@@ -286,7 +286,7 @@ def _drops(keyed: DataFrame, keys: DataFrame, twice, text: str, min_chars: int,
                 digests = [_digest(chunk, a, b) for a, b in zip(starts[at], ends[at], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[chunk.first + owner]), pa.array((at - spans.bounds[owner]).astype(np.int32)), pa.array(digests, pa.binary())], names=[row, "line", "key"])
 
-    return keyed.select(text, row).mapInArrow(suspects, suspects_schema).join(keys, "key").select(row, "line")
+    return map_arrow(keyed.select(text, row), suspects, suspects_schema).join(keys, "key").select(row, "line")
 
 
 def _without(docs: DataFrame, keyed: DataFrame, lines_to_drop: DataFrame, text: str, row: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from . import textscan as ts
-from .frames import table
+from .frames import map_arrow, table
 
 PIVOTS = 512
 PREFIX = 64
@@ -162,7 +162,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, vec_id: str =
                 if sum(sizes):
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids, sizes)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], names=schema.names)
 
-            found = found.union(same.mapInArrow(run, schema))
+            found = found.union(map_arrow(same, run, schema))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+#: Bytes (or words) that are hashed together: bounds the tables of powers.
+BLOCK = 1 << 17
 
 #: ASCII lower-casing of single bytes; bytes of multi-byte characters stay.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -46,7 +48,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = max(n, 1 << 16)
             for name, base in (("up", self.base), ("down", _inverse(self.base))):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
@@ -140,25 +142,66 @@ def words(chunk: Chunk, kind: np.ndarray = NOT_SPACE) -> Spans:
     return Spans(starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, chunk.offsets))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def _direct_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _BYTE_POWERS.upto(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_TABLE[data] * up[:-1], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """Of one long span, a block at a time."""
+    total, factor = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    step = np.array([pow(int(_BYTE_POWERS.base), BLOCK, 1 << 64)], np.uint64)
+    for at in range(0, len(data), BLOCK):
+        part = data[at : at + BLOCK]
+        total += factor * _direct_hashes(part, np.zeros(1, np.int64), np.array([len(part)]))
+        factor = factor * step
+    return total[0]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, a block of bytes at a time."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    if len(data) <= BLOCK:
+        h = _direct_hashes(data, starts, ends)
+    else:
+        h = np.empty(len(starts), np.uint64)
+        sorted_ = bool((starts[1:] >= starts[:-1]).all())
+        order = None if sorted_ else np.argsort(starts, kind="stable")
+        s, n = (starts, sizes) if sorted_ else (starts[order], sizes[order])
+        at = 0
+        while at < len(s):
+            begin = int(s[at])
+            to = int(np.searchsorted(s, begin + BLOCK, "left"))
+            short = n[at:to] <= BLOCK
+            mine = np.arange(at, to)[short]
+            place = mine if sorted_ else order[mine]
+            if len(mine):
+                here, size = s[mine] - begin, n[mine]
+                h[place] = _direct_hashes(data[begin : begin + int((here + size).max())], here, here + size)
+            for k in (np.arange(at, to)[~short] if not short.all() else ()):
+                h[k if sorted_ else order[k]] = _long_hash(data[s[k] : s[k] + n[k]])
+            at = to
+    return mix(h + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each ``n`` consecutive word hashes; windows may cross documents (mask them with ``inner``)."""
-    if len(h) < n:
+    total = len(h) - n + 1
+    if total <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _WORD_POWERS.upto(len(h) + 1)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[:-1], out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * down[: len(h) - n + 1] + np.uint64(n))
+    out = np.empty(total, np.uint64)
+    step = max(BLOCK, n)
+    for at in range(0, total, step):
+        part = h[at : at + step + n - 1]
+        up, down = _WORD_POWERS.upto(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[:-1], out=sums[1:])
+        out[at : at + step] = (sums[n:] - sums[:-n]) * down[: len(part) - n + 1]
+    return mix(out + np.uint64(n))
 
 
 def inner(bounds: np.ndarray, n: int, total: int) -> np.ndarray:
@@ -191,3 +234,40 @@ def same_bytes(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b: np.ndar
     bad = np.repeat(i, n)[differ]
     same[bad] = False
     return same
+
+
+class Windows:
+    """Hashes of stretches of any length of some bytes, as ``span_hashes`` has them."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        if len(data) <= 4 * BLOCK:
+            up, self.down = _BYTE_POWERS.upto(len(data) + 1)
+            self.sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTE_TABLE[data] * up[:-1], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, n: int) -> np.ndarray:
+        if len(self.data) > 4 * BLOCK:
+            return span_hashes(self.data, starts, starts + n)
+        return mix((self.sums[starts + n] - self.sums[starts]) * self.down[starts] + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+
+class Lookup:
+    """Places of 64-bit numbers in a list; a bitmap answers most that aren't in it."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.order = np.argsort(numbers)
+        self.sorted = numbers[self.order]
+        self.shift = np.uint64(64 - max(10, len(numbers).bit_length() + 4))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[mix(numbers) >> self.shift] = True
+
+    def find(self, numbers: np.ndarray) -> np.ndarray:
+        """-1 for numbers that aren't there."""
+        out = np.full(len(numbers), -1, np.int32)
+        some = np.flatnonzero(self.bits[mix(numbers) >> self.shift])
+        if len(some):
+            asked = numbers[some]
+            k = np.minimum(np.searchsorted(self.sorted, asked), len(self.sorted) - 1)
+            out[some] = np.where(self.sorted[k] == asked, self.order[k], -1)
+        return out
