@@ -4,13 +4,16 @@ A document is a bag of sentences.  A sentence's score is logistic in hashed feat
 first bytes); the document's score is the noisy-or of its sentences, ``1 - prod(1 - p)``.  Only document
 labels are needed to train; afterwards the sentence scores locate what offends.
 
-Fitted on at most ``labelled.SAMPLE_ROWS`` labelled documents; features that fewer
-than ``MIN_DOCS`` of them hold, or that toxic documents hold no more often than chance explains, have weight 0.
-Scoring covers every sentence of every text.
-
-Edge cases: null and empty texts are one empty sentence with the model's bias; without labels of both kinds
-every score is the bias alone; repeated rows score alike; an empty table gives an empty result; extra columns
-pass through, result columns replace columns of the same name.
+Fitted on a sample bounded by ``labelled.SAMPLE_ROWS`` and ``labelled.SAMPLE_BYTES``; features that fewer
+than ``MIN_DOCS`` of its documents hold (a sixteenth of the toxic ones if those are few, but two at least), or that toxic documents
+hold no more often than chance explains, have no weight.  Sentences without a weighted feature offend nobody: their probability
+is 0.  The cut lies between two different scores, where at least half of the documents above it are toxic and F1 is best; if there
+is no such place, no document is called toxic.  Scoring covers every sentence of every text.
+
+Edge cases: null and empty texts have one empty sentence and the least score there is; without labels of both kinds
+all documents score alike, by the label there is; equal texts score alike and documents that tie fall on one side of the cut;
+rows without an id count as held out; an empty table gives an empty result; extra columns
+pass through, result columns replace columns of the same name, whatever their case.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .frames import remainder, set_aside, table
+from .frames import map_arrow, remainder, set_aside, table, without
 from .labelled import fitted, sample, squash
 
 BUCKETS = 1 << 20
@@ -36,6 +39,10 @@ STEPS = 150
 RATE = 0.3
 DECAY = 1e-4
 CUT = 0.5
+#: Toxic documents that the cut is chosen by, at least; with fewer it is chosen by those that train the weights.
+LEAST_TUNED = 10
+#: The widest gap of scores that the cut lies in the middle of.
+WIDEST = 4.0
 
 #: Bytes that end a sentence: line break, ! . ?
 ENDS = np.zeros(256, bool)
@@ -89,10 +96,14 @@ class Model:
     cut: float
 
     def sentences(self, chunk: ts.Chunk) -> tuple[Sentences, np.ndarray]:
+        """Sentences and their log odds, without end where no feature has a weight."""
         found = sentences_of(chunk)
-        per_word = self.weights[word_features(chunk, found.words)].sum(axis=1)
-        sums = np.concatenate([[0.0], np.cumsum(per_word)])
-        return found, self.bias + sums[found.first_word[1:]] - sums[found.first_word[:-1]]
+        own = self.weights[word_features(chunk, found.words)]
+        sums = np.concatenate([[0.0], np.cumsum(own.sum(axis=1, dtype=float))])
+        heard = np.concatenate([[0], np.cumsum((own != 0).any(axis=1))])
+        z = self.bias + sums[found.first_word[1:]] - sums[found.first_word[:-1]]
+        z[heard[found.first_word[1:]] == heard[found.first_word[:-1]]] = -np.inf
+        return found, z
 
     def documents(self, chunk: ts.Chunk) -> np.ndarray:
         """Raw scores: the log odds of the noisy-or."""
@@ -113,20 +124,29 @@ def log_odds(a: np.ndarray) -> np.ndarray:
     return np.log(-np.expm1(-a)) + a
 
 
+#: The score of a document without a weighted feature.
+LEAST = float(log_odds(np.zeros(1))[0])
+
+
 def best_cut(raw: np.ndarray, labels: np.ndarray) -> float:
-    """The cut with the best F1, in the middle of its gap."""
+    """Between two different scores, where F1 is best of all places with a precision of a half or more; above all if there is none."""
     order = np.argsort(-raw, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(raw) + 1) + labels.sum())
+    hits, n = np.cumsum(labels[order]), np.arange(1, len(raw) + 1)
+    f1 = 2 * hits / (n + labels.sum())
+    scores = raw[order]
+    last = np.append(scores[1:] < scores[:-1], False)  # of its ties, and not of all
+    f1[~last | (2 * hits < n)] = 0
     k = int(np.argmax(f1))
-    return float((raw[order[k]] + raw[order[min(k + 1, len(raw) - 1)]]) / 2)
+    if not f1[k]:
+        return float(scores[0]) + 1
+    return float((scores[k] + max(scores[k + 1], scores[k] - WIDEST)) / 2)
 
 
 def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     """Full-batch AdaGrad on the likelihood of the noisy-or."""
     weights = np.zeros(BUCKETS + 1)
     if not 0 < labels.sum() < len(labels):
-        return Model(weights.astype(np.float32), 3.0 if len(labels) and labels.all() else -6.0, 0.0)
+        return Model(weights.astype(np.float32), 0.0, LEAST - 3.0 if len(labels) and labels.all() else LEAST + 6.0)
     y, n = labels.astype(float), len(labels)
     held_by, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for chunk in ts.chunks(texts):
@@ -136,27 +156,34 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         held_by += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
         toxic += np.bincount(pairs % BUCKETS, y[chunk.first + pairs // BUCKETS], BUCKETS)
     chance = held_by * y.mean()
-    active = np.flatnonzero((held_by >= MIN_DOCS) & (toxic > chance + SURPRISE * np.sqrt(chance)))
+    least = min(MIN_DOCS, max(2, int(y.sum()) // 16))
+    active = np.flatnonzero((held_by >= least) & (toxic > chance + SURPRISE * np.sqrt(chance)))
+    if not len(active):
+        return Model(weights.astype(np.float32), 0.0, LEAST + 6.0)
     index = np.full(BUCKETS + 1, -1, np.int32)
     index[active] = np.arange(len(active))
-    features, owner, bounds, base = [], [], [0], 0
+    features, owner, doc, base = [], [], [], 0
     for chunk in ts.chunks(texts):
         found = sentences_of(chunk)
         f = index[word_features(chunk, found.words)]
         sentence = np.repeat(np.arange(len(found.first_word) - 1), np.diff(found.first_word))
+        sentence = np.broadcast_to(sentence[:, None], f.shape)[f >= 0]
+        heard, place = np.unique(sentence, return_inverse=True)  # sentences with an active feature
         features.append(f[f >= 0])
-        owner.append((np.broadcast_to(sentence[:, None], f.shape) + base)[f >= 0])
-        bounds += (found.bounds[1:] + base).tolist()
-        base += len(found.first_word) - 1
-    f, s, bounds = np.concatenate(features), np.concatenate(owner), np.array(bounds)
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        owner.append((place + base).astype(np.int32))
+        doc.append((chunk.first + np.searchsorted(found.bounds, heard, "right") - 1).astype(np.int32))
+        base += len(heard)
+    f, s, doc = np.concatenate(features), np.concatenate(owner), np.concatenate(doc)
+    del features, owner
     w, g2 = np.zeros(len(active)), np.full(len(active), 1e-8)
     bias, b2 = float(np.log(max(y.mean(), 1e-3) / max(1, len(doc) / n))), 1e-8
     tuned = np.arange(n) % 5 == 4  # these choose the cut
+    if y[tuned].sum() < LEAST_TUNED or y[tuned].all():
+        tuned[:] = False
     weight = np.where(tuned, 0.0, 1.0) * np.where(y > 0, (n - y.sum()) / y.sum(), 1.0) ** 0.5
     for _ in range(STEPS):
         z = bias + np.bincount(s, w[f], len(doc))
-        a = np.add.reduceat(softplus(z), bounds[:-1])
+        a = np.bincount(doc, softplus(z), n)
         slope = np.where(y > 0, -1 / np.expm1(np.clip(a, 1e-6, 50)), 1.0) * weight
         dz = slope[doc] / (1 + np.exp(-np.clip(z, -40, 40)))
         grad = np.bincount(f, dz[s], len(active)) / n + DECAY * w
@@ -165,10 +192,10 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         gb = dz.sum() / n
         b2 += gb * gb
         bias -= RATE * gb / np.sqrt(b2)
-    weights[active] = w
-    raw = log_odds(np.add.reduceat(softplus(bias + np.bincount(s, w[f], len(doc))), bounds[:-1]))
-    some = tuned if 0 < y[tuned].sum() < tuned.sum() else np.ones(n, bool)
-    return Model(weights.astype(np.float32), bias, best_cut(raw[some], y[some]))
+    weights[active] = np.where(w == 0, 1e-9, w)
+    raw = log_odds(np.bincount(doc, softplus(bias + np.bincount(s, w[f], len(doc))), n))
+    some = tuned if tuned.any() else np.ones(n, bool)
+    return Model(weights.astype(np.float32), bias, best_cut(raw[some], labels[some]))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", **options) -> Model:
@@ -177,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", **options
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """``docs`` with toxicity (double, 0 to 1)."""
-    docs = docs.drop("toxicity")
+    docs = without(docs, {"toxicity"}, text)
     place, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
 
@@ -186,12 +213,12 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             scores = [shared.value.score(c) for c in ts.chunks(batch.column(place))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores or [np.zeros(0)]), pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def locate(docs: DataFrame, model: Model, *, text: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` with offending: byte ranges (from, to) and scores of the sentences that reach ``least``."""
-    docs = docs.drop("offending")
+    docs = without(docs, {"offending"}, text)
     place, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
     item = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType()), T.StructField("score", T.DoubleType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("offending", T.ArrayType(item))])
@@ -208,7 +235,7 @@ def locate(docs: DataFrame, model: Model, *, text: str = "text", least: float =
             kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def reject(docs: DataFrame, model: Model, *, text: str = "text", cut: float = CUT) -> DataFrame:
