@@ -3,21 +3,25 @@
 A document's set is its distinct ``shingle``-word shingles (all words as one if there are fewer).  Documents whose sets have
 a Jaccard similarity of at least ``percent`` / 100 are linked; groups are what links connect.
 
-* Texts with the same set fall into one class first, so copies cost one row each and no pair.
+* Texts with the same set (a 128-bit hash of it) fall into one class first, so copies cost one row each and no pair.  Classes are
+  numbered in the table that they are written to; the numbers decide nothing but the order of work.
 * Each class gets two collections of ``bands`` bands of ``rows`` minimum hashes.  A table key is a pair of a band of the
   first collection and one of the second: ``bands**2`` tables of ``2 * rows`` hashes from ``2 * bands * rows`` hashes.
   At similarity s a pair meets in some table with probability ``(1 - (1 - s**rows)**bands)**2``: 0.99998 at 0.8 with
   the defaults.  Bands that no second class holds are dropped before keys are formed.
-* Candidates are verified on full sets.  A class is first compared with one leader of its buckets; then, where a bucket
-  still spans components, with the member that has most company, its centre.  What is left are pairs of a bucket
-  across components.  Sizes, intersections with the common centre and a bitmap of the shingles beyond it bound
+* Candidates are verified on full sets.  A class is first compared with one leader of its tables.  Where classes that share
+  a band of the first collection are still in several components, each is compared with the one of them that has most company,
+  its centre.  What is left are pairs across components that share a table key, which is a band of both collections.
+  Sizes, intersections with the common centre and a bitmap of the shingles beyond it bound
   their similarity from above; pairs whose bound falls short are passed over, all others are compared.
   Pairs within one component need no comparison, as the result is the components.
 * Components come from alternating star contractions; nothing is gathered on the driver.
 
-Edge cases: texts without words (null, empty) have an empty set, are linked with nothing and stay; rows with
-one id are one document; rows without an id are never linked on their own (they show the component of the same text) and stay; an empty table gives an empty result; extra
-columns pass through in ``dedup``.
+Edge cases: texts without words (null, empty) have an empty set, are linked with nothing and stay.  Rows with one id are one
+document: in ``group`` it has the links of all its texts and one component.  ``dedup`` goes by texts and loses none: a row goes only if
+a row with a smaller id, or another row of its id, stays for the group of its text.  Rows without an id are never
+linked on their own (they show the component of the same text) and stay.  An empty table gives an empty result; extra
+columns pass through in ``dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .frames import discard, free_name, materialise, table
+from .frames import discard, free_name, map_arrow, materialise, quoted, table
 
 ROWS = 3
 BANDS = 16
@@ -80,20 +84,19 @@ def signatures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
             for chunk in ts.chunks(batch.column(1)):
                 sets = _sets(chunk, shingle)
                 sign = _signature(sets, rows, bands).astype(np.int64)
-                a = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
-                b = np.array([ts.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
+                a, b = _names(sets)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * 2 * bands), pa.array(sign.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), flat], names=schema.names)
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return map_arrow(docs.select(doc_id, text), run, schema)
 
 
 def shared_bands(classes: DataFrame, bands: int = BANDS) -> DataFrame:
-    """(id, size, first, second): of each collection the bands that a second class has, in order."""
-    each = classes.select("id", "size", F.posexplode("bands").alias("place", "band"))
-    shared = each.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("band")
+    """(node, size, first, second): of each collection the bands that a second class has, in order."""
+    each = classes.select("node", "size", F.posexplode("bands").alias("place", "band"))
+    shared = each.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band")
     met = each.join(shared, "band")
-    own = met.groupBy("id", "size").agg(
+    own = met.groupBy("node", "size").agg(
         F.array_sort(F.collect_list(F.when(F.col("place") < bands, F.col("band")))).alias("first"),
         F.array_sort(F.collect_list(F.when(F.col("place") >= bands, F.col("band")))).alias("second"),
     )
@@ -101,9 +104,9 @@ def shared_bands(classes: DataFrame, bands: int = BANDS) -> DataFrame:
 
 
 def table_keys(shared: DataFrame) -> DataFrame:
-    """(key, id, size) of the buckets that can hold two classes: each pair of a band of both collections."""
-    pairs = shared.select("id", "size", F.explode("first").alias("a"), "second").select("id", "size", "a", F.explode("second").alias("b"))
-    return pairs.select(F.xxhash64("a", "b").alias("key"), "id", "size")
+    """(key, node, size) of the buckets that can hold two classes: each pair of a band of both collections."""
+    pairs = shared.select("node", "size", F.explode("first").alias("a"), "second").select("node", "size", "a", F.explode("second").alias("b"))
+    return pairs.select(F.xxhash64("a", "b").alias("key"), "node", "size")
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -121,7 +124,7 @@ def _mark(df: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in (u, v) links but the smallest of each component."""
+    """(node, component) of every node in (u, v) links but the smallest of each component, which is its name."""
     edges = materialise(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
     mark = _mark(edges)
     while mark[0]:
@@ -130,23 +133,26 @@ def components(links: DataFrame) -> DataFrame:
         edges, before, mark = nearer, mark, _mark(nearer)
         if mark == before:
             break
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _grams(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(id, grams): the full sets of some documents, one row for each id."""
-    few = ids.count() <= BROADCAST_IDS
-    ids = ids.select(F.col("id").alias(doc_id))
-    wanted = docs.select(doc_id, text).where(F.col(text).isNotNull()).join(F.broadcast(ids) if few else ids, doc_id, "left_semi")
-    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("grams", T.BinaryType()), T.StructField("digest", T.LongType())])
+def _grams(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """(node, grams): the full sets of some classes, from the texts of their least ids."""
+    few = wanted.count() <= BROADCAST_IDS
+    ids = wanted.select(F.col("id").alias("wanted_id"))
+    rows = docs.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).alias("text")).where(F.col("text").isNotNull())
+    rows = rows.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("wanted_id"), "left_semi")
+    schema = T.StructType([rows.schema["id"], *(T.StructField(c, T.LongType()) for c in ("set_a", "set_b")), T.StructField("grams", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in ts.chunks(batch.column(1)):
                 sets = _sets(chunk, shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets], pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), *map(pa.array, _names(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=schema.names)
 
-    return wanted.mapInArrow(run, schema)
+    # repeated rows of an id have one set; other texts of the id are other classes, which have a row of their own here or aren't asked for
+    each = map_arrow(rows, run, schema).groupBy("id", "set_a", "set_b").agg(F.any_value("grams").alias("grams"))
+    return each.join(wanted, ["id", "set_a", "set_b"]).select("node", "grams")
 
 
 def _compared(pairs: DataFrame, grams: DataFrame) -> DataFrame:
@@ -154,10 +160,9 @@ def _compared(pairs: DataFrame, grams: DataFrame) -> DataFrame:
 
     ``bits`` has a bit for the hash of each shingle of u that v lacks, ``hidden`` says how many of those share a bit.
     """
-    both = pairs.join(grams.select(F.col("id").alias("u"), F.col("grams").alias("gu")), "u").join(grams.select(F.col("id").alias("v"), F.col("grams").alias("gv")), "v").select("u", "v", "gu", "gv")
-    kind = grams.schema["id"].dataType
+    both = pairs.join(grams.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u").join(grams.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v").select("u", "v", "gu", "gv")
     long = T.LongType()
-    schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind), *(T.StructField(c, long) for c in ("size_u", "size_v", "common", "hidden")), T.StructField("bits", T.ArrayType(long))])
+    schema = T.StructType([*(T.StructField(c, long) for c in ("u", "v", "size_u", "size_v", "common", "hidden")), T.StructField("bits", T.ArrayType(long))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +177,7 @@ def _compared(pairs: DataFrame, grams: DataFrame) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * BITMAP), pa.array(words))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c) for c in numbers.T.copy()), flat], names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return map_arrow(both, run, schema)
 
 
 def _linked(compared: DataFrame, percent: int) -> DataFrame:
@@ -198,82 +203,137 @@ def _possible(percent: int) -> Column:
     return (F.col("centre") != F.col("other_centre")) | (most * (100 + percent) >= (F.col("size") + F.col("other")) * percent)
 
 
-def group(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row for each row of ``docs``."""
-    signed = materialise(signatures(docs, doc_id=doc_id, text=text, shingle=shingle, rows=rows, bands=bands), "signatures")
-    named = signed.where(F.col("id").isNotNull() & (F.col("size") > 0))
-    classes = materialise(named.groupBy("set_a", "set_b", "size").agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("id")), "classes")
-    shared = materialise(shared_bands(classes.select("id", "size", "bands"), bands), "shared-bands")
-    keys = materialise(table_keys(shared), "table-keys")
+def _texts_grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, rows: int, bands: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, size, set_a, set_b, node) of each row, and (node, component) of the classes that are linked: both written.
 
-    def unsettled(comps: DataFrame | None) -> DataFrame:
-        """Rows of the buckets that still hold several components."""
-        known = keys.withColumn("component", F.col("id")) if comps is None else keys.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        spans = known.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-        return known.join(spans, "key").select("key", "id", "size", "component")
+    ``by_id``: texts of one id are linked, and rows without words belong to the other texts of their id.
+    """
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialise(df, name))
+        return made[-1]
+
+    signed = keep(signatures(docs, doc_id=doc_id, text=text, shingle=shingle, rows=rows, bands=bands), "signatures")
+    named = signed.where(F.col("id").isNotNull() & (F.col("size") > 0))
+    each = named.groupBy("set_a", "set_b", "size").agg(F.any_value("bands").alias("bands"), F.min("id").alias("id"))
+    classes = keep(each.withColumn("node", F.monotonically_increasing_id()), "classes")
+    shared = keep(shared_bands(classes.select("node", "size", "bands"), bands), "shared-bands")
+    keys = keep(table_keys(shared), "table-keys")
+    members = materialise(signed.drop("bands").join(classes.select("set_a", "set_b", "size", "node"), ["set_a", "set_b", "size"], "left").select("id", "size", "set_a", "set_b", "node"), "members")
 
     def settle(comps: DataFrame, links: DataFrame) -> DataFrame:
         """Components after some more links."""
         for side in ("u", "v"):
-            of = comps.select(F.col("id").alias(side), F.col("component").alias("c"))
+            of = comps.select(F.col("node").alias(side), F.col("component").alias("c"))
             links = links.join(of, side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
-        merged = materialise(components(links), "components")
+        merged = keep(components(links), "components")
         if merged.isEmpty():
             return comps
-        moved = comps.join(merged.select(F.col("id").alias("component"), F.col("component").alias("new")), "component", "left").select("id", F.coalesce("new", "component").alias("component"))
-        return materialise(moved.unionByName(merged.join(comps.select("id"), "id", "left_anti")), "components")
-
-    grams = materialise(_one_each(_grams(docs, keys.select("id").distinct(), doc_id, text, shingle)), "grams")
-
-    # a leader for each class: the least of its buckets
-    leaders = keys.groupBy("key").agg(F.min(F.struct("id", "size")).alias("lead"))
-    led = keys.join(leaders, "key").select("id", "size", F.col("lead.id").alias("v"), F.col("lead.size").alias("other")).where(F.col("id") != F.col("v"))
-    first = led.where(_alike(percent)).groupBy("id").agg(F.min("v").alias("v")).select(F.col("id").alias("u"), "v")
-    comps = materialise(components(_linked(_compared(first, grams), percent)), "components")
-
-    # a centre for each class: of its buckets' members the one with most company
-    rest = materialise(unsettled(comps), "unsettled")
-    company = rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("id").agg(F.sum("n").alias("company"))
-    best = rest.join(company, "id").groupBy("key").agg(F.max(F.struct("company", "id")).alias("best"))
-    centres = rest.select("key", "id").join(best, "key").groupBy("id").agg(F.max("best").alias("best")).select(F.col("id").alias("u"), F.col("best.id").alias("v"))
-    near = materialise(_compared(centres, grams), "centres")
+        moved = comps.join(merged.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+        return keep(moved.unionByName(merged.join(comps.select("node"), "node", "left_anti")), "components")
+
+    grams = keep(_grams(docs, keep(classes.join(shared.select("node"), "node", "left_semi").select("id", "set_a", "set_b", "node"), "wanted"), doc_id, text, shingle), "grams")
+
+    # a leader for each class: the least of its tables
+    leaders = keys.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"))
+    led = keys.join(leaders, "key").select("node", "size", F.col("lead.node").alias("v"), F.col("lead.size").alias("other")).where(F.col("node") != F.col("v"))
+    first = led.where(_alike(percent)).groupBy("node").agg(F.min("v").alias("v")).select(F.col("node").alias("u"), "v")
+    comps = keep(components(_linked(_compared(first, grams), percent)), "components")
+
+    buckets = shared.select(F.explode("first").alias("band"), "node", "size")
+
+    def unsettled(comps: DataFrame) -> DataFrame:
+        """Rows of the bands that still hold several components."""
+        known = buckets.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sizes = known.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+        spans = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("many"), F.max(F.struct("n", "component")).alias("most")).where("many > 1").select("band", F.col("most.component").alias("main"))
+        return known.join(spans, "band").select("band", "node", "size", "component", "main")
+
+    # a centre for each class: of those that it shares a band with the one with most company
+    rest = keep(unsettled(comps), "unsettled")
+    company = rest.join(rest.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band").groupBy("node").agg(F.sum("n").alias("company"))
+    best = rest.join(company, "node").groupBy("band").agg(F.max(F.struct("company", "node")).alias("best"))
+    centres = rest.select("band", "node").join(best, "band").groupBy("node").agg(F.max("best").alias("best")).select(F.col("node").alias("u"), F.col("best.node").alias("v"))
+    near = keep(_compared(centres, grams), "centres")
     comps = settle(comps, _linked(near.where("u <> v"), percent))
 
-    # what is left: classes outside their bucket's main component with all that their shingles beyond the centre allow
-    rest = materialise(unsettled(comps), "unsettled")
-    place = near.select(F.col("u").alias("id"), F.col("v").alias("centre"), "common", "hidden", "bits")
-    rest = rest.join(rest.groupBy("key").agg(F.mode("component").alias("main")), "key").join(place, "id").join(shared.select("id", "first", "second"), "id")
-    mine = rest.where(F.col("component") != F.col("main")).drop("main")
-    other = rest.select("key", *(F.col(c).alias(f"other_{c}" if c != "size" else "other") for c in ("id", "size", "component", "centre", "common", "hidden", "bits", "first", "second")))
-    # a pair meets in many buckets; the one of the least bands of both collections that it shares stands for all
-    least = lambda c: F.array_min(F.array_intersect(c, f"other_{c}"))
-    once = F.col("key") == F.xxhash64(least("first"), least("second"))
-    across = mine.join(other, "key").where((F.col("component") != F.col("other_component")) & _alike(percent) & _possible(percent) & once)
-    pairs = across.select(F.greatest("id", "other_id").alias("u"), F.least("id", "other_id").alias("v")).distinct()
+    # what is left: classes outside their band's main component with all that their shingles beyond the centre allow
+    place = near.select(F.col("u").alias("node"), F.col("v").alias("centre"), "common", "hidden", "bits")
+    rest = keep(unsettled(comps).join(place, "node").join(shared.select("node", "first", "second"), "node"), "unsettled")
+    mine = rest.where(F.col("component") != F.col("main"))
+    other = rest.select("band", *(F.col(c).alias(f"other_{c}" if c != "size" else "other") for c in ("node", "size", "component", "centre", "common", "hidden", "bits", "first", "second")))
+    # a pair meets in many bands; the least that it shares stands for all
+    once = F.col("band") == F.array_min(F.array_intersect("first", "other_first"))
+    across = mine.join(other, "band").where((F.col("component") != F.col("other_component")) & _alike(percent) & F.arrays_overlap("second", "other_second") & _possible(percent) & once)
+    pairs = across.select(F.greatest("node", "other_node").alias("u"), F.least("node", "other_node").alias("v")).distinct()
     comps = settle(comps, _linked(_compared(pairs, grams), percent))
 
-    resolved = classes.select("set_a", "set_b", "size", "id").join(comps, "id", "left").select("set_a", "set_b", "size", F.coalesce("component", "id").alias("component"))
-    out = signed.select("id", "size", "set_a", "set_b").join(resolved, ["set_a", "set_b", "size"], "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(doc_id), F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    if by_id:
+        several = keep(
+            members.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count_if(F.col("node").isNull()).alias("blank"))
+            .where("least < most or (least is not null and blank > 0)").select("id", "least"), "several-texts",
+        )
+        if not several.isEmpty():
+            comps = settle(comps, members.where("node is not null").join(several, "id").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct())
+            made.append(members)
+            members = materialise(members.join(several, "id", "left").withColumn("node", F.coalesce("node", "least")).drop("least"), "members")
+    comps = materialise(classes.select("node", "id", "set_a", "set_b").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "components")
+    for df in made:
+        discard(df)
+    return members, comps
 
 
-def _one_each(grams: DataFrame) -> DataFrame:
-    """Repeated rows of an id have one set; of different texts under one id the one with the least digest stands for both."""
-    return grams.groupBy("id").agg(F.min_by("grams", "digest").alias("grams"))
+def group(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row for each row of ``docs``."""
+    members, comps = _texts_grouped(docs, doc_id, text, shingle, percent, rows, bands, True)
+    least = comps.groupBy("component").agg(F.min("id").alias("least"))
+    named = members.join(comps.join(least, "component").select("node", "least"), "node", "left")
+    component = F.coalesce("least", "id")
+    return named.select(F.col("id").alias(doc_id), F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def _names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit hash of each set, in two parts."""
+    a = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
+    b = np.array([ts.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64)
+    return a, b
 
 
-def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group: the smallest id.  Repeated rows of an id stay once."""
-    grouped = materialise(group(docs, doc_id=doc_id, text=text, **options), "groups")
-    key = free_name(docs, "kept_id")
-    dropped = grouped.where("not kept").select(F.col(doc_id).alias(key)).distinct()
-    kept = docs.join(dropped, F.col(doc_id) == F.col(key), "left_anti")
-    repeated = grouped.where(F.col("kept") & F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    named = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return named.unionByName(kept.where(F.col(doc_id).isNull()))
+def _with_names(docs: DataFrame, text: str, shingle: int, names: tuple[str, str]) -> DataFrame:
+    """``docs`` with the hashes of their sets."""
+    place = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [_names(_sets(chunk, shingle)) for chunk in ts.chunks(batch.column(place))] or [(np.zeros(0, np.int64),) * 2]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.concatenate(x)) for x in zip(*both, strict=True))], names=schema.names)
+
+    return map_arrow(docs, run, schema)
+
+
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """``docs`` with one row of each group of texts: one with the smallest id."""
+    members, comps = _texts_grouped(docs, doc_id, text, shingle, percent, rows, bands, False)
+    chosen = comps.groupBy("component").agg(F.min(F.struct("id", "set_a", "set_b")).alias("chosen"))
+    stays = comps.join(chosen, "component").where(F.struct("id", "set_a", "set_b") == F.col("chosen")).select("node", F.col("id").alias("stays"))
+    decided = members.where(F.col("id").isNotNull()).join(stays, "node", "left").select("id", "set_a", "set_b", (F.col("node").isNull() | F.coalesce(F.col("id") == F.col("stays"), F.lit(False))).alias("kept"))
+    # ids that don't just stay with their only row
+    odd = materialise(decided.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("n_kept")).where("n > 1 or n_kept = 0").select("id", "n_kept"), "odd-ids")
+    key, (a, b) = F.col(quoted(doc_id)), (free_name(docs, c) for c in ("set_a", "set_b"))
+    of = free_name(docs, "odd_id")
+    kept = docs.join(odd.select(F.col("id").alias(of)), key == F.col(of), "left_anti")
+    repeated = odd.where("n_kept > 0")
+    if not repeated.isEmpty():
+        sets = materialise(decided.where("kept").join(repeated.select("id"), "id", "left_semi").select("id", "set_a", "set_b").distinct(), "kept-sets")
+        some = _with_names(docs.join(repeated.select(F.col("id").alias(of)), key == F.col(of), "left_semi"), text, shingle, (a, b))
+        own = sets.select(F.col("id").alias(of), F.col("set_a").alias(f"{of}_a"), F.col("set_b").alias(f"{of}_b"))
+        some = some.join(own, (key == F.col(of)) & (F.col(a) == F.col(f"{of}_a")) & (F.col(b) == F.col(f"{of}_b")), "left_semi")
+        kept = kept.unionByName(some.dropDuplicates([doc_id, a, b]).drop(a, b))
+    discard(members)
+    discard(comps)
+    return kept
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -39,6 +39,55 @@ def brute(docs, n, percent=80):
     return {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
 
 
+def by_id(rows, n, percent=80):
+    """Brute force over (id, text) rows where rows of one id are one document: its links are those of all its texts."""
+    texts = brute(list(enumerate(t for _, t in rows)), n, percent)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for k, (d, _) in enumerate(rows):
+        a, b = find((0, d)), find((1, texts[k][1]))
+        root[max(a, b)] = min(a, b)
+    return sorted((d, texts[k][0], find((0, d))[1], find((0, d))[1] == d) for k, (d, _) in enumerate(rows))
+
+
+def test_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, b), (2, a + " a30"), (3, b.upper()), (3, None), (4, c), (4, c), (5, ""), (6, "b x y"), (5, c + " more"), (7, None), (7, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.group(frame, shingle=2).collect()]
+    assert sorted(found) == by_id(rows, 2)
+    kept = sorted((r.doc_id, r.text) for r in nd.dedup(frame, shingle=2).collect() if r.text)
+    # of each group of texts one row stays, so no text is lost
+    assert kept == [(1, a), (2, b), (4, c), (6, "b x y")]
+
+
+def test_random_ids(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    bases = [[rng.choice(words) for _ in range(40)] for _ in range(12)]
+    rows = []
+    for _ in range(150):
+        t = list(rng.choice(bases))
+        for _ in range(rng.randrange(6)):
+            t[rng.randrange(40)] = rng.choice(words)
+        rows.append((rng.randrange(110), " ".join(t)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.group(frame, shingle=2).collect()]
+    assert sorted(found) == by_id(rows, 2)
+    groups = brute(list(enumerate(t for _, t in rows)), 2)
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least[groups[k][1]] = min(least.get(groups[k][1], d), d)
+    kept = [(r.doc_id, r.text) for r in nd.dedup(frame, shingle=2).collect()]
+    place = {row: k for k, row in enumerate(rows)}
+    assert sorted((groups[place[r]][1], r[0]) for r in kept) == sorted(least.items())
+
+
 def same(rows, want):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == want
 
