@@ -8,12 +8,15 @@ Piece probabilities are learned by expectation maximisation over all training do
 probabilities to the tasks, gets expected piece counts back (a forward-backward pass over the distinct words of a
 stretch of text), and sums them by language and piece.  Their number is languages times vocabulary, whatever the input.
 
-Words are runs of ASCII letters and non-ASCII characters, with A-Z lower-cased and a space mark in front; words of over
-``STRETCH`` bytes are scored in stretches of that length.
+Words are runs of ASCII letters and non-ASCII characters, with A-Z lower-cased and a space mark in front.  They are never cut;
+in a batch with a word of over ``PLAIN`` bytes every probability has an exponent of its own, so that none vanishes, and
+memory is bounded by the longest word.  The vocabulary is every piece that such a word can contain, in lower case: pieces of letters,
+of non-ASCII characters, and those with one space mark in front.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; without training documents all
-are; null languages and texts are left out of training; repeated rows count each time; an empty table gives an empty
-result; extra columns pass through, result columns replace columns of the same name.
+are; null languages and texts are left out of training; repeated rows count each time; rows without an id count as trained on;
+languages that tie go by name; an empty table gives an empty
+result; extra columns pass through, result columns replace columns of the same name, whatever their case.
 """
 
 from __future__ import annotations
@@ -28,24 +31,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .frames import remainder, table
+from .frames import map_arrow, remainder, table, without
 from .token_counts import default_model, model_bytes
 
-STRETCH = 40
+PLAIN = 40
 ROUNDS = 2
 SMOOTHING = 0.01
 FOLDS, HELD_OUT = 4, 2
 SCAN_BYTES = 4 << 20
 WORDS_AT_ONCE = 1 << 14
+CELLS = 1 << 20
 KEPT_WORDS = 1 << 20
 UNDETERMINED = "und"
 
+#: The exponent of 0.
+NEVER = -(1 << 30)
+
 LETTERS = np.zeros(256, bool)
 LETTERS[97:123] = LETTERS[128:] = True
 
 
 class Vocabulary:
-    """Pieces by length in bytes: sorted hashes and ids.  Ids below 256 are single bytes."""
+    """Pieces by length in bytes: their hashes and ids.  Ids below 256 are single bytes."""
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -53,16 +60,14 @@ class Vocabulary:
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         skip = lambda i: library.is_control(i) or library.is_unknown(i) or library.is_byte(i) or library.is_unused(i)
         texts = {library.id_to_piece(i).replace("▁", " ").lower().encode() for i in range(library.get_piece_size()) if not skip(i)}
-        usable = sorted(t for t in texts if 1 < len(t) <= STRETCH + 1 and not t[1:].count(b" ") and all(LETTERS[c] for c in t.lstrip(b" ")) and t.strip())
+        usable = sorted(t for t in texts if len(t) > 1 and not t[1:].count(b" ") and all(LETTERS[c] for c in t.lstrip(b" ")) and t.strip())
         self.size = 256 + len(usable)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_length: dict[int, tuple[ts.Lookup, np.ndarray]] = {}
         for n in sorted({len(t) for t in usable}):
             at = [i for i, t in enumerate(usable) if len(t) == n]
             data = np.frombuffer(b"".join(usable[i] for i in at), np.uint8)
             starts = np.arange(len(at)) * n
-            hashes = ts.span_hashes(data, starts, starts + n)
-            order = np.argsort(hashes)
-            self.by_length[n] = hashes[order], np.array(at, np.int64)[order] + 256
+            self.by_length[n] = ts.Lookup(ts.span_hashes(data, starts, starts + n)), np.array(at, np.int64) + 256
 
 
 _vocabularies: dict[int, Vocabulary] = {}
@@ -80,77 +85,102 @@ class Lattice:
     """All segmentations of some words, which stand one after another in ``data``, each with its space mark."""
 
     def __init__(self, vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        self.order = np.argsort(starts - ends, kind="stable")  # longest first
-        self.starts, self.sizes = starts[self.order], (ends - starts)[self.order]
-        place = np.arange(len(data))
-        end_of = np.repeat(ends, ends - starts)
-        self.arcs: list[tuple[int, np.ndarray]] = [(1, data.astype(np.int64))]
-        for n, (hashes, ids) in vocabulary.by_length.items():
-            at = place[end_of - place >= n]
-            if not len(at):
+        self.sizes, self.words = ends - starts, len(starts)
+        self.longest = int(self.sizes.max(initial=0))
+        word = np.repeat(np.arange(self.words), self.sizes)
+        since = np.arange(len(data)) - np.repeat(starts, self.sizes)
+        left = self.sizes[word] - since
+        at, size, piece = [np.arange(len(data))], [np.ones(len(data), np.int64)], [data.astype(np.int64)]
+        hashes = ts.Windows(data)
+        for n, (pieces, ids) in vocabulary.by_length.items():
+            begin = np.flatnonzero(left >= n)
+            if not len(begin):
+                continue
+            k = pieces.find(hashes.of(begin, n))
+            some = np.flatnonzero(k >= 0)
+            at.append(begin[some])
+            size.append(np.full(len(some), n))
+            piece.append(ids[k[some]])
+        at, size, self.piece = map(np.concatenate, (at, size, piece))
+        # places of arcs in tables of (position, word)
+        self.begin = since[at] * self.words + word[at]
+        self.end = self.begin + size * self.words
+
+    def _runs(self, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Arcs in the order of places; where the arcs of each place begin, those places, and where the places of each position begin."""
+        order = np.argsort(by, kind="stable")
+        place = by[order]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+        return order, first, place[first], np.searchsorted(place[first], np.arange(self.longest + 2) * self.words)
+
+    def _sums(self, table: np.ndarray, powers: np.ndarray | None, by: np.ndarray, source: np.ndarray, p: np.ndarray, positions: range) -> None:
+        """Fill a table position by position: each place takes the sum over its arcs of ``p`` times what stands at the arc's other end."""
+        order, first, places, edges = self._runs(by)
+        source, piece = source[order], self.piece[order]
+        ends = np.append(first[1:], len(order))
+        for t in positions:
+            a, b = edges[t], edges[t + 1]
+            if a == b:
                 continue
-            h = ts.span_hashes(data, at, at + n)
-            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            found = np.full(len(data), vocabulary.size, np.int64)  # the last row of probabilities is 0
-            met = hashes[k] == h
-            found[at[met]] = ids[k[met]]
-            self.arcs.append((n, found))
-
-    def _active(self, t: int) -> int:
-        return int(np.searchsorted(-self.sizes, -t, "right"))
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[t, word]: probability of all segmentations of the first t bytes, for each column of ``p``."""
-        longest = int(self.sizes[0]) if len(self.sizes) else 0
-        alpha = np.zeros((longest + 1, len(self.sizes), p.shape[1]))
-        alpha[0] = 1
-        for t in range(1, longest + 1):
-            n = self._active(t)
-            for size, ids in self.arcs:
-                if size <= t:
-                    got = ids[self.starts[:n] + t - size]
-                    some = np.flatnonzero(got < len(p) - 1)
-                    alpha[t, some] += alpha[t - size, some] * p[got[some]]
-        return alpha
-
-    def totals(self, alpha: np.ndarray) -> np.ndarray:
-        """Of each word, in the given order."""
-        out = np.empty((len(self.sizes), alpha.shape[2]))
-        out[self.order] = alpha[self.sizes, np.arange(len(self.sizes))]
-        return out
+            arcs = slice(first[a], ends[b - 1])
+            values = table[source[arcs]] * p[piece[arcs]]
+            begins = first[a:b] - first[a]
+            if powers is None:
+                table[places[a:b]] += np.add.reduceat(values, begins)
+                continue
+            # with exponents: of each place's arcs the largest is taken out
+            own = powers[source[arcs]]
+            most = np.maximum.reduceat(own, begins)
+            of = np.repeat(np.arange(b - a), ends[a:b] - first[a:b])
+            sums = np.add.reduceat(np.ldexp(values, np.maximum(own - most[of], -2000)), begins)
+            sums, more = np.frexp(sums)
+            table[places[a:b]], powers[places[a:b]] = sums, np.where(sums > 0, most + more, NEVER)
+
+    def _table(self, columns: int) -> tuple[np.ndarray, np.ndarray | None]:
+        shape = ((self.longest + 1) * self.words, columns)
+        return np.zeros(shape), np.full(shape, NEVER, np.int32) if self.longest > PLAIN + 1 else None
+
+    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """At each position of each word, the probability of all segmentations up to it, for each column of ``p``; its exponents of 2, if there are."""
+        alpha, powers = self._table(p.shape[1])
+        alpha[: self.words] = 1
+        if powers is not None:
+            powers[: self.words] = 0
+        self._sums(alpha, powers, self.end, self.begin, p, range(1, self.longest + 1))
+        return alpha, powers
+
+    def _last(self) -> np.ndarray:
+        return self.sizes * self.words + np.arange(self.words)
+
+    def logs(self, p: np.ndarray) -> np.ndarray:
+        """Log probability of each word."""
+        alpha, powers = self.forward(p)
+        return np.log(alpha[self._last()]) + (0 if powers is None else powers[self._last()] * np.log(2))
 
     def expected(self, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Expected piece counts by column, with ``weights`` (words by columns) as the words' counts."""
-        alpha = self.forward(p)
-        n_words, columns = len(self.sizes), p.shape[1]
-        longest = len(alpha) - 1
-        beta = np.zeros_like(alpha)
-        beta[self.sizes, np.arange(n_words)] = weights[self.order] / alpha[self.sizes, np.arange(n_words)]
-        counts = np.zeros((len(p), columns))
-        for t in range(longest - 1, -1, -1):
-            n = self._active(t + 1)
-            for size, ids in self.arcs:
-                m = min(n, self._active(t + size)) if t + size <= longest else 0
-                if not m:
-                    continue
-                got = ids[self.starts[:m] + t]
-                some = np.flatnonzero(got < len(p) - 1)
-                step = p[got[some]] * beta[t + size, some]
-                beta[t, some] += step
-                mass = step * alpha[t, some]
-                for c in range(columns):
-                    counts[:, c] += np.bincount(got[some], mass[:, c], len(p))
+        alpha, up = self.forward(p)
+        beta, down = self._table(p.shape[1])
+        last = self._last()
+        if up is None:
+            beta[last] = weights / alpha[last]
+        else:
+            beta[last], down[last] = weights / alpha[last], -up[last]
+        self._sums(beta, down, self.begin, self.end, p, range(self.longest - 1, -1, -1))
+        counts = np.zeros((len(p), p.shape[1]))
+        for c in range(p.shape[1]):
+            mass = alpha[self.begin, c] * p[self.piece, c] * beta[self.end, c]
+            if up is not None:
+                mass = np.ldexp(mass, np.clip(up[self.begin, c] + down[self.end, c], -2000, 1000))
+            counts[:, c] = np.bincount(self.piece, mass, len(p))
         return counts
 
 
 def _words(chunk: ts.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a chunk: owner and number (in ``unique``) of each word, and byte ranges of the distinct ones."""
     spans = ts.words(chunk, LETTERS)
-    parts = -(-(spans.ends - spans.starts) // STRETCH)
-    starts = np.repeat(spans.starts, parts) + STRETCH * ts.expand(np.zeros(len(parts), np.int64), parts)
-    ends = np.minimum(starts + STRETCH, np.repeat(spans.ends, parts))
-    _, first, number = np.unique(ts.span_hashes(chunk.data, starts, ends), return_index=True, return_inverse=True)
-    return np.repeat(spans.owner(), parts), number, starts[first], ends[first]
+    _, first, number = np.unique(ts.span_hashes(chunk.data, spans.starts, spans.ends), return_index=True, return_inverse=True)
+    return spans.owner(), number, spans.starts[first], spans.ends[first]
 
 
 class Distinct:
@@ -185,10 +215,15 @@ class Distinct:
         self.hashes, self.values, self.starts, self.ends = self.hashes[order], self.values[order], self.starts[order], self.ends[order]
 
 
-def _lattices(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[slice, Lattice]]:
-    """Words of similar length together, some at a time."""
-    for at in range(0, len(starts), WORDS_AT_ONCE):
-        part = slice(at, at + WORDS_AT_ONCE)
+def _lattices(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, columns: int) -> Iterator[tuple[slice, Lattice]]:
+    """Words of similar length together (they come by length), as many as a table of ``CELLS`` holds."""
+    at = 0
+    while at < len(starts):
+        # as many of the next words as fit at the length of the last of them
+        some = (ends - starts)[at : at + WORDS_AT_ONCE]
+        fit = np.arange(1, len(some) + 1) * (some + 2) * columns <= CELLS
+        part = slice(at, at + max(1, int(fit.sum())))
+        at = part.stop
         s, size = starts[part], (ends - starts)[part]
         begin = np.cumsum(size + 1) - size - 1
         own = np.full(int((size + 1).sum()), 32, np.uint8)
@@ -208,8 +243,8 @@ class Model:
         """Log probability of each word in each language."""
         logs = np.zeros((len(starts), len(self.languages)))
         order = np.argsort(ends - starts, kind="stable")
-        for part, lattice in _lattices(vocabulary, data, starts[order], ends[order]):
-            logs[order[part]] = np.log(lattice.totals(lattice.forward(self.pieces)))
+        for part, lattice in _lattices(vocabulary, data, starts[order], ends[order], len(self.languages)):
+            logs[order[part]] = lattice.logs(self.pieces)
         return logs
 
     def score(self, vocabulary: Vocabulary, chunk: ts.Chunk, known: Distinct) -> np.ndarray:
@@ -257,7 +292,7 @@ def train(docs: DataFrame, *, lang: str = "lang", text: str = "text", path: str
 
             def expected(words: Distinct) -> np.ndarray:
                 order = np.argsort(words.ends - words.starts, kind="stable")
-                parts = _lattices(vocabulary, words.data, words.starts[order], words.ends[order])
+                parts = _lattices(vocabulary, words.data, words.starts[order], words.ends[order], columns)
                 return sum((lattice.expected(pieces, words.values[order[part]]) for part, lattice in parts), np.zeros(pieces.shape))
 
             for batch in batches:
@@ -273,7 +308,7 @@ def train(docs: DataFrame, *, lang: str = "lang", text: str = "text", path: str
             at = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(total[at])], names=schema.names)
 
-        summed = known.mapInArrow(expect, schema).groupBy("piece", "language").agg(F.sum("n").alias("n")).toArrow()
+        summed = map_arrow(known, expect, schema).groupBy("piece", "language").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(pieces.shape)
         counts[summed.column(0).to_numpy(), summed.column(1).to_numpy()] = summed.column(2).to_numpy()
         pieces = (1 - SMOOTHING) * counts / np.maximum(counts.sum(axis=0), 1e-9) + SMOOTHING / size
@@ -284,7 +319,7 @@ def train(docs: DataFrame, *, lang: str = "lang", text: str = "text", path: str
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with lang_pred and lang_score: the likeliest language and its posterior."""
-    docs = docs.drop("lang_pred", "lang_score")
+    docs = without(docs, {"lang_pred", "lang_score"}, text)
     sc = docs.sparkSession.sparkContext
     place, shared, pieces = docs.columns.index(text), sc.broadcast(model), sc.broadcast(model_bytes(path or default_model()))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
@@ -307,7 +342,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", path: str | N
                 scores += np.where(letters, sure, 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import itertools
+import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -9,16 +11,20 @@ from tallyloom.llm.token_counts import default_model, model_bytes
 VOCABULARY = li.vocabulary_of(model_bytes(default_model()))
 
 
-def brute(word, p):
-    """Sum over all segmentations and expected counts, by enumeration."""
-    ids = {}
-    for n, (hashes, numbers) in VOCABULARY.by_length.items():
+def pieces_in(word):
+    """(from, to) of each piece in a word, with its id."""
+    ids = {(i, i + 1): word[i] for i in range(len(word))}
+    for n, (lookup, numbers) in VOCABULARY.by_length.items():
         for i in range(len(word) - n + 1):
-            h = li.ts.span_hashes(np.frombuffer(word, np.uint8), np.array([i]), np.array([i + n]))[0]
-            k = np.searchsorted(hashes, h)
-            if k < len(hashes) and hashes[k] == h:
+            k = lookup.find(li.ts.span_hashes(np.frombuffer(word, np.uint8), np.array([i]), np.array([i + n])))[0]
+            if k >= 0:
                 ids[i, i + n] = int(numbers[k])
-    ids |= {(i, i + 1): word[i] for i in range(len(word))}
+    return ids
+
+
+def brute(word, p):
+    """Sum over all segmentations and expected counts, by enumeration."""
+    ids = pieces_in(word)
     total, counts = 0.0, {}
     for cuts in itertools.product([0, 1], repeat=len(word) - 1):
         marks = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(word)]
@@ -31,16 +37,37 @@ def brute(word, p):
     return total, {k: v / total for k, v in counts.items()}
 
 
-def test_forward_and_expected_counts():
-    p = np.random.default_rng(1).random((VOCABULARY.size + 1, 1))
-    p[-1] = 0
-    words = [b"the", b"an", "für".encode(), b"statement", b"x", b"inga"]
+def exact(word, p, column):
+    """The same by a programme over prefixes and suffixes in exact fractions, for words of any length."""
+    ids = pieces_in(word)
+    q = {k: Fraction(float(p[k, column])) for k in set(ids.values())}
+    fore, back = [Fraction(0)] * (len(word) + 1), [Fraction(0)] * (len(word) + 1)
+    fore[0] = back[-1] = Fraction(1)
+    for (i, j), k in sorted(ids.items(), key=lambda x: x[0][1]):
+        fore[j] += fore[i] * q[k]
+    for (i, j), k in sorted(ids.items(), reverse=True):
+        back[i] += back[j] * q[k]
+    counts = {}
+    for (i, j), k in ids.items():
+        counts[k] = counts.get(k, 0) + float(fore[i] * q[k] * back[j] / fore[-1])
+    log = math.log(fore[-1].numerator) - math.log(fore[-1].denominator)
+    return log, counts
+
+
+def lattice_of(words):
     data = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum([len(w) for w in words])
-    starts = ends - [len(w) for w in words]
-    [(_, lattice)] = li._lattices(VOCABULARY, data, starts, ends)
-    totals = lattice.totals(lattice.forward(p))
-    expected = lattice.expected(p, np.full((len(words), 1), 2.0))
+    [(_, lattice)] = li._lattices(VOCABULARY, data, ends - [len(w) for w in words], ends, 2)
+    return lattice
+
+
+def test_forward_and_expected_counts():
+    p = np.random.default_rng(1).random((VOCABULARY.size + 1, 2))
+    p[-1] = 0
+    words = sorted([b"the", b"an", "für".encode(), b"statement", b"x", b"inga"], key=len)
+    lattice = lattice_of(words)
+    totals = np.exp(lattice.logs(p))
+    expected = lattice.expected(p, np.full((len(words), 2), 2.0))
     want = np.zeros(len(p))
     for w, total in zip(words, totals, strict=True):
         q, counts = brute(b" " + w, p)
@@ -50,6 +77,29 @@ def test_forward_and_expected_counts():
     assert np.allclose(expected[:, 0], want)
 
 
+def test_long_words_are_not_cut():
+    rng = np.random.default_rng(2)
+    p = rng.random((VOCABULARY.size + 1, 2)) * 1e-6
+    p[:, 1] *= 10.0 ** -rng.integers(0, 20, len(p))  # one column far below the other
+    p[-1] = 0
+    words = sorted(["は日本語の文章です。これは長い".encode(), "ö".encode(), b"statement", ("数据处理" * 6).encode(), b"internationalisation" * 6], key=len)
+    assert len(words[2]) > 40
+    lattice = lattice_of(words)
+    logs = lattice.logs(p)
+    weights = np.arange(1.0, len(words) + 1)[:, None] * [1, 3]
+    expected, want = lattice.expected(p, weights), np.zeros((len(p), 2))
+    for w, log, weight in zip(words, logs, weights, strict=True):
+        for c in (0, 1):
+            right, counts = exact(b" " + w, p, c)
+            assert np.isclose(log[c], right, rtol=1e-12)
+            for k, v in counts.items():
+                want[k, c] += weight[c] * v
+    assert np.allclose(expected, want, rtol=1e-9, atol=1e-12)
+    data = np.frombuffer("是".encode() * 30, np.uint8)
+    _, number, starts, ends = li._words(li.ts.Chunk(0, data, np.array([0, len(data)])))
+    assert len(number) == 1 and ends[0] - starts[0] == 90
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
