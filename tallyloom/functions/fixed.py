@@ -128,3 +128,28 @@ CSV_ALIASES = {
     "answer": ("answer", "solution", "target", "output", "label"),
     "problem_id": ("id", "problem_id", "uid", "sample_id", "index"),
 }
+
+# Subcategories that a solver can check, and kinds of failure that examples can be made for.
+SOLVABLE_LETTERS = ["alphametic_addition", "alphametic_subtraction", "alphametic_multiplication", "string_transform", "unknown"]
+SOLVABLE_BITS = ["xor", "and", "or", "shift_left", "shift_right", "binary_arithmetic"]
+SYNTHETIC_LETTERS = ["mapping_conflict", "carry_error", "leading_zero_error", "incomplete_search", "answer_format_error"]
+
+# Primary labels of the failure taxonomy.
+FAILURE_LABELS = [
+    "FORMAT_FAILURE", "EXTRACTION_FAILURE", "EASY_TASK_REGRESSION", "OPERATOR_CONFUSION", "BIT_RULE_FAILURE", "POSITIONAL_MISMATCH", "LOW_LOGPROB_COLLAPSE",
+    "PREPOST_CONVERSION_REGRESSION", "OVERFITTING_TO_DIAGNOSTIC", "UNKNOWN",
+]
+
+# Fields of the category manifest, of measured samples, of fragile samples and of conversion deltas.
+MANIFEST_FIELDS = ["sample_id", "split_name", "category", "difficulty_bucket", "failure_mode_primary", "failure_mode_secondary", "conversion_sensitive_flag", "inclusion_reason"]
+MEASURED_FIELDS = ["sample_id", "split_name", "category", "baseline_prediction_status", "baseline_correctness", "format_failure_flag", "extraction_failure_flag", "runtime_status", "notes"]
+FRAGILE_FIELDS = [
+    "sample_id", "split_name", "category", "correctness", "min_logprob_value", "min_logprob_token", "local_context_left", "local_context_right", "failure_mode_primary",
+    "failure_mode_secondary", "pre_or_post_conversion_label",
+]
+DELTA_FIELDS = [
+    "sample_id", "split_name", "category", "baseline_pre_conversion_result", "baseline_post_conversion_result", "delta_label", "format_failure_pre", "format_failure_post",
+    "min_logprob_pre", "min_logprob_post", "brittle_subset_flag",
+]
+# Fixed value: numbers of two answers agree within this.
+METRIC_TOLERANCE = 1e-2

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,12 +119,12 @@ def report_number(value: Column, default: float = 0.0) -> Column:
     return F.coalesce(plain.try_cast("double"), F.lit(default))
 
 
-def metric_match(pred: Column, gold: Column, tolerance: float = 0.01) -> Column:
-    """Competition metric: numbers agree within a tolerance, other answers exactly after clean-up of markup.  Spec-derived."""
+def metric_match(pred: Column, gold: Column, tolerance: float = fixed.METRIC_TOLERANCE) -> Column:
+    """Competition metric: numbers agree within an absolute tolerance, other answers exactly after clean-up of markup.  Spec-derived."""
     clean = lambda c: strip(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\(?:text|mathrm)\{([^{}]*)\}", "$1"), r"[$]|\\[,;! ]", ""))
     a, b = clean(pred), clean(gold)
     x, y = a.try_cast("double"), b.try_cast("double")
-    return F.when(a == "", F.lit(False)).when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= tolerance * F.greatest(F.lit(1.0), F.abs(y))).otherwise(a == b)
+    return F.when(a == "", F.lit(False)).when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= tolerance).otherwise(a == b)
 
 
 def prompt(question: Column, examples: Column) -> Column:
@@ -134,3 +137,22 @@ def prompt(question: Column, examples: Column) -> Column:
 def length_summary(question: Column, examples: Column, answer: Column) -> Column:
     n = lambda c: F.length(F.coalesce(c, F.lit(""))).cast("string")
     return F.concat(F.lit('{"answer_chars": '), n(answer), F.lit(', "examples_chars": '), n(examples), F.lit(', "question_chars": '), n(question), F.lit("}"))
+
+
+def _canonical(value: object) -> object:
+    if not value:
+        return ""
+    try:
+        return json.dumps(json.loads(value), ensure_ascii=False, sort_keys=True)
+    except ValueError:
+        return value
+
+
+def canonical_json(raw: Column) -> Column:
+    """JSON with its keys in order at every depth; what isn't JSON stays as it is, null and empty texts are empty."""
+
+    @F.pandas_udf("string")
+    def rewritten(texts: pd.Series) -> pd.Series:
+        return texts.map(_canonical)
+
+    return rewritten(raw)

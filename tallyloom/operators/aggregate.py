@@ -80,10 +80,12 @@ def coverage(df: DataFrame) -> DataFrame:
     return df.groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if("verified").alias("verified")).withColumn("ratio", share(F.col("verified"), F.col("total")))
 
 
-def label_counts(df: DataFrame, column: str, *, empty: str, order: str) -> DataFrame:
-    """Counter of labels in order of frequency, ties by first occurrence; empty labels have a name."""
+def label_counts(df: DataFrame, column: str, *, empty: str, order: str, most: int | None = None) -> DataFrame:
+    """Counter of labels in order of frequency, ties by first occurrence; empty labels have a name.  ``most``: only the first."""
     label = F.coalesce(F.when(F.col(column) != "", F.col(column)), F.lit(empty)).alias(column)
     counted = df.groupBy(label).agg(F.count(F.lit(1)).alias("count"), F.min(order).alias("_first"))
+    if most is not None:  # a top-k, which tasks cut
+        counted = counted.orderBy(F.desc("count"), "_first").limit(most)
     return counted.withColumn("rank", F.row_number().over(W.orderBy(F.desc("count"), "_first"))).drop("_first")
 
 

@@ -56,6 +56,12 @@ def by_keywords(df, *, category: Column, question: Column, examples: Column):
     return staged.withColumn("c1", result).drop("_label", "_text", "_hits", "_category")
 
 
+def labelled_set(classified, *, key: str = "problem_id", question: str = "question", gold: str = "gold_answer"):
+    """The second projection of classified rows: their labels with at most 300 characters of the question, and the gold answer."""
+    c1 = [F.col(f"c1.{c}").alias(c) for c in ("category", "subcategory", "confidence", "manual_review_required")]
+    return classified.select(key, *c1, F.substring(question, 1, 300).alias("question"), gold)
+
+
 def by_single_pattern(text: Column) -> Column:
     """First of six patterns, else ``other``."""
     return F.coalesce(*(F.when(found(text, p), F.lit(name)) for name, p in fixed.SINGLE_PATTERNS), F.lit("other"))

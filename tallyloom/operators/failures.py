@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +54,10 @@ def any_found(raw: Column, *patterns: str, ignore_case: bool = True) -> Column:
     return out
 
 
-def cryptarithm(df: DataFrame) -> DataFrame:
+def cryptarithm() -> Column:
     raw, gold, pred, _, ok = _columns()
     said = ~same_upper(pred, gold) & contains_fold(raw, gold)
-    return df.withColumn("failure", cascade(
+    return cascade(
         (ok, "fragile_correct", "correct but low logprob — protect from SFT"),
         (said, "final_parse_error", "gold answer appears in reasoning but extraction failed"),
         (said & ~found(raw, BOX, False), "answer_format_error", "correct value in output but missing \\boxed{} or wrong format"),
@@ -66,7 +68,7 @@ def cryptarithm(df: DataFrame) -> DataFrame:
         (attempts(raw).between(1, 2), "incomplete_search", "model makes only 1-2 assignment attempts on exhaustive search"),
         (any_found(raw, r"\d+\s*\+\s*\d+\s*=\s*\d+", r"\d+\s*\*\s*\d+\s*=\s*\d+", ignore_case=False), "arithmetic_error", "arithmetic expression present; may contain arithmetic mistake"),
         (F.lit(True), "unknown", "could not determine failure type from output"),
-    ))
+    )
 
 
 def _format_rows(raw: Column, gold: Column, pred: Column, ok: Column) -> list[tuple[Column, str, str]]:
@@ -78,7 +80,7 @@ def _format_rows(raw: Column, gold: Column, pred: Column, ok: Column) -> list[tu
     ]
 
 
-def bit(df: DataFrame) -> DataFrame:
+def bit() -> Column:
     raw, gold, pred, sub, ok = _columns()
     xor, either = found(raw, r"\bXOR\b", False), found(raw, r"\bAND\b|\bOR\b", False)
     rows = _format_rows(raw, gold, pred, ok)
@@ -92,7 +94,7 @@ def bit(df: DataFrame) -> DataFrame:
         (sub == "binary_arithmetic", "arithmetic_error", "binary arithmetic calculation error"), (found(raw, r"0b[01]+|binary"), "base_conversion_error", "binary representation error in sub-step"),
         (F.lit(True), "unknown", "could not determine failure type from output"),
     ]
-    return df.withColumn("failure", cascade(*rows))
+    return cascade(*rows)
 
 
 def digits_swapped(pred: Column, gold: Column) -> Column:
@@ -101,7 +103,7 @@ def digits_swapped(pred: Column, gold: Column) -> Column:
     return (pred != "") & (gold != "") & (digits(pred) == digits(gold))
 
 
-def numeral(df: DataFrame) -> DataFrame:
+def numeral() -> Column:
     raw, gold, pred, sub, ok = _columns()
     reasons = ["binary-to-decimal place value calculation error", "decimal-to-binary encoding error", "hex digit value mapping error", "decimal-to-hex conversion error", "Roman numeral rule application error", "place value error in base-N conversion"]
     rows = [*_format_rows(raw, gold, pred, ok), (digits_swapped(pred, gold), "digit_order_error", "correct digits but wrong order")]
@@ -110,7 +112,7 @@ def numeral(df: DataFrame) -> DataFrame:
         (found(raw, r"0b[01]+", False), "binary_decimal_error", "binary representation detected — conversion error"), (found(raw, r"0x[0-9a-fA-F]+", False), "hex_decimal_error", "hex representation detected — conversion error"),
         (F.lit(True), "unknown", "could not determine failure type from output"),
     ]
-    return df.withColumn("failure", cascade(*rows))
+    return cascade(*rows)
 
 
 def notebook(df: DataFrame) -> DataFrame:
@@ -158,29 +160,42 @@ PROCESSES = {
 }
 
 
-def cases(joined: DataFrame, category: str, *, order: str, include_fragile: bool = False) -> DataFrame:
-    """Failure cases of one category: wrong answers (and right ones of low confidence), labelled, with template and priority."""
-    classify, templates, default = PROCESSES[category]
+def _by_category(of: Callable[[str], Column]) -> Column:
+    first, *rest = PROCESSES
+    out = F.when(F.col("category") == first, of(first))
+    for c in rest:
+        out = out.when(F.col("category") == c, of(c))
+    return out
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """``rows`` with failure_type and failure_reason by the cascade of their category; null for other categories."""
+    return rows.withColumn("failure", _by_category(lambda c: PROCESSES[c][0]())).select("*", "failure.*").drop("failure")
+
+
+def all_cases(joined: DataFrame, *, order: str, categories: Iterable[str] = tuple(PROCESSES), fragile: Iterable[str] = ("cryptarithm",)) -> DataFrame:
+    """Failure cases in one pass over the rows: wrong answers (and in ``fragile`` categories right ones of low confidence),
+    labelled, with template and priority."""
     ok, answer_min = F.coalesce(F.col("is_correct"), F.lit(False)), F.col("answer_min_logprob")
-    wanted = ~ok
-    if include_fragile:
-        wanted = wanted | (ok & F.coalesce(answer_min < fixed.LOW_LOGPROB, F.lit(False)))
-    rows = classify(joined.where((F.col("category") == category) & wanted)).select("*", "failure.*").drop("failure")
-    kind, sub = F.col("failure_type"), F.coalesce(F.col("subcategory"), F.lit("unknown"))
-    if category == "cryptarithm":
-        solver = sub.isin("alphametic_addition", "alphametic_subtraction", "alphametic_multiplication", "string_transform", "unknown")
-        synthetic = kind.isin("mapping_conflict", "carry_error", "leading_zero_error", "incomplete_search", "answer_format_error")
-        priority = cryptarithm_priority(kind, solver, synthetic, answer_min)
-    else:
-        solver = F.lit(True) if category == "numeral_conversion" else sub.isin("xor", "and", "or", "shift_left", "shift_right", "binary_arithmetic")
-        synthetic = kind != "unknown"
-        priority = bit_numeral_priority(kind, F.col("category"), solver, synthetic, answer_min)
-    return rows.select(
+    shaky = F.col("category").isin(*fragile) & ok & F.coalesce(answer_min < fixed.LOW_LOGPROB, F.lit(False))
+    rows = labelled(joined.where(F.col("category").isin(*categories) & (~ok | shaky)))
+    kind, sub, letters = F.col("failure_type"), F.coalesce(F.col("subcategory"), F.lit("unknown")), F.col("category") == "cryptarithm"
+    solver = F.when(letters, sub.isin(*fixed.SOLVABLE_LETTERS)).when(F.col("category") == "numeral_conversion", F.lit(True)).otherwise(sub.isin(*fixed.SOLVABLE_BITS))
+    synthetic = F.when(letters, kind.isin(*fixed.SYNTHETIC_LETTERS)).otherwise(kind != "unknown")
+    staged = rows.withColumns({"solver_check_possible": solver, "synthetic_generation_possible": synthetic, "recommended_template": _by_category(lambda c: lookup(kind, *PROCESSES[c][1:]))})
+    flags = F.col("solver_check_possible"), F.col("synthetic_generation_possible")
+    priority = F.when(letters, cryptarithm_priority(kind, *flags, answer_min)).otherwise(bit_numeral_priority(kind, F.col("category"), *flags, answer_min))
+    return staged.select(
         "problem_id", "category", "subcategory", F.substring("question", 1, 300).alias("question"), "gold_answer", "pred_answer", "is_correct", "min_logprob", "answer_min_logprob", "failure_type", "failure_reason",
-        solver.alias("solver_check_possible"), synthetic.alias("synthetic_generation_possible"), lookup(kind, templates, default).alias("recommended_template"), priority.alias("example_priority"), *([] if order == "problem_id" else [F.col(order)]),
+        "solver_check_possible", "synthetic_generation_possible", "recommended_template", priority.alias("example_priority"), *([] if order == "problem_id" else [F.col(order)]),
     )
 
 
+def cases(joined: DataFrame, category: str, *, order: str, include_fragile: bool = False) -> DataFrame:
+    """Failure cases of one category."""
+    return all_cases(joined, order=order, categories=(category,), fragile=(category,) if include_fragile else ())
+
+
 def in_order(rows: DataFrame, order: str) -> DataFrame:
     """Failure cases as reports list them: by priority, then label, then input order; a range sort, not one task."""
     return rows.orderBy(F.desc("example_priority"), "failure_type", order)

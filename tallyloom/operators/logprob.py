@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import fixed
@@ -12,9 +13,10 @@ WINDOW = 100
 CONTEXT = 5
 
 
-def values(tokens: Column) -> Column:
+def values(df: DataFrame, logprobs: str) -> Column:
     """Log probabilities of either encoding: numbers, or structs of token and logprob."""
-    return F.transform(tokens, lambda t: t["logprob"])
+    kind = df.schema[logprobs].dataType.elementType
+    return F.transform(logprobs, lambda t: t["logprob"]) if isinstance(kind, T.StructType) else F.col(logprobs)
 
 
 def mean(a: Column) -> Column:
@@ -44,6 +46,7 @@ def answer_start(texts: Column) -> Column:
 
 def stats(df: DataFrame, *, logprobs: str = "token_logprobs", texts: str = "tokens") -> DataFrame:
     """``df`` with min, mean and count of low values, of all tokens and of the answer's, and the lowest token with its context."""
+    df = df.withColumn(logprobs, values(df, logprobs))
     lp, text = F.col(logprobs), F.col(texts)
     staged = df.withColumns({"_min": F.array_min(lp), "_start": answer_start(text)})
     staged = staged.withColumns({"_at": F.array_position(lp, F.col("_min")).cast("int"), "_answer": F.when(F.col("_start") < F.size(lp), F.slice(lp, F.col("_start") + 1, F.size(lp)))})
@@ -83,12 +86,11 @@ def degenerate(a: Column, run: int = 10, first: int = 20) -> Column:
 def ranked(df: DataFrame, k: int, score: str, key: str, category: str = "category", correct: str = "is_correct") -> DataFrame:
     """Spec-derived: the ``k`` most brittle rows overall, of each category, and of right and of wrong answers: (list, rank, ...).
 
-    Each list is a top-k, which tasks cut before anything is shuffled.
+    Each row stands for its three lists in one pass; every list is a top-k, which tasks cut before anything is shuffled.
     """
-    order = (F.asc(score), F.asc(key))
     rows = df.where(F.col(score).isNotNull())
-    whole = rows.orderBy(*order).limit(k).withColumns({"list": F.lit("overall"), "rank": F.row_number().over(W.orderBy(*order))})
-    best = lambda by: rows.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
-    groups = best(category).withColumn("list", F.col(category))
-    outcomes = best(correct).withColumn("list", F.when(F.col(correct), "correct").otherwise("incorrect"))
-    return whole.unionByName(groups).unionByName(outcomes)
+    lists = F.lit("overall"), F.col(category), F.when(F.col(correct), "correct").otherwise("incorrect")
+    kinds = F.array(*(F.struct(F.lit(i).alias("kind"), x.alias("list")) for i, x in enumerate(lists)))
+    each = rows.withColumn("_list", F.explode(kinds))
+    order = W.partitionBy("_list").orderBy(score, key)
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("list", F.col("_list.list")).drop("_list")

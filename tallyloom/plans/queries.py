@@ -78,10 +78,14 @@ def parse_error_types(spark, sf_dir):
     return rows.select("problem_id", text.parse_error_type(F.col("x.pred_answer"), F.col("raw_output"), F.col("was_truncated")).alias("parse_error_type"))
 
 
-@query("WITH m AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '$' || o_totalprice || '$' END AS pred, o_totalprice * (1 + (o_orderkey % 3) * 0.009) AS gold FROM orders) SELECT o_orderkey AS problem_id, pred <> '' AND abs(replace(pred, '$', '')::DOUBLE - gold) <= 0.01 * greatest(1.0, abs(gold)) AS metric_ok FROM (SELECT o_orderkey, pred, gold FROM m WHERE pred <> '' UNION ALL SELECT o_orderkey, '', gold FROM m WHERE pred = '') WHERE pred <> '' UNION ALL SELECT o_orderkey, false FROM m WHERE pred = ''")
+@query("""SELECT o_orderkey AS problem_id, CASE o_orderkey % 6 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true ELSE false END AS metric_ok FROM orders""")
 def metric_match(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("problem_id"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.concat(F.lit("$"), F.col("o_totalprice").cast("string"), F.lit("$"))).alias("pred"), (F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 3) * 0.009)).cast("string").alias("gold"))
-    return rows.select("problem_id", text.metric_match(F.col("pred"), F.col("gold")).alias("metric_ok"))
+    """Empty; half and nearly twice the tolerance away, at whatever size; equal and different texts."""
+    k = F.col("o_orderkey")
+    away = lambda d: F.concat(F.lit("$"), (k + F.lit(d)).cast("decimal(20,3)").cast("string"), F.lit("$"))
+    pred = F.when(k % 6 == 0, "").when(k % 6 == 1, away(0.005)).when(k % 6 == 2, away(-0.005)).when(k % 6 == 3, away(0.019)).when(k % 6 == 4, "\\text{AB}").otherwise("ab")
+    gold = F.when(k % 6 >= 4, "AB").otherwise(k.cast("string"))
+    return table(spark, sf_dir, "orders").select(k.alias("problem_id"), text.metric_match(pred, gold).alias("metric_ok"))
 
 
 @query("SELECT o_orderkey AS problem_id, CASE o_orderkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.0 WHEN 2 THEN 0.0 ELSE 0.25 END AS value FROM orders")
@@ -244,8 +248,7 @@ def failure_labels(spark, sf_dir):
 
 @query(f"WITH {duck.SOLVED}, n AS (SELECT solver_notes, {_COUNTER} FROM solved WHERE NOT verified GROUP BY 1) SELECT * FROM n WHERE rank <= 10")
 def first_notes(spark, sf_dir):
-    counted = aggregate.label_counts(_solved(spark, sf_dir).where("not verified"), "solver_notes", empty="", order="problem_id")
-    return counted.where("rank <= 10")
+    return aggregate.label_counts(_solved(spark, sf_dir).where("not verified"), "solver_notes", empty="", order="problem_id", most=10)
 
 
 # classification and sampling
@@ -307,7 +310,7 @@ def stratified_sample(spark, sf_dir):
     return sampling.stratified(category_c2(spark, sf_dir), fixed.SAMPLE_QUOTAS, key="doc_id", draw=F.col("doc_id") * 7919 % 10007)
 
 
-@query(None)
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
 def shuffled_sample(spark, sf_dir):
     return sampling.shuffled_prefix(table(spark, sf_dir, "documents").select("doc_id", "lang"), 100, "doc_id")
 
@@ -493,9 +496,7 @@ def failure_cases_numeral(spark, sf_dir):
 
 
 def _all_cases(spark, sf_dir) -> DataFrame:
-    rows = _joined(spark, sf_dir)
-    parts = [failures.cases(rows, c, order="problem_id", include_fragile=c == "cryptarithm") for c in failures.PROCESSES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return failures.all_cases(_joined(spark, sf_dir), order="problem_id")
 
 
 _PCT = "count(*) AS count, round_even(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY category), 1)::DOUBLE AS pct"
@@ -512,12 +513,6 @@ def topk_failure_types(spark, sf_dir):
     return aggregate.top(counted, 5, F.desc("count"), "failure_type", by="category")
 
 
-@query(f"WITH {duck.ALL_CASES} SELECT CASE failure_type {' '.join(f'WHEN {duck.q(k)} THEN {duck.q(v)}' for k, v in gates.TAXONOMY.items())} ELSE 'domain' END AS label, count(*) AS n FROM all_cases GROUP BY 1")
-def failure_taxonomy(spark, sf_dir):
-    label = failures.lookup(F.col("failure_type"), gates.TAXONOMY, "domain").alias("label")
-    return _all_cases(spark, sf_dir).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-
-
 _BOXED = "regexp_matches(raw_output, '\\\\boxed\\{')"
 _NOTEBOOK = f"""CASE WHEN is_correct THEN 'correct' WHEN NOT parse_success THEN 'parse_fail' WHEN finish_reason = 'length' THEN 'timeout'
   WHEN category = 'cryptarithmetic' THEN CASE WHEN regexp_matches(raw_output, '[A-Z]\\s*[=:]\\s*\\d|\\d\\s*[=:]\\s*[A-Z]') THEN 'wrong_digit_assignment' WHEN {_BOXED} THEN 'wrong_answer_boxed' ELSE 'no_systematic_attempt' END

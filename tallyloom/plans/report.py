@@ -11,7 +11,7 @@ from ..sources.sinks import markdown_of
 
 def recommendation(summary: DataFrame, priority: DataFrame, failure_types: DataFrame) -> str:
     """Overall result, weakest categories, first priorities and commonest failures; every list is a top-k."""
-    accuracy = aggregate.top(summary.where("split = 'category'").select("category", "n", "accuracy"), 5, "accuracy", "category").orderBy("rank")
+    accuracy = aggregate.top(summary.where(F.coalesce(F.col("split"), F.lit("overall")) == "category").select("category", "n", "accuracy"), 5, "accuracy", "category").orderBy("rank")
     first = priority.where("rank <= 20").orderBy("rank").select("rank", "category", "subcategory", "n", "accuracy", "priority_score", "priority_reason")
     common = aggregate.top(failure_types, 5, F.desc("count"), "failure_type", by="category").orderBy("category", "rank")
     parts = [
@@ -23,7 +23,7 @@ def recommendation(summary: DataFrame, priority: DataFrame, failure_types: DataF
 def coverage(solved: DataFrame, order: str = "problem_id") -> str:
     """What a rule solver verified, by category and kind of failure, with the first mismatches."""
     labels = aggregate.label_counts(solved, "failure_type", empty="verified", order=order).orderBy("rank")
-    notes = aggregate.label_counts(solved.where("not verified"), "solver_notes", empty="", order=order).where("rank <= 10").orderBy("rank")
+    notes = aggregate.label_counts(solved.where("not verified"), "solver_notes", empty="", order=order, most=10).orderBy("rank")
     misses = solved.where("failure_type = 'answer mismatch'").orderBy(order).limit(5).select("problem_id", "rule_type", "normalized_answer", "solver_answer")
     parts = [("Coverage", aggregate.coverage(solved).orderBy("category")), ("Outcomes", labels), ("Solver notes", notes), ("First mismatches", misses)]
     return "\n\n".join(["# Verified coverage", *(f"## {title}\n\n{markdown_of(df)}" for title, df in parts)]) + "\n"

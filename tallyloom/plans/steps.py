@@ -61,12 +61,8 @@ def analysis(order: str = "problem_id") -> Runner:
     ]
     for category in failures.PROCESSES:
         steps.append(Step(f"cases_{category}", lambda r, c=category: failures.cases(joined(r), c, order=order, include_fragile=c == "cryptarithm"), ("predictions", "logprob")))
-    names = tuple(f"cases_{c}" for c in failures.PROCESSES)
 
     def kinds(r: dict) -> DataFrame:
-        first, *rest = (r[n] for n in names)
-        for other in rest:
-            first = first.unionByName(other)
-        return aggregate.counts_with_share(first, "category", "failure_type", within="category")
+        return aggregate.counts_with_share(failures.all_cases(joined(r), order=order), "category", "failure_type", within="category")
 
-    return Runner([*steps, Step("failure_types", kinds, names)])
+    return Runner([*steps, Step("failure_types", kinds, ("predictions", "logprob"))])

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.text import length_summary, operator_symbols
+from ..functions.text import canonical_json, length_summary, operator_symbols
 from ..operators.joins import first_present, flag_members
 
 
@@ -29,21 +30,38 @@ def first_existing(spark: SparkSession, paths: Iterable[str], pattern: str | Non
 
 
 def numbered(df: DataFrame, name: str = "_ord") -> DataFrame:
-    """``df`` with the rows' numbers from 0 in the order of the scan; partitions are counted, not gathered."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """``df`` with the rows' numbers from 0 in the order of the scan.
+
+    Partitions are counted first; each row then adds its place to what stands before its partition.  ``df`` must give the same
+    partitions when it is read again, as scans do.
+    """
+    at = df.withColumn("_id", F.monotonically_increasing_id())
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    counts = sorted((r._part, r["count"]) for r in at.groupBy(part.alias("_part")).count().collect())  # a row for each partition
+    before = list(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0), strict=False))
+    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    joined = at.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return joined.select(*df.columns, (F.col("_before") + place).alias(name))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, *, strict: bool = True, ordered: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, *, strict: bool = True, ordered: bool = False, line_numbers: bool = False) -> DataFrame:
     """Objects of a JSONL file with ``_source_path``; blank lines and other JSON values are skipped.
 
-    ``strict`` raises for a malformed line with its file; otherwise such lines are skipped.
+    ``strict`` raises for a malformed line with its file, and with ``line_numbers``, which scans the files twice more, its number; otherwise
+    such lines are skipped.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_source_path")).where(F.btrim("value", F.lit(" \t\r")) != "")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_source_path"))
+    place = F.col("_source_path")
+    if line_numbers:
+        lines = numbered(lines, "_line")
+        first = lines.groupBy(F.col("_source_path").alias("_file")).agg(F.min("_line").alias("_first"))  # a row for each file
+        lines = lines.join(F.broadcast(first), F.col("_source_path") == F.col("_file")).drop("_file")
+        place = F.concat(place, F.lit(":"), (F.col("_line") - F.col("_first") + 1).cast("string"))
+    lines = lines.where(F.btrim("value", F.lit(" \t\r")) != "")
     lines = numbered(lines) if ordered else lines
     parsed = lines.withColumn("_any", F.try_parse_json("value"))
     if strict:
-        bad = F.raise_error(F.concat(F.col("_source_path"), F.lit(": malformed JSON line: "), F.substring("value", 1, 80)))
+        bad = F.raise_error(F.concat(place, F.lit(": malformed JSON line: "), F.substring("value", 1, 80)))
         parsed = parsed.withColumn("value", F.when(F.col("_any").isNull(), bad).otherwise(F.col("value")))
     objects = parsed.where(F.startswith(F.ltrim("value"), F.lit("{"))).withColumn("_row", F.from_json("value", schema)).where(F.col("_row").isNotNull() & (F.lit(True) if strict else F.col("_any").isNotNull()))
     return objects.select("_row.*", "_source_path", *(["_ord"] if ordered else []))
@@ -57,7 +75,9 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) ->
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; an empty cell is an empty text."""
+    """All columns as text; an empty cell is an empty text.  A missing file has neither rows nor columns."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], T.StructType([]))
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("emptyValue", "").csv(path)
     return df.fillna("")
 
@@ -126,7 +146,7 @@ def inventory(records: DataFrame, corpus: DataFrame, ordered: str | None = None)
     ids = F.coalesce(F.nullif(present(records, fixed.ID_NAMES), F.lit("")), F.concat(F.lit("row_"), order))
     rows = records.select(
         ids.alias("problem_id"), detect_category(records).alias("category"), present(records, fixed.QUESTION_NAMES).alias("question"), present(records, fixed.ANSWER_NAMES).alias("answer"),
-        present(records, fixed.EXAMPLE_NAMES).alias("examples"), present(records, ["_source_path"]).alias("source_path"),
+        canonical_json(present(records, fixed.EXAMPLE_NAMES)).alias("examples"), present(records, ["_source_path"]).alias("source_path"),
     ).where(F.col("category").isin(*fixed.CRYPTARITHM_LABELS))
     joined = F.concat_ws("\n", "question", "examples", "answer")
     rows = rows.withColumns({"input_output_length": length_summary(F.col("question"), F.col("examples"), F.col("answer")), "operator_symbols": operator_symbols(joined)})
