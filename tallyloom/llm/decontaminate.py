@@ -4,13 +4,14 @@ Words are maximal runs of ASCII letters and digits and of non-ASCII characters,
 consecutive words of a benchmark item; an item with fewer words, but not none, is one window.  A document
 word inside any occurrence of a window is hit.
 
-The benchmark is read in shards of at most ``shard_bytes`` of text, so what is broadcast has a fixed
-bound; each shard is one more pass over the documents' rows within the same task, without a shuffle.
+The benchmark is read in shards of about ``shard_bytes`` of text.  Each shard is broadcast and scanned for on its own: with
+several, what the documents have met so far is written between two of them and the broadcast is given up, so that one is alive
+at a time.  Nothing is shuffled.
 Hash matches are verified on the bytes of the words.
 
 Edge cases: null and empty texts have no words and are never contaminated; an item without words matches
 nothing; repeated items count by their id; repeated documents are judged one by one; an empty benchmark
-leaves every document clean; extra columns pass through, and the result columns replace columns of the same name.
+leaves every document clean; extra columns pass through, and the result columns replace columns of the same name, whatever their case.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .frames import free_name, map_arrow, set_aside, table
+from .frames import discard, documents, free_name, map_arrow, materialise, quoted, set_aside, table, without
 
 SHARD_BYTES = 32 << 20
 FILTER_BITS = 22
@@ -96,25 +97,26 @@ def find_windows(index: WindowIndex, chunk: ts.Chunk, spans: ts.Spans) -> tuple[
     return np.cumsum(hit[:-1]) > 0, items
 
 
-def _shards(benchmark: DataFrame, text: str, item_id: str, shard_bytes: int) -> Iterator[tuple[list[str], list[str]]]:
-    """Items in shards of about ``shard_bytes``, one at a time on the driver."""
+def _shards(benchmark: DataFrame, text: str, item_id: str, shard_bytes: int) -> Iterator[tuple[int, list[str], list[str]]]:
+    """How many shards are left, and the items of one of about ``shard_bytes``: one at a time on the driver."""
     size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     for k in range(shards):
         part = benchmark if shards == 1 else benchmark.where(F.pmod(F.xxhash64(item_id), F.lit(shards)) == k)
         rows = part.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), text).toArrow()
-        yield rows.column(0).to_pylist(), rows.column(1).to_pylist()
+        yield shards - 1 - k, rows.column(0).to_pylist(), rows.column(1).to_pylist()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", benchmark_text: str = "text", n: int = 13, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit (longs), items (item ids met, sorted as strings) and spans (byte ranges of
     runs of hit words in the UTF-8 text)."""
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
-    state = free_name(docs, "hits")
-    out = docs.select(*keep).withColumn(state, F.lit(None).cast("struct<n_words:bigint,spans:array<struct<from:bigint,to:bigint>>,words:array<struct<from:bigint,to:bigint>>,items:array<string>>"))
+    docs = without(docs, {"n_words", "n_hit", "items", "spans"}, text)
+    keep = [quoted(c) for c in docs.columns]
+    state, written = free_name(docs, "hits"), None
+    out = docs.withColumn(state, F.lit(None).cast("struct<n_words:bigint,spans:array<struct<from:bigint,to:bigint>>,words:array<struct<from:bigint,to:bigint>>,items:array<string>>"))
     schema = out.schema
-    for ids, texts in _shards(benchmark, benchmark_text, item_id, shard_bytes):
+    for left, ids, texts in _shards(benchmark, benchmark_text, item_id, shard_bytes):
         index = spark.sparkContext.broadcast(build_index(ids, texts, n))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -145,6 +147,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], result], schema=batch.schema)
 
         out = map_arrow(out, scan, schema)
+        if left:
+            out = materialise(out, "hits")
+            index.destroy()
+            if written is not None:
+                discard(written)
+            written = out
     words = F.aggregate(f"{state}.words", F.lit(0).cast("long"), lambda total, w: total + w["to"] - w["from"])
     return out.select(*keep, F.col(f"{state}.n_words").alias("n_words"), words.alias("n_hit"), F.col(f"{state}.items").alias("items"), F.col(f"{state}.spans").alias("spans"))
 
@@ -172,7 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documen
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

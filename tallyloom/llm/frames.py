@@ -18,10 +18,12 @@ _runs = itertools.count()
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests, a single machine) the session gets one under its warehouse.
+    Where it is unset on a single machine the session gets one under its warehouse; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is unset: driver and executors share no folder")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -49,6 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of ``documents``, dealt over all cores where the table has fewer files than there are cores; others stay as they are scanned."""
+    df, cores = table(spark, sf_dir, "documents").select(*columns), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` clashes with it."""
     taken = {c.lower() for c in df.columns}

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .frames import map_arrow, remainder, table, without
+from .frames import documents, map_arrow, remainder, without
 from .token_counts import default_model, model_bytes
 
 PLAIN = 40
@@ -346,7 +346,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", path: str | N
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     fold = remainder("doc_id", FOLDS)
     model = train(docs.where(fold != HELD_OUT))
     found = identify(docs.select("doc_id", "text"), model)

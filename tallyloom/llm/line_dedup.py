@@ -10,12 +10,13 @@ A text is split at ``\\n``; a line's key is the line stripped of ``[\\x20\\x09-\
 3. Repeated keys come back to the documents: as a broadcast set while they are at most ``broadcast_keys``, otherwise by
    a shuffle join of the suspected lines, then of the line numbers to drop.
 
-The filter has ``bits_per_line`` bits for each line.  Where that is more than ``max_bits``, keys are taken in ranges of
+With ``keep="first"`` each repeated key keeps its first line, in the order of the rows as they are read; suspected lines then always go
+by the shuffle joins, which choose it.  The filter has ``bits_per_line`` bits for each line.  Where that is more than ``max_bits``, keys are taken in ranges of
 their hashes, one after another, each with filters of its own and by the shuffle join, so the bits for each line stay the same.
 
 Edge cases: a null or empty text is one empty line; every row counts as one document even if ids repeat;
 keys shorter than ``min_chars`` code points are never dropped; an empty table gives an empty result; extra
-columns pass through and columns named as a result column are replaced.
+columns pass through and columns named as a result column, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .frames import free_name, map_arrow, materialise, table
+from .frames import discard, documents, free_name, map_arrow, materialise, quoted, table, without
 
 BLOCK_BITS = 1 << 20
 BITS_PER_LINE = 16
-MAX_BITS = 1 << 27
+MAX_BITS = 1 << 29  # 64 MB a filter
 BROADCAST_KEYS = 1 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -101,13 +102,21 @@ def _bits(hashes: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
 
 
+def _has(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _set(packed: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(packed, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+
 def _in_range(hashes: np.ndarray, part: int, parts: int) -> np.ndarray:
     return ts.mix(hashes) % np.uint64(parts) == np.uint64(part)
 
 
 def _fill(text: str, min_chars: int, n_bits: int, part: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(n_bits, bool), np.zeros(n_bits, bool)
+        once, twice = np.zeros(n_bits // 8, np.uint8), np.zeros(n_bits // 8, np.uint8)
         for batch in batches:
             for chunk in ts.chunks(batch.column(batch.schema.get_field_index(text))):
                 spans, _, _, hashes, enough = keys_of(chunk, min_chars)
@@ -116,13 +125,15 @@ def _fill(text: str, min_chars: int, n_bits: int, part: int, parts: int):
                 at = _first_in_document(hashes, spans.owner(), enough)
                 h, many = np.unique(hashes[at], return_counts=True)
                 a, b = _bits(h, n_bits)
-                again = (many > 1) | (once[a] & once[b])
-                twice[a[again]] = twice[b[again]] = True
-                once[a] = once[b] = True
-        for k in range(0, n_bits, BLOCK_BITS):
-            if once[k : k + BLOCK_BITS].any():
-                packed = [zlib.compress(np.packbits(x[k : k + BLOCK_BITS]).tobytes(), 1) for x in (once, twice)]
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK_BITS], pa.int32()), *(pa.array([p], pa.binary()) for p in packed)], ["block", "once", "twice"])
+                again = (many > 1) | (_has(once, a) & _has(once, b))
+                for bits in (a, b):
+                    _set(twice, bits[again])
+                    _set(once, bits)
+        size = BLOCK_BITS // 8
+        for k in range(0, n_bits // 8, size):
+            if once[k : k + size].any():
+                packed = [zlib.compress(x[k : k + size].tobytes(), 1) for x in (once, twice)]
+                yield pa.RecordBatch.from_arrays([pa.array([k // size], pa.int32()), *(pa.array([p], pa.binary()) for p in packed)], ["block", "once", "twice"])
 
     return run
 
@@ -155,11 +166,10 @@ def seen_twice(docs: DataFrame, text: str, min_chars: int, n_bits: int, part: in
     """The second filter of one range of keys, packed."""
     filters = map_arrow(docs.select(text), _fill(text, min_chars, n_bits, part, parts), _FILTERS)
     merged = filters.groupBy("block").applyInArrow(_merge_blocks, _FILTERS)
-    twice = np.zeros(n_bits, bool)
-    for row in merged.select("block", "twice").toLocalIterator():
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(row.twice), np.uint8)).astype(bool)
-        twice[row.block * BLOCK_BITS :][: len(bits)] = bits
-    return np.packbits(twice)
+    twice, size = np.zeros(n_bits // 8, np.uint8), BLOCK_BITS // 8
+    for row in merged.select("block", "twice").toLocalIterator():  # of bounded size: one filter
+        twice[row.block * size : (row.block + 1) * size] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
+    return twice
 
 
 class Twice:
@@ -171,8 +181,7 @@ class Twice:
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         a, b = _bits(hashes, self.n_bits)
-        at = lambda i: (self.packed[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 > 0
-        return at(a) & at(b) & (_in_range(hashes, self.part, self.parts) if self.parts > 1 else True)
+        return _has(self.packed, a) & _has(self.packed, b) & (_in_range(hashes, self.part, self.parts) if self.parts > 1 else True)
 
 
 def _digest(chunk: ts.Chunk, start: int, end: int) -> bytes:
@@ -204,20 +213,26 @@ def _finish(chunk_raw: bytes, spans: ts.Spans, d: int, drop: np.ndarray) -> str:
     return b"\n".join([chunk_raw[spans.starts[i] : spans.ends[i]] for i in kept]).decode("utf-8", "replace")
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_chars: int = 1, bits_per_line: int = BITS_PER_LINE, max_bits: int = MAX_BITS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """``docs`` with the kept lines as ``text`` (null stays null), and n_lines, n_dropped (longs)."""
+def dedup_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_chars: int = 1, bits_per_line: int = BITS_PER_LINE, max_bits: int = MAX_BITS, broadcast_keys: int = BROADCAST_KEYS, keep: str = "none") -> DataFrame:
+    """``docs`` with the kept lines as ``text`` (null stays null), and n_lines, n_dropped (longs).
+
+    ``keep``: "none" drops all lines of a repeated key, "first" all but the first.
+    """
+    if keep not in ("none", "first"):
+        raise ValueError(f"keep={keep!r}: none or first")
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = without(docs, {"n_lines", "n_dropped"}, text)
     n_lines = count_lines(docs, text)
     n_bits, parts = filter_bits(n_lines, bits_per_line, max_bits), ranges(n_lines, bits_per_line, max_bits)
-    if parts > 1:
-        return _dedup_by_ranges(docs, text, min_docs, min_chars, n_bits, parts)
+    if parts > 1 or keep == "first":
+        return _dedup_by_ranges(docs, text, min_docs, min_chars, n_bits, parts, keep)
     twice = spark.sparkContext.broadcast((seen_twice(docs, text, min_chars, n_bits), 0, 1))
     keys = materialise(repeated_keys(docs, twice, text=text, min_docs=min_docs, min_chars=min_chars), "repeated-lines")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     place = docs.columns.index(text)
     if keys.count() <= broadcast_keys:
         dropped = spark.sparkContext.broadcast(frozenset(keys.toArrow().column(0).to_pylist()))
+        discard(keys)
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, bad = Twice(twice.value), dropped.value
@@ -258,20 +273,21 @@ def _dedup_by_join(docs: DataFrame, keys: DataFrame, twice, text: str, min_chars
     return _without(docs, keyed, _drops(keyed, keys, twice, text, min_chars, row), text, row)
 
 
-def _dedup_by_ranges(docs: DataFrame, text: str, min_docs: int, min_chars: int, n_bits: int, parts: int) -> DataFrame:
+def _dedup_by_ranges(docs: DataFrame, text: str, min_docs: int, min_chars: int, n_bits: int, parts: int, keep: str) -> DataFrame:
     """The same for more lines than one filter is for: a range of keys at a time, and only the lines to drop are kept of each."""
     row = free_name(docs, "row_key")
     keyed, drops = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed-documents"), None
     for part in range(parts):
         twice = docs.sparkSession.sparkContext.broadcast((seen_twice(keyed, text, min_chars, n_bits, part, parts), part, parts))
         keys = materialise(repeated_keys(keyed, twice, text=text, min_docs=min_docs, min_chars=min_chars), "repeated-lines")
-        own = materialise(_drops(keyed, keys, twice, text, min_chars, row), "lines-to-drop")
-        twice.unpersist()
+        own = materialise(_drops(keyed, keys, twice, text, min_chars, row, keep), "lines-to-drop")
+        twice.destroy()
+        discard(keys)
         drops = own if drops is None else drops.union(own)
     return _without(docs, keyed, drops, text, row)
 
 
-def _drops(keyed: DataFrame, keys: DataFrame, twice, text: str, min_chars: int, row: str) -> DataFrame:
+def _drops(keyed: DataFrame, keys: DataFrame, twice, text: str, min_chars: int, row: str, keep: str = "none") -> DataFrame:
     """Numbers of the lines to drop, by row."""
     suspects_schema = T.StructType([T.StructField(row, T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("key", T.BinaryType())])
 
@@ -286,24 +302,29 @@ def _drops(keyed: DataFrame, keys: DataFrame, twice, text: str, min_chars: int,
                 digests = [_digest(chunk, a, b) for a, b in zip(starts[at], ends[at], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[chunk.first + owner]), pa.array((at - spans.bounds[owner]).astype(np.int32)), pa.array(digests, pa.binary())], names=[row, "line", "key"])
 
-    return map_arrow(keyed.select(text, row), suspects, suspects_schema).join(keys, "key").select(row, "line")
+    met = map_arrow(keyed.select(text, row), suspects, suspects_schema).join(keys, "key")
+    if keep == "none":
+        return met.select(row, "line")
+    first = met.groupBy("key").agg(F.min(F.struct(row, "line")).alias("first"))
+    return met.join(first, "key").where(F.struct(row, "line") != F.col("first")).select(row, "line")
 
 
 def _without(docs: DataFrame, keyed: DataFrame, lines_to_drop: DataFrame, text: str, row: str) -> DataFrame:
     place = docs.columns.index(text)
-    drops = lines_to_drop.groupBy(row).agg(F.collect_list("line").alias("drops"))
+    mark = free_name(docs, "drops")
+    drops = lines_to_drop.groupBy(row).agg(F.collect_list("line").alias(mark))
     joined = keyed.join(drops, row, "left")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    marked = joined.withColumn("drops", F.coalesce("drops", F.array().cast("array<int>")))
-    left = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform("drops", lambda i: i + 1))
+    dropped = F.coalesce(F.col(mark), F.array().cast("array<int>"))
+    left = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform(dropped, lambda i: i + 1))
     kept = F.array_join(F.transform(left, lambda i: F.element_at(lines, i)), "\n")
-    others = [F.col(c) for c in docs.columns]
-    others[place] = F.when(F.size("drops") > 0, kept).otherwise(F.col(text)).alias(text)
-    return marked.select(*others, F.size(lines).cast("long").alias("n_lines"), F.size("drops").cast("long").alias("n_dropped"))
+    others = [F.col(quoted(c)) for c in docs.columns]
+    others[place] = F.when(F.size(dropped) > 0, kept).otherwise(F.col(text)).alias(text)
+    return joined.select(*others, F.size(lines).cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

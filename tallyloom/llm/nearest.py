@@ -9,7 +9,8 @@ Rows stay where they are: each task indexes its rows in stretches of ``stretch``
 in blocks of at most ``block`` vectors, which is all that is broadcast.  Every row is indexed.  Recall on the test tables
 is in the README.
 
-Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors of another length than a
+Edge cases: vectors of any finite size are scaled first, so that no square over- or underflows; rows without an id take no part;
+extra columns aren't looked at; vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors of another length than a
 query's are no candidates; a query never finds rows with its own id; repeated rows are candidates each; ties
 go to the smaller id; with fewer candidates than asked for all are returned; an empty table gives an empty result.
 """
@@ -46,8 +47,9 @@ def usable(vectors: DataFrame, embedding: str) -> DataFrame:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """A list column of one length as doubles."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    """A list column of one length as doubles; each row by a power of two, which is exact, so that its largest component is near 1."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .frames import map_arrow, table, without
+from .frames import documents, map_arrow, without
 
 SPACE = "▁"
 SEGMENT = re.compile(r" *[^ \n\t]+| +|[\n\t]")
@@ -371,6 +371,6 @@ def pack(counts: list[int], budget: int) -> list[int]:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     counted = count_tokens(docs)
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .frames import map_arrow, remainder, set_aside, table, without
+from .frames import documents, map_arrow, remainder, set_aside, table, without
 from .labelled import fitted, sample, squash
 
 BUCKETS = 1 << 20
@@ -245,7 +245,7 @@ def reject(docs: DataFrame, model: Model, *, text: str = "text", cut: float = CU
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score(docs, model)
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= CUT).cast("int").alias("predicted"))

@@ -1,5 +1,6 @@
 import itertools
 import math
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -136,3 +137,30 @@ def test_distinct_words_add_up():
     got = {known.data[a:b].tobytes(): v[0] for a, b, v in zip(known.starts, known.ends, known.values, strict=True)}
     assert got == want
     assert (known.find(known.hashes) == np.arange(len(known))).all() and (known.find(np.array([5], np.uint64)) == -1).all()
+
+
+def test_query_against_plain_loops(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = li.train(docs.where(li.remainder("doc_id", 4) != 2))
+    known = {}
+
+    def word(w):
+        if w not in known:
+            ids = pieces_in(b" " + w)
+            fore = np.zeros((len(w) + 2, len(model.languages)))
+            fore[0] = 1
+            for (i, j), k in sorted(ids.items(), key=lambda x: x[0][1]):
+                fore[j] += fore[i] * model.pieces[k]
+            known[w] = np.log(fore[-1])
+        return known[w]
+
+    got = {r.doc_id: r for r in li.op7(spark, sf).collect()}
+    for r in docs.collect():
+        low = (r.text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+        logs = model.prior + sum((word(w) for w in re.findall(rb"[a-z\x80-\xff]+", low)), np.zeros(len(model.languages)))
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        assert got[r.doc_id].lang_pred == model.languages[int(logs.argmax())]
+        assert abs(got[r.doc_id].score - 1 / np.exp(logs - logs.max()).sum()) < 1e-6

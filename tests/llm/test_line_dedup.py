@@ -57,7 +57,29 @@ def test_filters_stay_sparse(spark):
     docs = spark.createDataFrame([(i, "\n".join(f"line {i} {k}" for k in range(50))) for i in range(100)], "doc_id long, text string")
     n, most = 5000, 1 << 14
     parts = ld.ranges(n, max_bits=most)
-    assert parts == 5 and ld.ranges(1 << 30) == 128
+    assert parts == 5 and ld.ranges(1 << 30) == 32
     for part in range(parts):
         twice = ld.seen_twice(docs, "text", 1, ld.filter_bits(n, max_bits=most), part, parts)
         assert np.unpackbits(twice).mean() < 0.05
+
+
+@pytest.mark.parametrize(("min_docs", "max_bits"), [(2, 1 << 20), (10, 1 << 20), (2, 512)])
+def test_first_occurrence_stays(spark, min_docs, max_bits):
+    docs = spark.createDataFrame([(i, *d) for i, d in enumerate(DOCS)], "place int, doc_id long, text string").repartition(1).sortWithinPartitions("place")
+    count, met = {}, set()
+    for _, t in DOCS:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            count[k] = count.get(k, 0) + 1
+    want = {}
+    for i, (_, t) in enumerate(DOCS):
+        kept = []
+        for x in (t or "").split("\n"):
+            k = key(x)
+            if len(k) < 1 or count[k] < min_docs or k not in met:
+                kept.append(x)
+            met.add(k)
+        want[i] = "\n".join(kept)
+    got = ld.dedup_lines(docs, min_docs=min_docs, max_bits=max_bits, keep="first")
+    assert {r.place: r.text or "" for r in got.collect()} == want
+    with pytest.raises(ValueError, match="none or first"):
+        ld.dedup_lines(docs, keep="last")

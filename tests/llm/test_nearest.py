@@ -54,3 +54,16 @@ def test_footrule():
 
     full = np.array([sum(abs(rank(p, x) - rank(query, x)) for x in range(12)) for p in prefixes])
     assert len(set(full - files.footrule(query))) == 1
+
+
+def test_vectors_of_any_size(spark):
+    rows = [(0, [1e200, 2e200]), (50, [3e-200, 1e-200]), (1, [2e-200, 4e-200]), (2, [1e300, 3e299]), (3, [5e-324, 0.0]), (4, [0.0, 0.0]), (5, [-1e308, -1e308])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' as score", "1 as rank")
+    found = nn.nearest(frame, frame.where("vec_id % 50 = 0")).collect()
+    assert all(np.isfinite(r.score) and abs(r.score) <= 1 + 1e-12 for r in found)
+    unit = {i: np.array(v) / np.abs(v).max() for i, v in rows if any(v)}
+    for q in (0, 50):
+        cosine = {i: unit[q] @ v / (np.linalg.norm(unit[q]) * np.linalg.norm(v)) for i, v in unit.items() if i != q}
+        want = sorted(cosine, key=lambda i: (-cosine[i], i))[:5]
+        own = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in own] == want and np.allclose([r.score for r in own], [cosine[i] for i in want], atol=1e-12)
