@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows as Parquet in the shared folder
 and reads them back as the next stage's documents.  All stages but the last return the columns of their input.
+
+Edge cases: documents without text or without an id pass the filters (they are neither toxic, near copies nor contaminated), a null
+text stays null, and the mix takes no words of empty ones, so they don't come out of the last stage.  Of repeated rows one stays from
+the third stage on; of an id with several texts every text that isn't a near copy of another stays.  Extra columns pass through all
+stages whatever their names; the last stage replaces those named as one of its results.  Without labels of both kinds no
+document is called toxic unless all labels are.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

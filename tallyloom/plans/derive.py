@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores before costly expressions where the scan has fewer files than there are cores; others stay as they are scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def pick(index: Column, values: list[str]) -> Column:
     return F.get(F.array(*map(F.lit, values)), index.cast("int"))
 

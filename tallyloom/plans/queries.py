@@ -169,7 +169,7 @@ def parse_expression(spark, sf_dir):
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, {duck.q(fixed.EXPRESSION)}, 2))), ' ') AS symbols FROM documents")
 def operator_symbols(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.operator_symbols(F.col("text")).alias("symbols"))
+    return derive.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.operator_symbols(F.col("text")).alias("symbols"))
 
 
 @query(f"WITH {duck.PROBLEMS} SELECT problem_id, {duck.clean('answer')} AS cleaned FROM problems")
@@ -258,7 +258,7 @@ _C1 = "category, subcategory, confidence, rule, matched_keywords, manual_review_
 
 @query(f"WITH source AS (SELECT doc_id AS key, '' AS label, ' ' || trim({duck.ASCII_TEXT}) || ' ' AS t FROM documents), {duck.KEYWORDS} SELECT key AS doc_id, {_C1} FROM classified")
 def category_map_c1(spark, sf_dir):
-    rows = classify.by_keywords(table(spark, sf_dir, "documents").select("doc_id", "text"), category=F.lit(""), question=F.col("text"), examples=F.lit(""))
+    rows = classify.by_keywords(derive.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), category=F.lit(""), question=F.col("text"), examples=F.lit(""))
     return rows.select("doc_id", "c1.*")
 
 
@@ -276,7 +276,7 @@ def category_map_explicit(spark, sf_dir):
 
 @query(f"WITH t AS (SELECT doc_id, {duck.ASCII_TEXT} AS t FROM documents) SELECT doc_id, {duck.SINGLE('t')} AS category FROM t")
 def category_c2(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", classify.by_single_pattern(F.col("text")).alias("category"))
+    return derive.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", classify.by_single_pattern(F.col("text")).alias("category"))
 
 
 def _phrases_sql(source: str) -> str:

@@ -48,7 +48,7 @@ if __name__ == "__main__":
 
     import __spark_entry__ as entry
 
-    session = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", "/tmp/oracle-warehouse").getOrCreate()
+    session = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", "/tmp/oracle-warehouse").config("spark.checkpoint.dir", "file:///tmp/oracle-warehouse/_shared").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     where = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     for key, sql in entry.oracle_sql().items():
