@@ -1,8 +1,8 @@
 """Scoring by a hashed maximum-entropy language model.
 
 Tokens are white-space words with A-Z lower-cased, and one end token for each text.  The next token is a leaf of a tree, and each
-node on its path is a softmax over hashed features of what precedes it: nothing, the last token, the last two, and two skip features
-(the second and the third last token).  Every token met in training has a leaf of its own, and all that never occur share one,
+node on its path is a softmax over hashed features of what precedes it: the last token, the last two, and two skip features
+(the second and the third last token); what holds without context is in the counts.  Every token met in training has a leaf of its own, and all that never occur share one,
 so the probabilities of all known tokens and of "unknown" add up to 1 and each feature can raise each single token.  Leaves
 of tokens of like counts form a band; above the bands stands a Huffman tree, below one its tokens by rank, ``CLASSES`` ways
 at each node.  Without weights the tree gives smoothed relative frequencies.  As in the Good-Turing estimate, a token of n
@@ -17,8 +17,9 @@ occurrences in training counts as one of n - 1 while the tree above the bands is
 4. Each text's score is the sum over the parts.
 
 Edge cases: null and empty texts are the end token alone; repeated rows are counted and scored each; rows without an id are
-scored too; without training texts every token is unknown; an empty table gives an empty result; extra columns
-pass only through the caller's join.
+scored too, as training texts; without training texts every token is unknown; texts of equal tokens may score differently where their
+last two tokens are so frequent that several parts share them; an empty table gives an empty result; the result has its own columns
+only, so that extra ones of any name stay behind.
 """
 
 from __future__ import annotations
@@ -37,27 +38,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .frames import discard, map_arrow, materialise, remainder, table
+from .frames import discard, documents, map_arrow, materialise, remainder, table
 
 STRETCH_BYTES = 8 << 20
 SHARD_ENTRIES = 1 << 20
 PART_TOKENS = 1 << 20
 FREQUENT = 1 << 17
 CLASSES = 4  # branches of a node
-KINDS = 5  # of features
+KINDS = 4  # of features
 FEATURES = 1 << 10  # slots of a kind in a part, at least
 TOKENS_PER_SLOT = 2
-BATCH = 16384
-RATE = 0.3
+BATCH = 65536  # training tokens of a step, at most
+STEPS = 16  # of a part, at least, where it has 1024 training tokens for each
+SCORED = 16384  # tokens scored together
+BLOCK = 1 << 14
+RATE = 0.2
 NEVER = -1e4
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Least counts of the bands.
 EDGES = np.array(sorted({int(2 ** (k / 2)) for k in range(100)}), np.int64)
 BANDS = len(EDGES)
 
-_SHARES = T.StructType([T.StructField("shard", T.LongType()), T.StructField("stretch", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+_SHARES = T.StructType([
+    T.StructField("shard", T.LongType()), T.StructField("stretch", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("places", T.BinaryType()),
+])
 _ANSWERS = T.StructType([
-    T.StructField("stretch", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("counts", T.BinaryType()), T.StructField("ranks", T.BinaryType()),
+    T.StructField("stretch", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("n", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("found", T.BinaryType()),
     T.StructField("kinds", T.ArrayType(T.LongType())), T.StructField("mass", T.ArrayType(T.DoubleType())),
 ])
 _BLOCKS = T.StructType([T.StructField("part", T.LongType()), T.StructField("stretch", T.LongType()), T.StructField("n", T.LongType()), T.StructField("block", T.BinaryType())])
@@ -121,14 +127,15 @@ def _deal(shards: int):
                 order = np.argsort(to, kind="stable")
                 edges = np.concatenate([[0], np.cumsum(np.bincount(to.astype(np.int64), minlength=shards))])
                 full = np.flatnonzero(np.diff(edges))
-                cells = [[x[order[edges[k] : edges[k + 1]]].tobytes() for k in full] for x in (h, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([stretch.as_py()] * len(full), pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=_SHARES.names)
+                own = [order[edges[k] : edges[k + 1]] for k in full]
+                cells = [[x[places].tobytes() for places in own] for x in (h, n)] + [[_pack([places]) for places in own]]
+                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([stretch.as_py()] * len(full), pa.int64()), pa.array(list(map(len, own)), pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=_SHARES.names)
 
     return run
 
 
 def _answer(key: tuple, shares: pa.Table) -> pa.Table:
-    """Total counts of a shard's tokens and their ranks in the shard's bands, for each stretch in the order it asked."""
+    """Total counts of a shard's tokens and their ranks in the shard's bands, for each stretch, with the places in its dictionary."""
     parts = [shares.column(c).to_pylist() for c in ("hashes", "counts")]
     h, n = (np.concatenate([np.frombuffer(x, kind) for x in part]) for part, kind in zip(parts, (np.uint64, np.int32), strict=True))
     unique, place = np.unique(h, return_inverse=True)
@@ -140,10 +147,10 @@ def _answer(key: tuple, shares: pa.Table) -> pa.Table:
     rank[order] = np.arange(len(unique)) - np.repeat(np.cumsum(kinds) - kinds, kinds)
     mass = np.bincount(band_of(np.maximum(total - 1, 0)) + 1, total, BANDS + 1)
     edges = np.cumsum([len(x) // 8 for x in parts[0]])[:-1]
-    counts, ranks = ([x.tobytes() for x in np.split(values[place], edges)] for values in (total, rank))
-    rest = [None] * (len(counts) - 1)
+    found = [_pack([total[p], rank[p]]) for p in np.split(place, edges)]
+    rest = [None] * (len(found) - 1)
     return pa.table({
-        "stretch": shares.column("stretch"), "shard": shares.column("shard"), "counts": pa.array(counts, pa.binary()), "ranks": pa.array(ranks, pa.binary()),
+        "stretch": shares.column("stretch"), "shard": shares.column("shard"), "n": shares.column("n"), "places": shares.column("places"), "found": pa.array(found, pa.binary()),
         "kinds": pa.array([kinds[1:].tolist(), *rest], pa.list_(pa.int64())), "mass": pa.array([mass.tolist(), *rest], pa.list_(pa.float64())),
     })
 
@@ -227,7 +234,7 @@ class Tree:
             left = self.kinds[band[i]][:, None] - (prefix[:, None] * CLASSES + np.arange(CLASSES)) * size[:, None]
             held = np.clip(left, 0, size[:, None])
             bias[at] = np.where(held > 0, np.log(np.maximum(held, 1)), NEVER)
-        return Paths(starts, sizes, ts.mix(nodes + np.uint64(1)), branches, bias)
+        return Paths(starts, sizes, ts.mix(nodes + np.uint64(1)), branches.astype(np.int8), bias.view(np.complex128).ravel())
 
 
 @dataclass
@@ -246,17 +253,16 @@ def _code(stats: Statistics, schema: T.StructType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_total = np.log10(stats.tokens + 0.5 * (stats.tree.known() + 1))
-        shards = len(stats.offsets)
         for row in (batch.slice(i, 1) for batch in batches for i in range(len(batch))):
             cell = {c: row.column(row.schema.get_field_index(c)) for c in row.schema.names}
-            h, sizes = (np.frombuffer(cell[c][0].as_py(), kind) for c, kind in (("hashes", np.uint64), ("sizes", np.int32)))
+            sizes = np.frombuffer(cell["sizes"][0].as_py(), np.int32)
             [tokens] = _unpack(cell["tokens"][0].as_py(), int(sizes.sum()), 1)
-            to = (ts.mix(h) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            total, rank = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
-            answers = sorted(cell["answers"][0].as_py(), key=lambda x: x["shard"])
-            total[order] = np.concatenate([np.frombuffer(x["counts"], np.int64) for x in answers])
-            rank[order] = np.concatenate([np.frombuffer(x["ranks"], np.int32) for x in answers])
+            total, rank, to = np.empty((3, cell["entries"][0].as_py()), np.int64)
+            for x in cell["answers"][0]:
+                x = x.as_py()
+                [places] = _unpack(x["places"], x["n"], 1)
+                total[places], rank[places] = _unpack(x["found"], x["n"], 2)
+                to[places] = x["shard"]
             band = band_of(total)
             number = np.where(total > 0, stats.tree.first[band] + stats.offsets[to, band] + rank, 0)
             below = (total > 0) & (band_of(total - 1) < band)
@@ -323,71 +329,67 @@ def _ship(stats: Statistics):
     return run
 
 
-def _softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights.take(f[0], axis=0)
-    for k in range(1, len(f)):
-        z += weights.take(f[k], axis=0)
-    z += bias
-    # by column, as rows are short
-    most = z[:, 0].copy()
-    for c in range(1, z.shape[1]):
-        np.maximum(most, z[:, c], out=most)
-    z -= most[:, None]
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Over the first axis, in place."""
+    z -= z.max(axis=0)
     np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    z /= z.sum(axis=0)
     return z
 
 
 class Model:
-    """The weights of one part: ``slots`` rows for each kind of feature, which follow its training tokens."""
+    """The weights of one part: ``slots`` for each kind of feature and branch, which follow its training tokens."""
 
     def __init__(self, n_train: int):
-        self.bits = max(FEATURES, -(-n_train // TOKENS_PER_SLOT) - 1).bit_length() if n_train > FEATURES else FEATURES.bit_length() - 1
-        self.weights = np.zeros((KINDS << self.bits, CLASSES), np.float32)
+        self.bits = (max(FEATURES, -(-n_train // TOKENS_PER_SLOT)) - 1).bit_length()
+        self.weights = np.zeros((KINDS, 1 << self.bits, CLASSES), np.float32)
         self.squares = np.zeros_like(self.weights)
-        self.grad = np.zeros_like(self.weights)
-        self.met = np.zeros(len(self.weights), bool)
 
-    def look(self, paths: Paths, target: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of the paths, their tokens, and their features' slots (a row for each kind)."""
+    def look(self, paths: Paths, target: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """Rows of the paths, sizes of each token's path, slots of the features by kind, and each branch's probability."""
         sizes = paths.sizes[target]
-        rows, of = ts.expand(paths.starts[target], sizes), np.repeat(np.arange(len(target)), sizes)
-        nodes = paths.nodes[rows]
-        f = np.empty((KINDS, len(rows)), np.int64)
+        rows = ts.expand(paths.starts[target], sizes)
+        nodes, shift, slots = paths.nodes[rows], np.uint64(64 - self.bits), []
+        z, part = np.take(paths.bias, rows).view(np.float32), np.empty(len(rows), np.complex128)
         for k in range(KINDS):
-            h = (np.repeat(context[k], sizes) ^ nodes) * np.uint64(0xD6E8FEB86659FD93)
-            f[k] = (h >> np.uint64(64 - self.bits)).astype(np.int64) + (k << self.bits)
-        return rows, of, f
+            h = np.repeat(context[k], sizes)
+            h ^= nodes
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h >>= shift
+            slots.append(h.view(np.int64))
+            # the weights of a slot's branches are taken as one number of 16 bytes
+            np.take(self.weights[k].view(np.complex128).ravel(), slots[k], out=part, mode="clip")
+            z += part.view(np.float32)
+        return rows, sizes, slots, _softmax(np.ascontiguousarray(z.reshape(-1, CLASSES).T))
 
     def learn(self, paths: Paths, target: np.ndarray, context: np.ndarray) -> None:
         """One mini-batch: gradients of each slot are added up, steps shrink with what a slot has seen."""
-        rows, _, f = self.look(paths, target, context)
-        p = _softmax(self.weights, paths.bias[rows], f)
-        p[np.arange(len(p)), paths.branches[rows]] -= 1
-        flat, by_two = self.grad.reshape(-1).view(np.complex64), p.reshape(-1).view(np.complex64).reshape(-1, CLASSES // 2)
+        rows, _, slots, p = self.look(paths, target, context)
+        p[paths.branches[rows], np.arange(len(rows))] -= 1
+        p = p.astype(np.float64)
+        g = np.empty((1 << self.bits, CLASSES), np.float32)
         for k in range(KINDS):
-            for c in range(CLASSES // 2):
-                np.add.at(flat, f[k] * (CLASSES // 2) + c, by_two[:, c])
-            self.met[f[k]] = True
-        rows = np.flatnonzero(self.met)
-        g, s = self.grad.take(rows, axis=0), self.squares.take(rows, axis=0)
-        s += g * g
-        self.squares[rows] = s
-        self.weights[rows] = self.weights.take(rows, axis=0) - RATE * g / np.sqrt(s + 1)
-        self.grad[rows], self.met[rows] = 0, False
+            for c in range(CLASSES):
+                g[:, c] = np.bincount(slots[k], p[c], 1 << self.bits)
+            for at in range(0, len(g), BLOCK):  # in pieces that a core's cache holds
+                own, squares = g[at : at + BLOCK], self.squares[k, at : at + BLOCK]
+                squares += own * own
+                own *= RATE
+                own /= np.sqrt(squares + np.float32(1))
+                self.weights[k, at : at + BLOCK] -= own
 
     def logs(self, paths: Paths, target: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Log probability of each target."""
-        rows, of, f = self.look(paths, target, context)
-        p = _softmax(self.weights, paths.bias[rows], f)[np.arange(len(rows)), paths.branches[rows]]
-        return np.bincount(of, np.log10(np.minimum(p, 1) + 1e-30), len(target))
+        rows, sizes, _, p = self.look(paths, target, context)
+        logs = np.log10(np.minimum(p[paths.branches[rows], np.arange(len(rows))], 1) + np.float32(1e-30)).astype(np.float64)
+        return np.add.reduceat(logs, np.cumsum(sizes) - sizes)
 
 
 def contexts(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
     """Hashes of the features of each kind."""
     a, b, c = (x.astype(np.uint64) for x in (one, two, three))
     salt = lambda k: np.uint64(k) << np.uint64(56)
-    return np.stack([np.zeros(len(a), np.uint64), ts.mix(a + salt(1)), ts.mix(ts.mix(a + salt(2)) + b), ts.mix(b + salt(3)), ts.mix(c + salt(4))])
+    return np.stack([ts.mix(a + salt(1)), ts.mix(ts.mix(a + salt(2)) + b), ts.mix(b + salt(3)), ts.mix(c + salt(4))])
 
 
 def _learn_and_score(shared):
@@ -403,10 +405,12 @@ def _learn_and_score(shared):
         del value
         model = Model(len(use))
         paths = tree.paths(unique >> 1, (unique & 1) > 0)
-        for at in range(0, len(use), BATCH):
-            model.learn(paths, target[use[at : at + BATCH]], context[:, use[at : at + BATCH]])
+        size = min(BATCH, max(1024, -(-len(use) // STEPS)))
+        for at in range(0, len(use), size):
+            model.learn(paths, target[use[at : at + size]], context[:, use[at : at + size]])
+        model.squares = None
         paths = tree.paths(unique >> 1, np.zeros(len(unique), bool))
-        logs = np.concatenate([model.logs(paths, target[at : at + BATCH], context[:, at : at + BATCH]) for at in range(0, len(target), BATCH)])
+        logs = np.concatenate([model.logs(paths, target[at : at + SCORED], context[:, at : at + SCORED]) for at in range(0, len(target), SCORED)])
         at = 0
         for stretch, n in rows:
             texts, place = np.unique(np.cumsum(owner[at : at + n]), return_inverse=True)
@@ -460,10 +464,10 @@ def score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str =
         mass += r.mass
     stats = Statistics(n_train, n_tokens, -(-n_tokens // PART_TOKENS), np.cumsum(kinds, axis=0) - kinds, Tree(kinds.sum(axis=0), mass))
 
-    by_stretch = answers.groupBy("stretch").agg(F.collect_list(F.struct("shard", "counts", "ranks")).alias("answers"))
+    by_stretch = answers.groupBy("stretch").agg(F.collect_list(F.struct("shard", "n", "places", "found")).alias("answers"))
     binary = [T.StructField(c, T.BinaryType()) for c in ("sizes", "train", "tokens", "numbers", "known", "base")]
     coded_schema = T.StructType([T.StructField("stretch", T.LongType()), stretches.schema["ids"], *binary])
-    asked = stretches.drop("counts", "n_train", "n_tokens", "entries").repartition(n_stretches, "stretch").join(by_stretch.repartition(n_stretches, "stretch"), "stretch")
+    asked = stretches.drop("hashes", "counts", "n_train", "n_tokens").repartition(n_stretches, "stretch").join(by_stretch.repartition(n_stretches, "stretch"), "stretch")
     coded = materialise(map_arrow(asked, _code(stats, coded_schema), coded_schema), "coded")
     discard(stretches)
     discard(answers)
@@ -478,5 +482,5 @@ def score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str =
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return score(docs, remainder("doc_id", 5) != 1)

@@ -52,9 +52,10 @@ def test_edges(spark):
 
 def test_probabilities_add_up():
     rng = np.random.default_rng(0)
-    weights = rng.normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32)
-    f = np.stack([rng.integers(0, lm.FEATURES, 50) for _ in range(4)])
-    assert np.allclose(lm._softmax(weights, np.zeros(lm.CLASSES, np.float32), f).sum(axis=1), 1, atol=1e-5)
+    z = rng.normal(size=(lm.CLASSES, 50)).astype(np.float32)
+    want = np.exp(z) / np.exp(z).sum(axis=0)
+    got = lm._softmax(z.copy())
+    assert np.allclose(got, want, atol=1e-5) and np.allclose(got.sum(axis=0), 1, atol=1e-5)
 
 
 def test_every_known_token_is_a_leaf():
@@ -87,4 +88,70 @@ def test_slots_and_parts_follow_the_corpus():
     assert bits == [10, 13, 17, 19]
     stats = lambda n: lm.Statistics(n, n, -(-n // lm.PART_TOKENS), np.zeros((1, lm.BANDS), np.int64), lm.Tree(np.eye(lm.BANDS, dtype=np.int64)[0] * n, np.zeros(lm.BANDS + 1)))
     one, two = np.random.default_rng(3).integers(1, 1 << 22, (2, 1 << 16))
-    assert [len(np.unique(lm._place(stats(n), 0, one, two))) for n in (1 << 20, 1 << 24, 1 << 26)] == [1, 16, 64]
+    assert [len(np.unique(lm._place(stats(n), 0, one, two))) for n in (lm.PART_TOKENS, 16 * lm.PART_TOKENS, 64 * lm.PART_TOKENS)] == [1, 16, 64]
+
+
+def plainly(docs, trained):
+    """Scores by the model as its docstring says it, in plain loops over numbers and dictionaries (for one part)."""
+    texts = [tokens(t) for _, t in docs]
+    word_hash = lambda w: int(lm.END) if w is None else int(lm.ts.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0])
+    count = Counter(word_hash(w) for ws, d in zip(texts, docs, strict=True) if trained(d[0]) for w in ws)
+    # numbers by band, frequent bands first, and by hash within a band
+    band = {h: max(k for k, e in enumerate(lm.EDGES) if e <= n) for h, n in count.items()}
+    order = sorted(count, key=lambda h: (-band[h], h))
+    number = {h: i + 1 for i, h in enumerate(order)}
+    kinds, mass = np.zeros(lm.BANDS, np.int64), np.zeros(lm.BANDS + 1)
+    for h, n in count.items():
+        kinds[band[h]] += 1
+        mass[max([k for k, e in enumerate(lm.EDGES) if e <= n - 1], default=-1) + 1] += n
+    tree = lm.Tree(kinds, mass)
+    bits = (max(lm.FEATURES, -(-sum(count.values()) // lm.TOKENS_PER_SLOT)) - 1).bit_length()
+
+    def path(n, below):
+        p = tree.paths(np.array([n]), np.array([below]))
+        bias = p.bias.view(np.float32).reshape(-1, lm.CLASSES)
+        return [(int(a), int(b), [float(x) for x in c]) for a, b, c in zip(p.nodes, p.branches, bias, strict=True)]
+
+    rows = []  # target, lowered, contexts, trained, document
+    for d, ws in enumerate(texts):
+        known = [number.get(word_hash(w), 0) for w in ws]
+        # a token counts as one of an occurrence less while it trains; where that is another band, its path is that band's
+        band_of = lambda n: max([k for k, e in enumerate(lm.EDGES) if e <= n], default=-1)
+        below = [bool(n) and band_of(count[word_hash(w)] - 1) < band[word_hash(w)] for n, w in zip(known, ws, strict=True)]
+        past = [0, 0, 0]
+        for n, b in zip(known, below, strict=True):
+            rows.append((n, b, tuple(past), trained(docs[d][0]), d))
+            past = [n + 1, *past[:2]]
+    weights, squares = {}, {}
+    slots = lambda c, node: [(k, (((int(x) ^ node) * 0xD6E8FEB86659FD93) & (2**64 - 1)) >> (64 - bits)) for k, x in enumerate(lm.contexts(*(np.array([v]) for v in c))[:, 0])]
+
+    def chances(c, node, bias):
+        z = [b + sum(weights.get((s, i), 0.0) for s in slots(c, node)) for i, b in enumerate(bias)]
+        e = [math.exp(x - max(z)) for x in z]
+        return [x / sum(e) for x in e]
+
+    use = [r for r in rows if r[3]]
+    size = min(lm.BATCH, max(1024, -(-len(use) // lm.STEPS)))
+    for at in range(0, len(use), size):
+        grad = Counter()
+        for n, b, c, _, _ in use[at : at + size]:
+            for node, branch, bias in path(n, b):
+                for i, p in enumerate(chances(c, node, bias)):
+                    for s in slots(c, node):
+                        grad[s, i] += p - (i == branch)
+        for k, g in grad.items():
+            squares[k] = squares.get(k, 0.0) + g * g
+            weights[k] = weights.get(k, 0.0) - lm.RATE * g / math.sqrt(squares[k] + 1)
+    scores = [0.0] * len(docs)
+    for n, _, c, _, d in rows:
+        scores[d] += sum(math.log10(chances(c, node, bias)[branch]) for node, branch, bias in path(n, False))
+    return scores
+
+
+def test_scores_against_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(25)]
+    docs = [(i, " ".join(words[int(k)] for k in (rng.zipf(1.5, 30) - 1) % 25)) for i in range(60)] + [(100, None), (101, "never seen")]
+    trained = lambda d: zlib.crc32(str(d).encode()) % 5 != 1
+    rows = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), remainder("doc_id", 5) != 1).collect()}
+    assert np.allclose([rows[d] for d, _ in docs], plainly(docs, trained), rtol=1e-4, atol=1e-3)
