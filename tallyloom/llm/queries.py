@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": decontaminate.OP1_SQL,
+    "op2_near_dedup": near_dedup.OP2_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }
