@@ -5,13 +5,14 @@ can't take goes to the others by weight.  The common level of that filling is th
 ``(total - limits before) / weights left`` over sources in order of limit per weight.
 
 Within a source documents stand in the order of a hash-random key.  Keys are cut into ranges of about
-``bucket_rows`` documents, range totals are summed up, and only the range in which the budget ends is looked at row by
+``bucket_rows`` documents, ranges into stretches of ``STRETCH``; prefix sums go over stretches, then over the ranges of the stretch
+in which the budget ends, and only the range in which it ends is looked at row by
 row.  So no task holds a whole source, and a document's decision needs its source's row alone: whole
 epochs, then everything before the cut key, then the rest of the budget at the cut key.
 
 Edge cases: a null text has size 0; the null source comes last in the order of weights; documents with one key (repeated
 ids) that stand at the cut share what is left by size; empty sources have target 0; an empty table gives
-an empty result; extra columns pass through, result columns replace columns of the same name.
+an empty result; extra columns pass through, result columns replace columns of the same name, whatever their case.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .frames import materialise, table
+from .frames import discard, documents, free_name, materialise, quoted, without
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BUCKET_ROWS = 4096
+STRETCH = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 RESULT = ("size", "source_size", "target", "taken")
 
@@ -54,10 +56,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` with size, source_size, target and taken: the words that the mix takes, repeats counted."""
     size = word_count(text) if size is None else size
-    kept = [F.col(c) for c in docs.columns if c not in RESULT]
+    kept = [F.col(quoted(c)) for c in without(docs, set(RESULT)).columns]
     keyed = docs.select(F.col(source).alias("source"), size.alias("size"), random_key(doc_id).alias("key"))
 
-    rows = docs.groupBy(F.col(source).alias("source")).agg(F.ceil(F.count(F.lit(1)) / bucket_rows).alias("buckets"))
+    # what has a row for each source is written, so that its size is known and Spark joins it without moving documents where it is small
+    rows = materialise(docs.groupBy(F.col(source).alias("source")).agg(F.ceil(F.count(F.lit(1)) / bucket_rows).alias("buckets")), "mix-sources")
     part = F.conv(F.substring("key", 1, 13), 16, 10).cast("double") / float(1 << 52)
     dealt = keyed.alias("k").join(rows.alias("r"), F.col("k.source").eqNullSafe(F.col("r.source"))).select("k.*", F.floor(part * F.col("buckets")).alias("bucket"))
     buckets = materialise(dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-ranges")
@@ -70,24 +73,34 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
         .withColumn("rest", F.when(empty, 0).otherwise(budget - F.col("epochs") * F.col("source_size")).cast("long")), "mix-plan",
     )
 
-    upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    summed = buckets.withColumn("upto", F.sum("words").over(upto))
-    at = summed.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).where((F.col("rest") > F.col("upto") - F.col("words")) & (F.col("rest") <= F.col("upto")))
-    ending = at.select("b.source", "bucket", (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))
+    def ends(sums: DataFrame, by: str, left: DataFrame) -> DataFrame:
+        """(source, ``by``, left): where in the prefix sums of each source what is left of its budget ends, and what is left there."""
+        upto = W.partitionBy("source").orderBy(by).rowsBetween(W.unboundedPreceding, W.currentRow)
+        summed = sums.withColumn("upto", F.sum("words").over(upto))
+        at = summed.alias("b").join(left.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).where((F.col("left") > F.col("upto") - F.col("words")) & (F.col("left") <= F.col("upto")))
+        return at.select("b.source", by, (F.col("left") - F.col("upto") + F.col("words")).alias("left"))
+
+    stretched = buckets.withColumn("stretch", F.floor(F.col("bucket") / STRETCH))
+    last = ends(stretched.groupBy("source", "stretch").agg(F.sum("words").alias("words")), "stretch", plan.select("source", F.col("rest").alias("left")))
+    within = stretched.alias("b").join(last.select("source", "stretch").alias("l"), F.col("b.source").eqNullSafe(F.col("l.source")) & (F.col("b.stretch") == F.col("l.stretch"))).select("b.source", "bucket", "words")
+    ending = materialise(ends(within, "bucket", last), "mix-ends")
     near = dealt.alias("d").join(ending.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.bucket") == F.col("e.bucket"))).groupBy("d.source", "d.key").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     run = F.sum("words").over(W.partitionBy("source").orderBy("key").rowsBetween(W.unboundedPreceding, W.currentRow))
     cut = near.withColumn("upto", run).where((F.col("left") > F.col("upto") - F.col("words")) & (F.col("left") <= F.col("upto"))).select("source", F.col("key").alias("cut"), (F.col("left") - F.col("upto") + F.col("words")).alias("cut_left"), F.col("words").alias("cut_words"))
-    decided = plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select(F.struct("p.*", "cut", "cut_left", "cut_words").alias("mix"))
+    decided = plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select(F.struct("p.*", "cut", "cut_left", "cut_words").alias(name := free_name(docs, "mix")))
 
-    own, key = size, random_key(doc_id)
-    rest = F.when(F.col("mix.cut").isNull() | (key > F.col("mix.cut")), F.lit(0)).when(key < F.col("mix.cut"), own).otherwise(F.floor(own * F.col("mix.cut_left") / F.col("mix.cut_words")))
-    taken = (own * F.col("mix.epochs") + rest).cast("long")
-    joined = docs.join(decided, F.col(source).eqNullSafe(F.col("mix.source")))
-    return joined.select(*kept, own.alias("size"), F.col("mix.source_size").alias("source_size"), F.col("mix.target").alias("target"), taken.alias("taken"))
+    own, key, of = size, random_key(doc_id), lambda c: F.col(f"{name}.{c}")
+    rest = F.when(of("cut").isNull() | (key > of("cut")), F.lit(0)).when(key < of("cut"), own).otherwise(F.floor(own * of("cut_left") / of("cut_words")))
+    taken = (own * of("epochs") + rest).cast("long")
+    decided = materialise(decided, "mix-decided")
+    for done in (rows, buckets, plan, ending):
+        discard(done)
+    joined = docs.join(decided, F.col(source).eqNullSafe(of("source")))
+    return joined.select(*kept, own.alias("size"), of("source_size").alias("source_size"), of("target").alias("target"), taken.alias("taken"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("words"))
+    docs = documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", word_count("text").alias("words"))
     mixed = mix(materialise(docs, "sizes"), size=F.col("words"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 

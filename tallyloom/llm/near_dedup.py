@@ -12,7 +12,7 @@ a Jaccard similarity of at least ``percent`` / 100 are linked; groups are what l
 * Candidates are verified on full sets.  A class is first compared with one leader of its tables.  Where classes that share
   a band of the first collection are still in several components, each is compared with the one of them that has most company,
   its centre.  What is left are pairs across components that share a table key, which is a band of both collections.
-  Sizes, intersections with the common centre and a bitmap of the shingles beyond it bound
+  Sizes, intersections with the common centre and bitmaps of the shingles beyond it and of those of its shingles that they lack bound
   their similarity from above; pairs whose bound falls short are passed over, all others are compared.
   Pairs within one component need no comparison, as the result is the components.
 * Components come from alternating star contractions; nothing is gathered on the driver.
@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .frames import discard, free_name, map_arrow, materialise, quoted, table
+from .frames import discard, documents, free_name, map_arrow, materialise, quoted
 
 ROWS = 3
 BANDS = 16
 BROADCAST_IDS = 1 << 18
 BITMAP = 8
+#: What a comparison with a centre tells about a class.
+BOUNDS = ("common", "hidden", "bits", "hidden_lacks", "lacks")
 
 
 def _sets(chunk: ts.Chunk, shingle: int) -> list[np.ndarray]:
@@ -156,26 +158,32 @@ def _grams(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, shingle:
 
 
 def _compared(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """(u, v) pairs compared on full sets: their common shingles, and what u has beyond v as a bitmap.
+    """(u, v) pairs compared on full sets: their common shingles, and as bitmaps what u has beyond v and what of v it lacks.
 
-    ``bits`` has a bit for the hash of each shingle of u that v lacks, ``hidden`` says how many of those share a bit.
+    ``bits`` has a bit for the hash of each shingle of u that v lacks, ``hidden`` says how many of those share a bit; ``lacks`` and
+    ``hidden_lacks`` say the same of the shingles of v that u lacks.
     """
     both = pairs.join(grams.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u").join(grams.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v").select("u", "v", "gu", "gv")
     long = T.LongType()
-    schema = T.StructType([*(T.StructField(c, long) for c in ("u", "v", "size_u", "size_v", "common", "hidden")), T.StructField("bits", T.ArrayType(long))])
+    schema = T.StructType([*(T.StructField(c, long) for c in ("u", "v", "size_u", "size_v", "common", "hidden", "hidden_lacks")), T.StructField("bits", T.ArrayType(long)), T.StructField("lacks", T.ArrayType(long))])
+
+    def mark(bits: np.ndarray, some: np.ndarray) -> int:
+        """Set the bits of some shingles; how many of them share one."""
+        bits[(some % np.uint64(64 * BITMAP)).astype(np.int64)] = True
+        return len(some) - int(bits.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = np.zeros((len(batch), 4), np.int64)
-            bits = np.zeros((len(batch), 64 * BITMAP), bool)
+            numbers = np.zeros((len(batch), 5), np.int64)
+            bits, lacks = np.zeros((2, len(batch), 64 * BITMAP), bool)
             for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
                 mine = np.isin(a, b, assume_unique=True)
-                bits[i, (a[~mine] % np.uint64(64 * BITMAP)).astype(np.int64)] = True
-                numbers[i] = len(a), len(b), mine.sum(), (~mine).sum() - bits[i].sum()
-            words = np.packbits(bits, axis=1).view(np.int64).ravel()
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * BITMAP), pa.array(words))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c) for c in numbers.T.copy()), flat], names=schema.names)
+                theirs = np.isin(b, a, assume_unique=True)
+                numbers[i] = len(a), len(b), mine.sum(), mark(bits[i], a[~mine]), mark(lacks[i], b[~theirs])
+            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * BITMAP)
+            flat = [pa.ListArray.from_arrays(offsets, pa.array(np.packbits(x, axis=1).view(np.int64).ravel())) for x in (bits, lacks)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c) for c in numbers.T.copy()), *flat], names=schema.names)
 
     return map_arrow(both, run, schema)
 
@@ -192,14 +200,19 @@ def _alike(percent: int) -> Column:
 def _possible(percent: int) -> Column:
     """False only where two sets can't be similar enough, as their intersections with one centre show.
 
-    Outside the centre they can share no more shingles than bits of both bitmaps and shingles hidden behind a bit; inside it
-    no more than the smaller of their intersections with it.
+    Outside the centre they can share no more shingles than bits of both bitmaps and shingles hidden behind a bit.  Inside it they
+    share what neither lacks: their intersections with it less its size, and what both lack, which is bounded likewise.
     """
-    shared = F.least("hidden", "other_hidden")
-    for k in range(BITMAP):
-        shared = shared + F.bit_count(F.get("bits", F.lit(k)).bitwiseAND(F.get("other_bits", F.lit(k))))
-    beyond = F.least(F.col("size") - F.col("common"), F.col("other") - F.col("other_common"), shared)
-    most = F.least("common", "other_common") + beyond
+
+    def shared(hidden: str, bits: str) -> Column:
+        out = F.least(hidden, f"other_{hidden}")
+        for k in range(BITMAP):
+            out = out + F.bit_count(F.get(bits, F.lit(k)).bitwiseAND(F.get(f"other_{bits}", F.lit(k))))
+        return out
+
+    beyond = F.least(F.col("size") - F.col("common"), F.col("other") - F.col("other_common"), shared("hidden", "bits"))
+    inside = F.least("common", "other_common", F.col("common") + F.col("other_common") - F.col("size_centre") + shared("hidden_lacks", "lacks"))
+    most = inside + beyond
     return (F.col("centre") != F.col("other_centre")) | (most * (100 + percent) >= (F.col("size") + F.col("other")) * percent)
 
 
@@ -259,10 +272,10 @@ def _texts_grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, percen
     comps = settle(comps, _linked(near.where("u <> v"), percent))
 
     # what is left: classes outside their band's main component with all that their shingles beyond the centre allow
-    place = near.select(F.col("u").alias("node"), F.col("v").alias("centre"), "common", "hidden", "bits")
+    place = near.select(F.col("u").alias("node"), F.col("v").alias("centre"), F.col("size_v").alias("size_centre"), *BOUNDS)
     rest = keep(unsettled(comps).join(place, "node").join(shared.select("node", "first", "second"), "node"), "unsettled")
     mine = rest.where(F.col("component") != F.col("main"))
-    other = rest.select("band", *(F.col(c).alias(f"other_{c}" if c != "size" else "other") for c in ("node", "size", "component", "centre", "common", "hidden", "bits", "first", "second")))
+    other = rest.select("band", *(F.col(c).alias(f"other_{c}" if c != "size" else "other") for c in ("node", "size", "component", "centre", *BOUNDS, "first", "second")))
     # a pair meets in many bands; the least that it shares stands for all
     once = F.col("band") == F.array_min(F.array_intersect("first", "other_first"))
     across = mine.join(other, "band").where((F.col("component") != F.col("other_component")) & _alike(percent) & F.arrays_overlap("second", "other_second") & _possible(percent) & once)
@@ -337,5 +350,30 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingl
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return group(docs, shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: For tables in which ids don't repeat.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS grams FROM d
+), n AS (
+  SELECT doc_id, len(grams)::BIGINT AS n_shingles FROM s
+), g AS (
+  SELECT doc_id, unnest(grams) AS gram FROM s
+), c AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT u, v FROM c JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * common >= 80 * (a.n_shingles + b.n_shingles - common)
+), e AS (
+  SELECT u, v FROM l UNION ALL SELECT v, u FROM l
+), r(id, root) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.id WHERE r.root < e.v
+), m AS (
+  SELECT id, min(root) AS component_id FROM r GROUP BY id
+)
+SELECT doc_id, n_shingles, component_id, component_id = doc_id AS kept FROM n JOIN m ON id = doc_id
+"""
