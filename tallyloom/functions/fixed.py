@@ -153,3 +153,46 @@ DELTA_FIELDS = [
 ]
 # Fixed value: numbers of two answers agree within this.
 METRIC_TOLERANCE = 1e-2
+
+# What the failure classifiers look for.
+LETTER_DIGIT = r"([A-Z])\s*=\s*(\d)"
+LETTER_ZERO = r"([A-Z])\s*=\s*0"
+ATTEMPTS = [r"let me try", r"assume\s+[A-Z]\s*=", r"checking.*[A-Z]\s*=\s*\d"]
+INVENTED_RULES = [r"the rule is.*(?:reverse|flip|negate)", r"applying.*pattern.*(?:not.*example|differ)", r"I will assume the rule"]
+CARRIES = [r"carry\s*=\s*\d.*carry\s*=\s*\d", r"carry\s+over", r"column\s+sum.*>.*10"]
+CALCULATIONS = [r"\d+\s*\+\s*\d+\s*=\s*\d+", r"\d+\s*\*\s*\d+\s*=\s*\d+"]
+
+# Reasons of failures.
+REASONS = {
+    "fragile": "correct but low logprob — protect from SFT",
+    "said_letters": "gold answer appears in reasoning but extraction failed",
+    "format_letters": "correct value in output but missing \\boxed{} or wrong format",
+    "conflict": "model assigns same digit to different letters or vice versa",
+    "leading_zero": "model violates no-leading-zero constraint",
+    "invented": "model applies transformation rule not derivable from examples",
+    "carry": "carry propagation mentioned but answer is wrong",
+    "few_attempts": "model makes only 1-2 assignment attempts on exhaustive search",
+    "arithmetic": "arithmetic expression present; may contain arithmetic mistake",
+    "unknown": "could not determine failure type from output",
+    "format": "correct value in output but missing \\boxed{} format",
+    "said": "gold answer in reasoning but extraction failed",
+    "not_xor": "model substituted AND/OR for XOR",
+    "xor": "XOR result is incorrect",
+    "shift_said": "shift direction or amount is wrong",
+    "shift": "shift operation result is incorrect",
+    "mask": "mask application result is incorrect",
+    "sign_said": "signed/unsigned interpretation error",
+    "sign": "signed vs unsigned confusion",
+    "binary_arithmetic": "binary arithmetic calculation error",
+    "base": "binary representation error in sub-step",
+    "digit_order": "correct digits but wrong order",
+    "binary_seen": "binary representation detected — conversion error",
+    "hex_seen": "hex representation detected — conversion error",
+    "wrong_operator": "model applied XOR instead of {}",
+    "operator": "{} bit result is incorrect",
+}
+# In the order of the numeral labels.
+NUMERAL_REASONS = [
+    "binary-to-decimal place value calculation error", "decimal-to-binary encoding error", "hex digit value mapping error", "decimal-to-hex conversion error",
+    "Roman numeral rule application error", "place value error in base-N conversion",
+]

@@ -11,6 +11,7 @@ from ..functions import fixed
 from ..functions.text import contains_fold, found
 
 BOX = r"\\boxed\{"
+WHY = fixed.REASONS
 
 
 def cascade(*rows: tuple[Column, str, str]) -> Column:
@@ -32,19 +33,19 @@ def same_upper(pred: Column, gold: Column) -> Column:
 
 def mapping_conflict(raw: Column) -> Column:
     """Some letter has two digits or some digit two letters: more distinct pairs than letters, or than digits."""
-    pattern = F.lit(r"([A-Z])\s*=\s*(\d)")
+    pattern = F.lit(fixed.LETTER_DIGIT)
     letters, digits = F.regexp_extract_all(raw, pattern, 1), F.regexp_extract_all(raw, pattern, 2)
     pairs = F.size(F.array_distinct(F.zip_with(letters, digits, lambda a, b: F.concat(a, b))))
     return (pairs > F.size(F.array_distinct(letters))) | (pairs > F.size(F.array_distinct(digits)))
 
 
 def leading_zero(raw: Column) -> Column:
-    letter = F.regexp_extract(raw, r"([A-Z])\s*=\s*0", 1)
+    letter = F.regexp_extract(raw, fixed.LETTER_ZERO, 1)
     return (letter != "") & F.regexp_like(raw, F.concat(F.lit(r"\b"), letter, F.lit(r"[A-Z]+\s*[=+\-]")))
 
 
 def attempts(raw: Column) -> Column:
-    return sum((F.regexp_count(raw, F.lit("(?id)" + p)) for p in (r"let me try", r"assume\s+[A-Z]\s*=", r"checking.*[A-Z]\s*=\s*\d")), F.lit(0))
+    return sum((F.regexp_count(raw, F.lit("(?id)" + p)) for p in fixed.ATTEMPTS), F.lit(0))
 
 
 def any_found(raw: Column, *patterns: str, ignore_case: bool = True) -> Column:
@@ -58,25 +59,25 @@ def cryptarithm() -> Column:
     raw, gold, pred, _, ok = _columns()
     said = ~same_upper(pred, gold) & contains_fold(raw, gold)
     return cascade(
-        (ok, "fragile_correct", "correct but low logprob — protect from SFT"),
-        (said, "final_parse_error", "gold answer appears in reasoning but extraction failed"),
-        (said & ~found(raw, BOX, False), "answer_format_error", "correct value in output but missing \\boxed{} or wrong format"),
-        (mapping_conflict(raw), "mapping_conflict", "model assigns same digit to different letters or vice versa"),
-        (leading_zero(raw), "leading_zero_error", "model violates no-leading-zero constraint"),
-        (any_found(raw, r"the rule is.*(?:reverse|flip|negate)", r"applying.*pattern.*(?:not.*example|differ)", r"I will assume the rule"), "hallucinated_rule", "model applies transformation rule not derivable from examples"),
-        (any_found(raw, r"carry\s*=\s*\d.*carry\s*=\s*\d", r"carry\s+over", r"column\s+sum.*>.*10"), "carry_error", "carry propagation mentioned but answer is wrong"),
-        (attempts(raw).between(1, 2), "incomplete_search", "model makes only 1-2 assignment attempts on exhaustive search"),
-        (any_found(raw, r"\d+\s*\+\s*\d+\s*=\s*\d+", r"\d+\s*\*\s*\d+\s*=\s*\d+", ignore_case=False), "arithmetic_error", "arithmetic expression present; may contain arithmetic mistake"),
-        (F.lit(True), "unknown", "could not determine failure type from output"),
+        (ok, "fragile_correct", WHY["fragile"]),
+        (said, "final_parse_error", WHY["said_letters"]),
+        (said & ~found(raw, BOX, False), "answer_format_error", WHY["format_letters"]),
+        (mapping_conflict(raw), "mapping_conflict", WHY["conflict"]),
+        (leading_zero(raw), "leading_zero_error", WHY["leading_zero"]),
+        (any_found(raw, *fixed.INVENTED_RULES), "hallucinated_rule", WHY["invented"]),
+        (any_found(raw, *fixed.CARRIES), "carry_error", WHY["carry"]),
+        (attempts(raw).between(1, 2), "incomplete_search", WHY["few_attempts"]),
+        (any_found(raw, *fixed.CALCULATIONS, ignore_case=False), "arithmetic_error", WHY["arithmetic"]),
+        (F.lit(True), "unknown", WHY["unknown"]),
     )
 
 
 def _format_rows(raw: Column, gold: Column, pred: Column, ok: Column) -> list[tuple[Column, str, str]]:
     said = contains_fold(raw, gold)
     return [
-        (ok, "unknown", "could not determine failure type from output"),
-        (said & ~found(raw, BOX, False), "answer_format_error", "correct value in output but missing \\boxed{} format"),
-        (said & (pred == ""), "final_parse_error", "gold answer in reasoning but extraction failed"),
+        (ok, "unknown", WHY["unknown"]),
+        (said & ~found(raw, BOX, False), "answer_format_error", WHY["format"]),
+        (said & (pred == ""), "final_parse_error", WHY["said"]),
     ]
 
 
@@ -84,15 +85,15 @@ def bit() -> Column:
     raw, gold, pred, sub, ok = _columns()
     xor, either = found(raw, r"\bXOR\b", False), found(raw, r"\bAND\b|\bOR\b", False)
     rows = _format_rows(raw, gold, pred, ok)
-    rows += [((sub == "xor") & either & ~xor, "xor_error", "model substituted AND/OR for XOR"), (sub == "xor", "xor_error", "XOR result is incorrect")]
+    rows += [((sub == "xor") & either & ~xor, "xor_error", WHY["not_xor"]), (sub == "xor", "xor_error", WHY["xor"])]
     for name in ("and", "or"):
-        rows += [((sub == name) & xor, f"{name}_error", f"model applied XOR instead of {name.upper()}"), (sub == name, f"{name}_error", f"{name.upper()} bit result is incorrect")]
+        rows += [((sub == name) & xor, f"{name}_error", WHY["wrong_operator"].format(name.upper())), (sub == name, f"{name}_error", WHY["operator"].format(name.upper()))]
     shift = sub.isin("shift_left", "shift_right")
     rows += [
-        (shift & found(raw, "shift"), "shift_error", "shift direction or amount is wrong"), (shift, "shift_error", "shift operation result is incorrect"), (sub == "mask", "mask_error", "mask application result is incorrect"),
-        ((sub == "signed_unsigned") & found(raw, r"two.?s complement|negative"), "signed_unsigned_error", "signed/unsigned interpretation error"), (sub == "signed_unsigned", "signed_unsigned_error", "signed vs unsigned confusion"),
-        (sub == "binary_arithmetic", "arithmetic_error", "binary arithmetic calculation error"), (found(raw, r"0b[01]+|binary"), "base_conversion_error", "binary representation error in sub-step"),
-        (F.lit(True), "unknown", "could not determine failure type from output"),
+        (shift & found(raw, "shift"), "shift_error", WHY["shift_said"]), (shift, "shift_error", WHY["shift"]), (sub == "mask", "mask_error", WHY["mask"]),
+        ((sub == "signed_unsigned") & found(raw, r"two.?s complement|negative"), "signed_unsigned_error", WHY["sign_said"]), (sub == "signed_unsigned", "signed_unsigned_error", WHY["sign"]),
+        (sub == "binary_arithmetic", "arithmetic_error", WHY["binary_arithmetic"]), (found(raw, r"0b[01]+|binary"), "base_conversion_error", WHY["base"]),
+        (F.lit(True), "unknown", WHY["unknown"]),
     ]
     return cascade(*rows)
 
@@ -105,12 +106,11 @@ def digits_swapped(pred: Column, gold: Column) -> Column:
 
 def numeral() -> Column:
     raw, gold, pred, sub, ok = _columns()
-    reasons = ["binary-to-decimal place value calculation error", "decimal-to-binary encoding error", "hex digit value mapping error", "decimal-to-hex conversion error", "Roman numeral rule application error", "place value error in base-N conversion"]
-    rows = [*_format_rows(raw, gold, pred, ok), (digits_swapped(pred, gold), "digit_order_error", "correct digits but wrong order")]
-    rows += [(sub == name, label, reason) for (name, label), reason in zip(fixed.NUMERAL_LABELS.items(), reasons, strict=True)]
+    rows = [*_format_rows(raw, gold, pred, ok), (digits_swapped(pred, gold), "digit_order_error", WHY["digit_order"])]
+    rows += [(sub == name, label, reason) for (name, label), reason in zip(fixed.NUMERAL_LABELS.items(), fixed.NUMERAL_REASONS, strict=True)]
     rows += [
-        (found(raw, r"0b[01]+", False), "binary_decimal_error", "binary representation detected — conversion error"), (found(raw, r"0x[0-9a-fA-F]+", False), "hex_decimal_error", "hex representation detected — conversion error"),
-        (F.lit(True), "unknown", "could not determine failure type from output"),
+        (found(raw, r"0b[01]+", False), "binary_decimal_error", WHY["binary_seen"]), (found(raw, r"0x[0-9a-fA-F]+", False), "hex_decimal_error", WHY["hex_seen"]),
+        (F.lit(True), "unknown", WHY["unknown"]),
     ]
     return cascade(*rows)
 
