@@ -27,6 +27,7 @@ from __future__ import annotations
 import gc
 import heapq
 import itertools
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,8 +49,7 @@ CLASSES = 4  # branches of a node
 KINDS = 4  # of features
 FEATURES = 1 << 10  # slots of a kind in a part, at least
 TOKENS_PER_SLOT = 2
-BATCH = 65536  # training tokens of a step, at most
-STEPS = 16  # of a part, at least, where it has 1024 training tokens for each
+BATCH = 1024, 65536  # training tokens of a step, at least and at most
 SCORED = 16384  # tokens scored together
 BLOCK = 1 << 14
 RATE = 0.2
@@ -382,7 +382,12 @@ class Model:
         """Log probability of each target."""
         rows, sizes, _, p = self.look(paths, target, context)
         logs = np.log10(np.minimum(p[paths.branches[rows], np.arange(len(rows))], 1) + np.float32(1e-30)).astype(np.float64)
-        return np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+        return np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes))
+
+
+def batch_of(n_train: int) -> int:
+    """Training tokens of a step: the fewer a part has, the more steps it takes, as a step costs as much as the part has slots."""
+    return min(max(BATCH[0], n_train * n_train >> 23), BATCH[1])
 
 
 def contexts(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
@@ -405,7 +410,7 @@ def _learn_and_score(shared):
         del value
         model = Model(len(use))
         paths = tree.paths(unique >> 1, (unique & 1) > 0)
-        size = min(BATCH, max(1024, -(-len(use) // STEPS)))
+        size = batch_of(len(use))
         for at in range(0, len(use), size):
             model.learn(paths, target[use[at : at + size]], context[:, use[at : at + size]])
         model.squares = None
@@ -439,9 +444,11 @@ def _finish(stats: Statistics, schema: T.StructType):
 
 
 def release(spark) -> None:
-    """Let Spark delete the shuffle files of steps that are written: it does when their plans are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of steps that are written: it does once their plans are collected as garbage, on both sides."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

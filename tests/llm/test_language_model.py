@@ -131,7 +131,7 @@ def plainly(docs, trained):
         return [x / sum(e) for x in e]
 
     use = [r for r in rows if r[3]]
-    size = min(lm.BATCH, max(1024, -(-len(use) // lm.STEPS)))
+    size = lm.batch_of(len(use))
     for at in range(0, len(use), size):
         grad = Counter()
         for n, b, c, _, _ in use[at : at + size]:
