@@ -3,7 +3,8 @@
 Pivots are a bounded sample of the vectors.  A vector is represented by its ``prefix`` nearest pivots in order, and posted
 in the inverted file of each of them with its rank there.  A query adds up, over the files of its own pivots, how far ranks
 differ (a pivot outside a prefix counts as rank ``prefix``): the footrule distance.  The ``share`` of a stretch of rows
-with the smallest distances is reranked by exact cosine in double precision.
+with the smallest distances is reranked by exact cosine: first in double precision, then what may be among the best in twice that, rounded
+once, so that scores don't depend on a row's place and vectors of one direction tie.
 
 Rows stay where they are: each task indexes its rows in stretches of ``stretch`` and keeps each query's best; queries come
 in blocks of at most ``block`` vectors, which is all that is broadcast.  Every row is indexed.  Recall on the test tables
@@ -12,7 +13,7 @@ is in the README.
 Edge cases: vectors of any finite size are scaled first, so that no square over- or underflows; rows without an id take no part;
 extra columns aren't looked at; vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors of another length than a
 query's are no candidates; a query never finds rows with its own id; repeated rows are candidates each; ties
-go to the smaller id; with fewer candidates than asked for all are returned; an empty table gives an empty result.
+go to the smaller id, at the border of what is reranked as well; equal vectors of a stretch are posted by their smallest ids; with fewer candidates than asked for all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ LEAST = 64
 STRETCH = 8192
 BLOCK = 8192
 SAMPLE_ROWS = 4096
+#: Twice what rounding can change of a cosine of unit vectors, and more.
+SLACK = 1e-9
 
 
 def usable(vectors: DataFrame, embedding: str) -> DataFrame:
@@ -104,15 +107,85 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
+def _sum(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``a + b`` as a double and what it lacks."""
+    s = a + b
+    t = s - a
+    return s, (a - (s - t)) + (b - t)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``a * b`` as a double and what it lacks."""
+
+    def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = 134217729.0 * x  # 2**27 + 1
+        high = c - (c - x)
+        return high, x - high
+
+    p = a * b
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of rows, in twice the working precision."""
+    total, rest = np.zeros(len(a)), np.zeros(len(a))
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        p, lacks = _product(x, y)
+        total, lost = _sum(total, p)
+        rest += lacks + lost
+    return _sum(total, rest)
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of ``a`` and ``b``, rounded once.
+
+    Each row is taken by itself in one order of operations and in twice the working precision, so a pair's cosine doesn't depend on its place
+    and parallel vectors tie.
+    """
+    (dot, dot_), (aa, aa_), (bb, bb_) = _dot(a, b), _dot(a, a), _dot(b, b)
+    square, square_ = _product(aa, bb)
+    square, square_ = _sum(square, square_ + aa * bb_ + aa_ * bb)
+    root = np.sqrt(square)
+    p, p_ = _product(root, root)
+    root_ = ((square - p) - p_ + square_) / (2 * root)
+    cosine = dot / root
+    p, p_ = _product(cosine, root)
+    return cosine + (((dot - p) - p_) + dot_ - cosine * root_) / root
+
+
+def apart(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Rows that a query's ``k`` best can come from: of equal vectors those of the smallest ids.
+
+    A query leaves out rows of its own id, of which there may be several: of one id ``k`` rows are enough, of one vector 2 ``k``.
+    """
+    same = np.unique((vectors + 0.0).view(np.dtype((np.void, vectors.shape[1] * 8))).ravel(), return_inverse=True)[1]
+    order = np.lexsort((ids, same))
+
+    def place(new: np.ndarray) -> np.ndarray:
+        """How many rows came before each one since the last new one."""
+        at = np.arange(len(new))
+        return at - np.maximum.accumulate(np.where(new, at, 0))
+
+    first = np.append(True, same[order][1:] != same[order][:-1])
+    order = order[place(first | np.append(True, ids[order][1:] != ids[order][:-1])) < k]
+    first = np.append(True, same[order][1:] != same[order][:-1])
+    return np.sort(order[place(first) < 2 * k])
+
+
 def search(block: Block, pivots: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, share: float, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: the ids and cosines of the best rows of one stretch."""
+    if not len(ids):
+        return
+    own = apart(ids, vectors, k)
+    ids, vectors = ids[own], vectors[own]
     units = unit(vectors)
     files = InvertedFiles(permutations(units, pivots, block.prefixes.shape[1]), len(pivots))
     order = np.argsort(ids, kind="stable")
     rank_of = np.empty(len(ids), np.int64)
     rank_of[order] = np.arange(len(ids))
     take = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
-    norms = np.linalg.norm(vectors, axis=1)
+    asked, found = unit(block.vectors), []
     for q in range(len(block.ids)):
         if take < len(ids):
             # distances are whole numbers: the id's rank breaks their ties
@@ -121,9 +194,20 @@ def search(block: Block, pivots: np.ndarray, ids: np.ndarray, vectors: np.ndarra
         else:
             some = np.arange(len(ids))
         some = some[ids[some] != block.ids[q]]
-        cosine = vectors[some] @ block.vectors[q] / (norms[some] * np.linalg.norm(block.vectors[q]))
-        best = _best(cosine, ids[some], k)
-        yield q, ids[some[best]], cosine[best]
+        near = units[some] @ asked[q]
+        if len(some) > k:  # the best and all that rounding may have put behind them
+            some = some[near >= np.partition(near, len(some) - k)[len(some) - k] - SLACK]
+        found.append(some)
+    sizes = np.array([len(f) for f in found])
+    rows, of = np.concatenate(found), np.repeat(np.arange(len(found)), sizes)
+    exact = np.empty(len(rows))
+    for at in range(0, len(rows), STRETCH):
+        part = slice(at, at + STRETCH)
+        exact[part] = cosines(vectors[rows[part]], block.vectors[of[part]])
+    for q, end in enumerate(np.cumsum(sizes)):
+        mine, score = rows[end - sizes[q] : end], exact[end - sizes[q] : end]
+        best = _best(score, ids[mine], k)
+        yield q, ids[mine[best]], score[best]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST, stretch: int = STRETCH, block: int = BLOCK) -> DataFrame:

@@ -67,3 +67,56 @@ def test_vectors_of_any_size(spark):
         want = sorted(cosine, key=lambda i: (-cosine[i], i))[:5]
         own = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
         assert [r.vec_id for r in own] == want and np.allclose([r.score for r in own], [cosine[i] for i in want], atol=1e-12)
+
+
+def test_ties_do_not_depend_on_places():
+    """Copies and parallel vectors at any place of blocks of any size: 400 cases."""
+    rng = np.random.default_rng(8)
+    for case in range(400):
+        n, d = int(rng.integers(12, 160)), int(rng.choice([2, 7, 64]))
+        vectors = rng.normal(size=(n, d))
+        vectors[rng.integers(n, size=n // 3)] = vectors[0] if case % 2 else vectors[1]
+        scaled = rng.integers(n, size=n // 4)
+        vectors[scaled] *= rng.choice([2.0, 0.25, 8.0], size=(len(scaled), 1))
+        ids = rng.permutation(3 * n)[:n] if case % 3 else rng.integers(n, size=n)
+        asked = vectors[:3] + (rng.normal(size=(3, d)) * 0.01 if case % 5 else 0)
+        vectors, scale = vectors.astype(np.float32).astype(float), np.ldexp(1.0, -3)
+        pivots = nn.unit(vectors[:8])
+        block = nn.Block(ids[:3], asked, nn.permutations(nn.unit(asked), pivots, 4))
+        k = int(rng.integers(1, 8))
+        for q, found, scores in nn.search(block, pivots, ids, vectors * scale, k, 1.0, 64):
+            exact = nn.cosines(vectors, np.repeat(asked[q : q + 1], n, axis=0))
+            want = sorted((-exact[i], ids[i]) for i in range(n) if ids[i] != ids[q])[:k]
+            assert list(zip(-scores, found, strict=True)) == want
+        plain = nn.unit(vectors) @ nn.unit(asked).T
+        assert np.allclose(plain[:, 0], nn.cosines(vectors, np.repeat(asked[:1], n, axis=0)), atol=1e-14)
+
+
+def test_cosines_are_rounded_once():
+    from fractions import Fraction
+    from math import isqrt
+
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(60, 9)), rng.normal(size=(60, 9))
+    got = nn.cosines(a, b)
+    for x, y, c in zip(a, b, got, strict=True):
+        x, y = [Fraction(float(v)) for v in x], [Fraction(float(v)) for v in y]
+        dot = sum(p * q for p, q in zip(x, y, strict=True))
+        square = dot * dot / (sum(p * p for p in x) * sum(q * q for q in y))
+        root = Fraction(isqrt(int(square * (1 << 300))), 1 << 150)
+        assert c == float(root if dot > 0 else -root)
+    assert (nn.cosines(a * 3.7, b) == got).mean() > 0.5 and np.array_equal(nn.cosines(a * 4, b / 8), got)
+
+
+def test_ties_over_partitions(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(4, 16))
+    rows = [(int(i), [float(x) for x in base[int(rng.integers(4))] * float(rng.choice([1.0, 2.0, 3.0]))]) for i in rng.permutation(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for parts, stretch in ((1, 8192), (7, 16), (13, 3)):
+        found = nn.nearest(frame.repartition(parts), frame.where("vec_id % 50 = 0"), stretch=stretch).collect()
+        vectors = dict(rows)
+        for q in range(0, 400, 50):
+            own = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
+            same = [i for i in sorted(vectors) if i != q and np.allclose(np.array(vectors[i]) / np.linalg.norm(vectors[i]), np.array(vectors[q]) / np.linalg.norm(vectors[q]))][:5]
+            assert [r.vec_id for r in own] == same
