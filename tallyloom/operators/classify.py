@@ -6,27 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.matching import fold, occurs, words_of
 from ..functions.text import any_of, found
 
+KEYWORDS = [*(p for ps in fixed.CATEGORY_PATTERNS.values() for p in ps), *(p for rules in fixed.SUBCATEGORY_PATTERNS.values() for _, p in rules)]
 
-def first_pattern(text: Column, patterns: list[str]) -> Column:
+
+def first_pattern(folded: Column, words: Column, patterns: list[str]) -> Column:
     """The first pattern that occurs, as text; null if none does."""
-    return F.coalesce(*(F.when(found(text, p), F.lit(p)) for p in patterns))
+    return F.coalesce(*(F.when(occurs(folded, words, p), F.lit(p)) for p in patterns))
 
 
-def subcategory(category: Column, text: Column) -> Column:
+def subcategory(category: Column, folded: Column, words: Column) -> Column:
     """First matching rule of the category; ``unknown`` without a match, ``n/a`` for categories without rules."""
     out = F.when(F.lit(False), F.lit(""))
     for name, rules in fixed.SUBCATEGORY_PATTERNS.items():
-        out = out.when(category == name, F.coalesce(*(F.when(found(text, p), F.lit(s)) for s, p in rules), F.lit("unknown")))
+        out = out.when(category == name, F.coalesce(*(F.when(occurs(folded, words, p), F.lit(s)) for s, p in rules), F.lit("unknown")))
     return out.otherwise(F.when(category == "other", "unknown").otherwise("n/a"))
 
 
-def hits(text: Column) -> Column:
+def hits(folded: Column, words: Column) -> Column:
     """Categories that match, in order, each with its first pattern: array of (category, pattern)."""
     each = []
     for name, patterns in fixed.CATEGORY_PATTERNS.items():
-        p = first_pattern(text, patterns)
+        p = first_pattern(folded, words, patterns)
         each.append(F.struct(F.lit(name).alias("category"), p.alias("pattern")))
     return F.filter(F.array(*each), lambda x: x["pattern"].isNotNull())
 
@@ -38,22 +41,24 @@ def combined_text(label: Column, question: Column, examples: Column) -> Column:
 def by_keywords(df, *, category: Column, question: Column, examples: Column):
     """``df`` with c1: (category, subcategory, confidence, rule, matched_keywords, manual_review_required).
 
-    An explicit label wins; else the first category in order of priority, with less confidence the more of them match.
+    An explicit label wins; else the first category in order of priority, with less confidence the more of them match.  Each text is folded
+    and split into words once.
     """
     label = F.trim(F.lower(F.coalesce(category, F.lit(""))))
-    staged = df.withColumns({"_label": label, "_text": combined_text(label, question, examples)}).withColumn("_hits", hits(F.col("_text")))
+    staged = df.withColumns({"_label": label, "_text": fold(combined_text(label, question, examples))})
+    staged = staged.withColumn("_words", words_of(F.col("_text"), KEYWORDS)).withColumn("_hits", hits(F.col("_text"), F.col("_words")))
     explicit, n = F.col("_label").isin(*fixed.CRYPTARITHM_LABELS), F.size("_hits")
     chosen = F.when(explicit, "cryptarithm").when(n == 0, "other").otherwise(F.get("_hits", F.lit(0))["category"])
     staged = staged.withColumn("_category", chosen)
     result = F.struct(
         F.col("_category").alias("category"),
-        subcategory(F.col("_category"), F.col("_text")).alias("subcategory"),
+        subcategory(F.col("_category"), F.col("_text"), F.col("_words")).alias("subcategory"),
         F.when(explicit, "high").when(n.isin(1, 2), "medium").otherwise("low").alias("confidence"),
         F.when(explicit, "explicit_category_field").when(n == 0, "no_match_fallback").when(n == 1, "single_keyword_match").otherwise("multi_keyword_priority").alias("rule"),
         F.when(explicit, F.col("_label")).otherwise(F.array_join(F.transform("_hits", lambda x: x["pattern"]), "|")).alias("matched_keywords"),
         (~explicit & ((n == 0) | (n >= 3))).alias("manual_review_required"),
     )
-    return staged.withColumn("c1", result).drop("_label", "_text", "_hits", "_category")
+    return staged.withColumn("c1", result).drop("_label", "_text", "_words", "_hits", "_category")
 
 
 def labelled_set(classified, *, key: str = "problem_id", question: str = "question", gold: str = "gold_answer"):
