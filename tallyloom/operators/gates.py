@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import fixed
+from ..sources.scratch import written
+from . import bloom
 
 #: Categories that the base model solves throughout, so that a miss is a regression.
 EASY = ("cipher", "gravity", "numeral_conversion", "unit_conversion")
@@ -115,18 +117,48 @@ def without_leaks(candidates: DataFrame, holdout: DataFrame, key: str, **options
     return candidates.join(leaks(candidates, holdout, **options).select(key).distinct(), key, "left_anti")
 
 
-def _grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, gram): the distinct hashes of ``n`` consecutive words of each row."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\s]+"), lambda w: w != "")
-    staged = df.select(F.col(key), words.alias("_w"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, n), " ")))
-    return staged.where(F.size("_w") >= n).select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
+def _grams(text: str, n: int):
+    """Hashes of the words, and of these the distinct hashes of ``n`` in a row."""
+    words = F.transform(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\s]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, n)))
+    return words, F.when(F.size("_w") >= n, F.array_distinct(whole)).otherwise(F.array().cast("array<long>"))
 
 
-def overlaps(candidates: DataFrame, holdout: DataFrame, key: str, *, text: str = "text", n: int = 13, least: float = 0.2) -> DataFrame:
-    """(key, n_grams, n_shared): candidates of whose word ``n``-grams the hold-out has at least a share of ``least``."""
-    known = _grams(holdout, key, text, n).select("_gram").distinct().withColumn("_met", F.lit(1))
-    counted = _grams(candidates, key, text, n).join(known, "_gram", "left").groupBy(key).agg(F.count(F.lit(1)).alias("n_grams"), F.count("_met").alias("n_shared"))
+def _each(df: DataFrame, grams: Column, *columns: str) -> DataFrame:
+    """A row for each hash.  Outer, as of a plain ``explode`` the optimizer infers a filter that would make the grams anew for every word."""
+    return df.select(*columns, F.explode_outer(grams).alias("_gram")).where(F.col("_gram").isNotNull())
+
+
+def _with_grams(df: DataFrame, text: str, n: int, *columns: str) -> DataFrame:
+    words, grams = _grams(text, n)
+    return df.select(*columns, words.alias("_w")).select(*columns, grams.alias("_grams"))
+
+
+def overlaps(candidates: DataFrame, holdout: DataFrame, key: str, *, text: str = "text", n: int = 13, least: float = 0.2, max_bits: int = bloom.MAX_BITS) -> DataFrame:
+    """(key, n_grams, n_shared): candidates of whose word ``n``-grams the hold-out has at least a share of ``least``.
+
+    A Bloom filter of the hold-out's hashes goes to the candidates, which keep those that may be shared; a filter of these goes to the hold-out.
+    So about as many rows are shuffled as grams are shared, with one more for each candidate.  Where the hold-out has more grams than a filter
+    of ``max_bits`` tells apart (8 bits each), all are shuffled.
+    """
+    spark = candidates.sparkSession
+    size = holdout.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    bits = min(max_bits, bloom.bits_for(size // 6))  # words are of some six bytes with the space after them
+    known = _with_grams(holdout, text, n)
+    rows = _with_grams(candidates, text, n, key)
+    if size // 6 * 8 > max_bits:
+        known = _each(known, F.col("_grams"))
+        kept = rows.select(key, F.size("_grams").cast("long").alias("n_grams"), "_grams")
+    else:
+        filled = bloom.build(_each(known, F.col("_grams")), "_gram", bits)
+        # of each candidate the number of grams and those that may be shared
+        kept = written(rows.select(key, F.size("_grams").cast("long").alias("n_grams"), bloom.suspected(spark, filled, F.col("_grams")).alias("_grams")))
+        back = bloom.build(_each(kept, F.col("_grams")), "_gram", bits)
+        known = _each(known, bloom.suspected(spark, back, F.col("_grams")))
+    shared = _each(kept, F.col("_grams"), key).join(known.distinct(), "_gram", "left_semi")
+    none = F.lit(0).cast("long")
+    counted = kept.select(key, "n_grams", none.alias("n_shared")).unionAll(shared.select(key, none.alias("n_grams"), F.lit(1).cast("long").alias("n_shared")))
+    counted = counted.groupBy(key).agg(F.sum("n_grams").alias("n_grams"), F.sum("n_shared").alias("n_shared"))
     return counted.where((F.col("n_shared") > 0) & (F.col("n_shared") >= least * F.col("n_grams")))
 
 

@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import joins
 from ..sources import ingest, sinks
+from ..sources.scratch import folder
 from . import steps
 from .derive import table
 from .queries import query
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share (on a single machine, under the warehouse if that is unset)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir is unset: executors share no folder")
-        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    return f"{shared}/tallyloom-io/{uuid.uuid4().hex}"
-
-
 @query("SELECT event_id, user_id, event_type, CASE WHEN event_id % 5 <> 0 THEN props END AS props FROM events")
 def jsonl_round_trip(spark, sf_dir):
     """Strict scan of lines with blank ones and lists between them."""

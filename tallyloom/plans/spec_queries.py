@@ -98,7 +98,7 @@ def conversion_deltas(spark, sf_dir):
   c AS (SELECT doc_id, count(*) AS n_grams, count(k.gram) AS n_shared FROM g LEFT JOIN k ON k.gram = g.gram WHERE doc_id % 3 <> 0 GROUP BY doc_id)
   SELECT * FROM c WHERE n_shared > 0 AND n_shared >= 0.2 * n_grams""")
 def holdout_overlap(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = derive.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return gates.overlaps(docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0"), "doc_id")
 
 
