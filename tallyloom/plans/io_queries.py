@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import joins
+from ..operators import aggregate, failures, joins, logprob
 from ..sources import ingest, sinks
-from ..sources.scratch import folder
-from . import steps
+from ..sources.scratch import folder, written
+from ..streaming import resume
+from . import derive, duck, report, steps
 from .derive import table
-from .queries import query
+from .queries import ORACLE_SQL, _joined, query
 
 
 @query("SELECT event_id, user_id, event_type, CASE WHEN event_id % 5 <> 0 THEN props END AS props FROM events")
@@ -52,13 +53,62 @@ def mixed_inputs(spark, sf_dir):
     return ingest.load(spark, [f"{path}/none.jsonl", f"{path}/a.jsonl", found], "problem_id string, question string, answer string").select("problem_id", "question", "answer")
 
 
-@query("SELECT 'csv' AS source, 0 AS n UNION ALL SELECT 'jsonl', 0")
+@query("SELECT 'csv' AS source, 0 AS n UNION ALL SELECT 'jsonl', 0 UNION ALL SELECT 'there', count(*) FROM orders UNION ALL SELECT 'loaded', count(*) FROM orders")
 def missing_inputs(spark, sf_dir):
-    path = folder(spark)
-    frames = {"csv": ingest.read_csv(spark, f"{path}/none.csv"), "jsonl": ingest.read_or_empty(spark, f"{path}/none.jsonl", "problem_id string")}
+    """Files that are missing have no rows, alone and beside one that is there."""
+    path, schema = folder(spark), "problem_id string, question string"
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("problem_id"), F.col("o_orderpriority").alias("question"))
+    sinks.write_jsonl(rows, f"{path}/there.jsonl")
+    frames = {
+        "csv": ingest.read_csv(spark, f"{path}/none.csv"), "jsonl": ingest.read_or_empty(spark, f"{path}/none.jsonl", schema), "there": ingest.read_or_empty(spark, f"{path}/there.jsonl", schema),
+        "loaded": ingest.load(spark, [f"{path}/none.csv", f"{path}/there.jsonl", f"{path}/none.jsonl"], schema),
+    }
     return ingest.union([df.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("source"), "n") for name, df in frames.items()])
 
 
+@query("""SELECT event_id, event_id % 4 AS part, row_number() OVER w + sum(CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) OVER w AS line
+  FROM events WINDOW w AS (PARTITION BY event_id % 4 ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def line_numbers(spark, sf_dir):
+    """Numbers of lines in four files, with blank lines between them."""
+    path, rows = folder(spark), table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4).alias("part"))
+    line = F.concat(F.when(F.col("event_id") % 10 == 0, "\n").otherwise(""), F.to_json(F.struct("event_id")))
+    rows.withColumn("value", line).repartition(4, "part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
+    read = ingest.read_jsonl(spark, path, "event_id long", line_numbers=True)
+    return read.select("event_id", (F.col("event_id") % 4).alias("part"), F.col("_line").alias("line"))
+
+
+@query(f"WITH {duck.ALL_CASES} SELECT category, failure_type, count(*) AS count FROM all_cases GROUP BY ALL")
+def groups_rewritten(spark, sf_dir):
+    """Counts of each category are appended to one table, first wrong ones and then again; what was there for a category is replaced."""
+    path = f"{folder(spark)}/counts"
+    counted = written(failures.all_cases(_joined(spark, sf_dir), order="problem_id").groupBy("category", "failure_type").count())
+    for times in (2, 1):
+        for category in failures.PROCESSES:
+            sinks.write_groups(counted.where(F.col("category") == category).withColumn("count", F.col("count") * times), path, "category")
+    sinks.export_csv(spark.read.parquet(path), f"{path}.csv", ["category", "failure_type", "count"], ["category", "failure_type"])
+    return ingest.read_csv(spark, f"{path}.csv").withColumn("count", F.col("count").cast("long"))
+
+
+@query(f"WITH {duck.SCORED} SELECT problem_id, pred_answer, is_correct FROM scored")
+def stream_restarted(spark, sf_dir):
+    """Files arrive in two runs, some rows twice; between the runs the mark of the last batch is lost, as after a failure behind the sink."""
+    path = folder(spark)
+    source, out, state = (f"{path}/{n}" for n in ("in", "out", "state"))
+    rows = derive.predictions(spark, sf_dir).select("problem_id", "raw_output", "gold_answer")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for part in (0, 1):
+        arrived = rows.where((F.col("problem_id") % 2 == part) | (F.col("problem_id") % 5 == 0))
+        arrived.repartition(3, "problem_id").write.mode("append").json(source)
+        stream = resume.scored(resume.arriving(spark, source, rows.schema, files_each=2), once=False)
+        resume.append_once(stream, out, state).awaitTermination()
+        marks = fs.Path(f"{state}/commits")
+        disk = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if part == 0:
+            last = max((int(f.getPath().getName()) for f in disk.listStatus(marks) if f.getPath().getName().isdigit()))
+            disk.delete(fs.Path(f"{state}/commits/{last}"), False)
+    return spark.read.parquet(out).select("problem_id", "pred_answer", "is_correct")
+
+
 @query("SELECT o_orderkey::VARCHAR AS problem_id FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 7 = 0")
 def resume_scan(spark, sf_dir):
     """What is left after an interrupted run: ids without a whole line, broken lines don't count."""
@@ -99,15 +149,97 @@ def category_anywhere(spark, sf_dir):
     return rows.select("doc_id", ingest.detect_category(rows).alias("category"))
 
 
-@query("SELECT * FROM (VALUES ('read', 'ok', ''), ('broken', 'failed', 'no such thing'), ('after', 'blocked', 'needs broken'), ('left out', 'skipped', '')) t(step, status, message)")
+_STEPS = {"summary": "summary_rollup", "priority": "failure_priority", "cases_cryptarithm": "failure_cases_cryptarithm", "cases_bit_manipulation": "failure_cases_bit", "cases_numeral_conversion": "failure_cases_numeral", "failure_types": "failure_type_counts"}
+
+
+def _log_sql() -> str:
+    counted = [f"SELECT '{step}' AS step, (SELECT count(*) FROM ({ORACLE_SQL[name]})) AS n" for step, name in _STEPS.items()]
+    counted.append("SELECT 'logprob', (SELECT count(DISTINCT l_orderkey) FROM lineitem)")
+    told = "SELECT * FROM (VALUES ('broken', 'failed', 'no such thing'), ('after', 'blocked', 'needs broken'), ('left out', 'skipped', ''), ('only without priorities', 'gated', '')) t(step, status, message)"
+    runs = "SELECT * FROM (VALUES (1, 'ok'), (2, 'kept')) r(run, status)"
+    return f"""WITH counted AS ({' UNION ALL '.join(counted)}), told AS ({told}), runs AS ({runs})
+  SELECT run, step, status, n AS rows, '' AS message FROM counted, runs UNION ALL SELECT run, step, told.status, NULL, message FROM told, runs"""
+
+
+@query(_log_sql())
 def step_log(spark, sf_dir):
-    """A failed step blocks those that need it, and the log says how each ended."""
+    """All steps of the analysis twice: the second run keeps what the first wrote.  A failed step blocks those that need it, a gate asks for rows."""
 
     def fail(_):
         raise ValueError("no such thing")
 
-    runner = steps.Runner([
-        steps.Step("read", lambda r: table(spark, sf_dir, "region")), steps.Step("broken", fail), steps.Step("after", lambda r: r["broken"], ("broken",)), steps.Step("left out", fail),
-    ])
-    runner.run(skip=["left out"])
-    return runner.metrics(spark).select("step", "status", "message")
+    given = {"predictions": derive.scored(spark, sf_dir), "tokens": derive.tokens(spark, sf_dir)}
+    at, out = folder(spark), []
+    for run in (1, 2):
+        runner = steps.analysis(folder=at)
+        runner.steps += [steps.Step("broken", fail), steps.Step("after", lambda r: r["broken"], ("broken",)), steps.Step("left out", fail), steps.Step("only without priorities", fail, when=lambda rows: rows["priority"] == 0)]
+        runner.run(given, skip=["left out"])
+        out.append(runner.metrics(spark).select(F.lit(run).alias("run"), "step", "status", "rows", "message"))
+    return ingest.union(out)
+
+
+def _report_sql() -> str:
+    number = lambda c: f"coalesce(printf('%.4f', {c}::DOUBLE), 'N/A')"
+    plain = lambda c: f"coalesce({c}::VARCHAR, 'N/A')"
+    real = {"accuracy", "parse_success_rate", "avg_generation_token_count", "avg_min_logprob", "pct", "answer_min_logprob"}
+    cells = lambda *fields: "[" + ", ".join((number if f in real else plain)(f) for f in fields) + "]"
+
+    def part(section: str, source: str, fields: list[str], order: str, limit: int) -> str:
+        return f"""SELECT * FROM (SELECT {section} AS section, row_number() OVER (PARTITION BY {section} ORDER BY {order}) AS place, array_to_string({cells(*fields)}, '|') AS cells FROM {source}) WHERE place <= {limit}"""
+
+    name, first = ["category", "subcategory"], "priority_score DESC, category, subcategory"
+    parts = [
+        part("'overall'", "(SELECT * FROM summary WHERE split = 'overall')", ["n", "accuracy", "parse_success_rate", "avg_generation_token_count"], "n", 1),
+        part("'weakest'", "prioritised", [*name, "accuracy", "n"], "accuracy, category, subcategory", report.WEAKEST),
+        part("'priorities'", "prioritised", [*name, "priority_score", "priority_reason"], first, report.PRIORITIES),
+        part("'groups'", "prioritised", report.GROUP_FIELDS, first, report.GROUPS),
+        part("'failures of ' || category", "kinds", ["failure_type", "count", "pct"], "count DESC, failure_type", report.KINDS),
+        part("kind || ' cases'", "tagged", ["problem_id", "category", "answer_min_logprob"], "answer_min_logprob, problem_id", report.CASES),
+        part("kind || ' counts'", "(SELECT kind, category, count(*) AS count FROM tagged GROUP BY kind, category)", ["category", "count"], "count DESC, category", report.GROUPS),
+    ]
+    return f"""WITH summary AS ({ORACLE_SQL['summary_rollup']}), prioritised AS ({ORACLE_SQL['failure_priority']}), kinds AS ({ORACLE_SQL['failure_type_counts']}),
+  tagged AS (SELECT *, use_ AS kind FROM (SELECT problem_id, category, answer_min_logprob, CASE WHEN is_correct AND answer_min_logprob < -2.0 THEN 'protected' WHEN NOT is_correct AND answer_min_logprob < -3.0 THEN 'replay' END AS use_
+    FROM (WITH {duck.JOINED} SELECT * FROM joined)) WHERE use_ IS NOT NULL) {' UNION ALL '.join(parts)}"""
+
+
+def _report_inputs(spark, sf_dir) -> list:
+    joined = _joined(spark, sf_dir)
+    frames = [aggregate.rollup(derive.scored(spark, sf_dir), "category", "subcategory"), aggregate.with_priority(aggregate.failure_groups(joined)),
+              aggregate.counts_with_share(failures.all_cases(joined, order="problem_id"), "category", "failure_type", within="category")]
+    return [*(written(df) for df in frames), written(joined.select("problem_id", "category", "is_correct", "answer_min_logprob"))]
+
+
+@query(_report_sql())
+def report_lists(spark, sf_dir):
+    """Everything that the report shows."""
+    return report.lists(*_report_inputs(spark, sf_dir)).withColumn("cells", F.array_join("cells", "|"))
+
+
+@query(f"""WITH l AS ({_report_sql()}), t AS (
+  SELECT section, '| failure_type | count | pct |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || replace(cells, '|', ' | ') || '% |', chr(10) ORDER BY place) AS body FROM l WHERE starts_with(section, 'failures of ') GROUP BY section)
+  SELECT replace(section, 'failures of ', '') AS category, '## ' || replace(section, 'failures of ', '') || ': commonest failures' || chr(10) || chr(10) || body AS part FROM t""")
+def report_sections(spark, sf_dir):
+    """The report's part on each category, cut out of its Markdown."""
+    whole = report.recommendation(*_report_inputs(spark, sf_dir))
+    parts = [("## " + p).strip() for p in whole.split("\n## ") if p.splitlines()[0].endswith(": commonest failures")]
+    return spark.createDataFrame([(p[3:].split(":")[0], p) for p in parts], "category string, part string")
+
+
+@query("SELECT o_orderkey, o_orderstatus AS split FROM orders WHERE o_orderkey % 3 <> 2 AND coalesce(CASE WHEN o_orderkey % 3 = 1 THEN 'category' END, 'category') = 'category'")
+def split_default(spark, sf_dir):
+    """Rows without a split are of the categories'; a table without the column is kept whole."""
+    k = F.col("o_orderkey")
+    split = F.when(k % 3 == 1, "category").when(k % 3 == 2, "overall")
+    rows = report.of_split(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), split.alias("split")))
+    return report.of_split(rows.select("o_orderkey", F.col("status").alias("Status"))).select("o_orderkey", F.col("Status").alias("split"))
+
+
+@query(f"WITH {duck.SCORED}, {duck.STATS} SELECT 'fallback' AS kind, problem_id, min_logprob FROM stats UNION ALL SELECT 'inline', problem_id, CASE WHEN problem_id % 2 = 0 THEN -1.5 END FROM scored")
+def inline_or_fallback(spark, sf_dir):
+    """Log probabilities in the predictions' own column where any row has one, else out of the tokens."""
+    rows, tokens = derive.scored(spark, sf_dir).select("problem_id"), derive.tokens(spark, sf_dir)
+    out = []
+    for kind, own in (("fallback", F.lit(None).cast("double")), ("inline", F.when(F.col("problem_id") % 2 == 0, F.lit(-1.5)))):
+        chosen = steps.inline_or(rows.withColumn("min_logprob", own), lambda: logprob.stats(tokens))
+        out.append(chosen.select(F.lit(kind).alias("kind"), "problem_id", "min_logprob"))
+    return ingest.union(out)

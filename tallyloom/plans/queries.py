@@ -88,10 +88,11 @@ def metric_match(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(k.alias("problem_id"), text.metric_match(pred, gold).alias("metric_ok"))
 
 
-@query("SELECT o_orderkey AS problem_id, CASE o_orderkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.0 WHEN 2 THEN 0.0 ELSE 0.25 END AS value FROM orders")
+@query("SELECT o_orderkey AS problem_id, CASE WHEN o_orderkey % 4 IN (0, 3) THEN o_totalprice ELSE 0 END::DOUBLE AS value FROM orders")
 def report_numbers(spark, sf_dir):
-    raw = derive.pick(F.col("o_orderkey") % 4, ["ESTIMATED_0.5", "PLACEHOLDER", "n/a", "0.25"])
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("problem_id"), text.report_number(raw).alias("value"))
+    k, price = F.col("o_orderkey"), F.col("o_totalprice").cast("string")
+    raw = F.when(k % 4 == 0, F.concat(F.lit("ESTIMATED_"), price)).when(k % 4 == 1, "PLACEHOLDER").when(k % 4 == 2, F.concat(F.lit("n/a "), price)).otherwise(price)
+    return table(spark, sf_dir, "orders").select(k.alias("problem_id"), text.report_number(raw).alias("value"))
 
 
 @query(f"WITH {duck.PREDICTIONS} SELECT finish_reason, count(*) AS n, count(*) FILTER (generation_token_count <= 1) AS n_short, avg(generation_token_count) AS avg_tokens FROM predictions GROUP BY finish_reason")
@@ -117,9 +118,11 @@ def measured_rows(spark, sf_dir):
     return derive.scored(spark, sf_dir).select(F.col("problem_id").alias("sample_id"), "category", "subcategory", outcome, "pred_answer", "gold_answer", "parse_error_type", "generation_token_count", "finish_reason")
 
 
-@query(f"WITH {duck.SCORED} SELECT 'overall' AS split, 'ALL' AS category, count(*) AS n FROM scored")
+@query(f"""WITH {duck.SCORED} SELECT 'overall' AS split, 'ALL' AS category, count(*) AS n, sum(is_correct::INT)::BIGINT AS correct, round_even(avg(is_correct::INT::DOUBLE), 4) AS accuracy,
+  round_even(avg(parse_success::INT::DOUBLE), 4) AS parse_success_rate, round_even(avg(generation_token_count), 1) AS avg_generation_token_count FROM scored""")
 def overall_row(spark, sf_dir):
-    return aggregate.overall_row(aggregate.rollup(derive.scored(spark, sf_dir), "category"), "category").select("split", "category", "n")
+    fields = ["split", "category", "n", "correct", "accuracy", "parse_success_rate", "avg_generation_token_count"]
+    return aggregate.overall_row(aggregate.rollup(derive.scored(spark, sf_dir), "category"), "category").select(*fields)
 
 
 @query("WITH t AS (SELECT doc_id, text FROM documents) SELECT doc_id, CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || ' ...[truncated]' ELSE text END AS raw_output, CASE WHEN length(text) > 3000 THEN substr(text, 1, 3000) || ' ...[truncated]' ELSE text END AS reasoning_text FROM t")

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from ..functions import fixed
 from ..functions.text import canonical_json, length_summary, operator_symbols
 from ..operators.joins import first_present, flag_members
+from .scratch import written
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -32,31 +33,39 @@ def first_existing(spark: SparkSession, paths: Iterable[str], pattern: str | Non
 def numbered(df: DataFrame, name: str = "_ord") -> DataFrame:
     """``df`` with the rows' numbers from 0 in the order of the scan.
 
-    Partitions are counted first; each row then adds its place to what stands before its partition.  ``df`` must give the same
-    partitions when it is read again, as scans do.
+    The rows are written once, so that numbers hold whatever becomes of what ``df`` reads.  A row's number is its place in its partition and what
+    stands before that, which is counted in the written table's one narrow column.
     """
-    at = df.withColumn("_id", F.monotonically_increasing_id())
+    at = written(df.withColumn("_id", F.monotonically_increasing_id()))
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    counts = sorted((r._part, r["count"]) for r in at.groupBy(part.alias("_part")).count().collect())  # a row for each partition
-    before = list(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0), strict=False))
-    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
-    joined = at.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    counts = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    joined = at.withColumn("_part", part).join(before, "_part")
     return joined.select(*df.columns, (F.col("_before") + place).alias(name))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _source_path, _line): lines of text files with their numbers from 1 in their file.
+
+    The files are scanned once, whatever blocks they are read in; blocks are counted in narrow columns of what the scan wrote.
+    """
+    block = ["_source_path", "_start"]
+    scan = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_source_path"), F.col("_metadata.file_block_start").alias("_start"))
+    at = written(scan.withColumn("_id", F.monotonically_increasing_id()))
+    blocks = at.groupBy(*block).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))  # rows of a block follow each other
+    order = W.partitionBy("_source_path").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    before = blocks.select(*block, (F.coalesce(F.sum("_n").over(order), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return at.join(before, block).select("value", "_source_path", (F.col("_id") + F.col("_shift")).alias("_line"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, *, strict: bool = True, ordered: bool = False, line_numbers: bool = False) -> DataFrame:
     """Objects of a JSONL file with ``_source_path``; blank lines and other JSON values are skipped.
 
-    ``strict`` raises for a malformed line with its file, and with ``line_numbers``, which scans the files twice more, its number; otherwise
-    such lines are skipped.
+    ``strict`` raises for a malformed line with its file and, with ``line_numbers``, its number; otherwise such lines are skipped.
+    ``line_numbers`` adds ``_line``, ``ordered`` adds ``_ord``, the number among all lines that aren't blank.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_source_path"))
-    place = F.col("_source_path")
-    if line_numbers:
-        lines = numbered(lines, "_line")
-        first = lines.groupBy(F.col("_source_path").alias("_file")).agg(F.min("_line").alias("_first"))  # a row for each file
-        lines = lines.join(F.broadcast(first), F.col("_source_path") == F.col("_file")).drop("_file")
-        place = F.concat(place, F.lit(":"), (F.col("_line") - F.col("_first") + 1).cast("string"))
+    lines = read_lines(spark, path) if line_numbers else spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_source_path"))
+    place = F.concat("_source_path", F.lit(":"), F.col("_line").cast("string")) if line_numbers else F.col("_source_path")
     lines = lines.where(F.btrim("value", F.lit(" \t\r")) != "")
     lines = numbered(lines) if ordered else lines
     parsed = lines.withColumn("_any", F.try_parse_json("value"))
@@ -64,7 +73,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, *, st
         bad = F.raise_error(F.concat(place, F.lit(": malformed JSON line: "), F.substring("value", 1, 80)))
         parsed = parsed.withColumn("value", F.when(F.col("_any").isNull(), bad).otherwise(F.col("value")))
     objects = parsed.where(F.startswith(F.ltrim("value"), F.lit("{"))).withColumn("_row", F.from_json("value", schema)).where(F.col("_row").isNotNull() & (F.lit(True) if strict else F.col("_any").isNotNull()))
-    return objects.select("_row.*", "_source_path", *(["_ord"] if ordered else []))
+    return objects.select("_row.*", "_source_path", *(["_line"] if line_numbers else []), *(["_ord"] if ordered else []))
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

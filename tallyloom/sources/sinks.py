@@ -21,6 +21,16 @@ def write_csv(df: DataFrame, path: str, fields: list[str], *, strict: bool = Fal
     (out.coalesce(1) if single else out).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def write_groups(df: DataFrame, path: str, by: str) -> None:
+    """Appends groups of ``by``; a group that is there already is replaced, others stay, so a step may run again after any failure."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def export_csv(df: DataFrame, path: str, fields: list[str], order: list[str]) -> None:
+    """A small result as one sorted CSV file with its header once."""
+    df.select(*fields).coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def _sorted(kind: T.DataType, c):
     """Structs with their fields by name, at any depth."""
     if isinstance(kind, T.StructType):
