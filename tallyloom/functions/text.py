@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,20 +136,70 @@ def length_summary(question: Column, examples: Column, answer: Column) -> Column
     return F.concat(F.lit('{"answer_chars": '), n(answer), F.lit(', "examples_chars": '), n(examples), F.lit(', "question_chars": '), n(question), F.lit("}"))
 
 
-def _canonical(value: object) -> object:
-    if not value:
-        return ""
-    try:
-        return json.dumps(json.loads(value), ensure_ascii=False, sort_keys=True)
-    except ValueError:
-        return value
+#: A JSON string, and what stands around a float that doesn't occur in texts.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_MARK = "\ue000\ue001"
+_WHOLE = r"-?[0-9]++(?![0-9.eE])"
+#: Floats, and whole numbers that VARIANT wouldn't give back as they are.
+_FLOAT = r"-?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
+_ODD = r"-0(?![0-9.eE])|-?[0-9]{30,}+(?![.eE])"
 
 
-def canonical_json(raw: Column) -> Column:
-    """JSON with its keys in order at every depth; what isn't JSON stays as it is, null and empty texts are empty."""
+def _float(token: Column) -> Column:
+    """A number as Python writes it: the shortest digits, with an exponent from 1e16 and below 1e-4."""
+    value = token.try_cast("double")
+    plain = value.cast("string")
+    fixed_ = F.regexp_replace(plain.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    power = F.substring_index(plain, "E", -1).try_cast("int")
+    digits = F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0"))
+    scientific = F.concat(F.regexp_replace(F.substring_index(plain, "E", 1), r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"), digits)
+    return (
+        F.when(~token.rlike("[.eE]"), F.when(token == "-0", "0").otherwise(token)).when(value == 0, F.when(F.startswith(token, F.lit("-")), "-0.0").otherwise("0.0"))
+        .when(F.abs(value) == float("inf"), F.regexp_replace(plain, r"\+", "")).when((F.abs(value) >= 1e16) | (F.abs(value) < 1e-4), scientific)
+        .otherwise(F.concat(fixed_, F.when(F.endswith(fixed_, F.lit(".")), "0").otherwise("")))
+    )
 
-    @F.pandas_udf("string")
-    def rewritten(texts: pd.Series) -> pd.Series:
-        return texts.map(_canonical)
 
-    return rewritten(raw)
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used and wherever filters are pushed."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def canonical_json(raw: Column) -> Column:
+    """JSON with its keys in order at every depth, a space behind ``,`` and ``:``; what isn't JSON stays as it is, null and empty texts are empty.
+
+    A VARIANT puts the keys in order.  It would not give floats back as they were, so they pass through it as marked strings.  An object that names
+    a key twice, NaN and Infinity aren't JSON here.
+    """
+    token = rf"\G((?:{_STRING}|[^\"0-9-]++|(?!{_ODD}){_WHOLE})*+)({_ODD}|{_FLOAT})"
+
+    def marked(raw: Column) -> Column:
+        return F.when(F.try_parse_json(raw).isNotNull(), F.regexp_replace(raw, token, f'$1"{_MARK}$2"'))
+
+    def parsed(marked: Column) -> Column:
+        """In a list, as a text alone would come back without its quotes."""
+        return F.try_parse_json(F.concat(F.lit("["), marked, F.lit("]"))).cast("string")
+
+    def whole(marked: Column, made: Column) -> Column:
+        """One value and nothing after it: but for white space, keys' order and how strings are written both are of one length."""
+        bones = lambda c: F.length(F.regexp_replace(F.regexp_replace(c, _STRING, '""'), r"[ \t\n\r]+", ""))
+        return F.coalesce((F.json_array_length(made) == 1) & (bones(marked) + 2 == bones(made)), F.lit(False))
+
+    def escaped(top: Column) -> Column:
+        """Escapes in lower case."""
+        low = top
+        for code in ("0b", "0e", "0f", "1a", "1b", "1c", "1d", "1e", "1f"):
+            low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*+)\\u00{code.upper()}", rf"$1\\u00{code}")
+        return F.when(F.contains(top, F.lit(r"\u00")), low).otherwise(top)
+
+    def unmarked(made: Column) -> Column:
+        top = escaped(F.substring(made, F.lit(2), F.length(made) - 2))
+        pieces = F.split(F.regexp_replace(top, rf'\G((?:{_STRING}|[^",:]++)*+)([,:])', "$1$2 "), f'"{_MARK}', -1)
+        number = lambda p: F.substring_index(p, '"', 1)
+        shown = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(let(number(p), _float), F.substring(p, F.length(number(p)) + 2, F.length(p)))))
+        return F.array_join(shown, "")
+
+    def written(raw: Column, marked: Column, made: Column) -> Column:
+        return F.when(whole(marked, made), unmarked(made)).otherwise(raw)
+
+    return let(F.coalesce(raw, F.lit("")), lambda r: let(marked(r), lambda m: let(parsed(m), lambda v: written(r, m, v))))

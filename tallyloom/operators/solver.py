@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.text import clean_answer, parse_expression
+from ..functions.text import clean_answer, let, parse_expression
 from ..functions.transforms import TRANSFORMS, apply_rule
 
 EXAMPLE = T.StructType([T.StructField(c, T.StringType()) for c in ("left", "op", "right", "output")])
@@ -95,11 +95,6 @@ def examples_from_any(df: DataFrame, raw: str, name: str = "parsed") -> DataFram
     return df.mapInArrow(run, schema)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often it is used and wherever filters are pushed."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _named(**columns: Column) -> Column:
     return F.struct(*(c.alias(n) for n, c in columns.items()))
 
