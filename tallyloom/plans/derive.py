@@ -57,7 +57,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("")
     )
     finish = F.when(F.col("o_orderstatus") == "F", "eos").when(F.col("o_orderstatus") == "O", "length").otherwise("unknown")
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")).select(
         k.alias("problem_id"), category.alias("category"), sub.alias("subcategory"), F.concat(F.lit("Problem "), text, F.lit(" of "), category).alias("question"), gold.alias("gold_answer"), raw.alias("raw_output"),
         finish.alias("finish_reason"), F.floor(F.col("o_totalprice") % 2048).cast("long").alias("generation_token_count"), (finish == "length").alias("was_truncated"),
     )
@@ -94,7 +94,7 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = out.when(number == i, TRANSFORMS[name](a, b))
         return out
 
-    rows = table(spark, sf_dir, "part").select(k, size, left.alias("l"), right.alias("r"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")).select(k, size, left.alias("l"), right.alias("r"))
     op, rule, mixed = pick(k % 4, ["@", "#", "?", "+"]), size % 7, (k % 5 == 0)
 
     def example(i: int) -> Column:
