@@ -196,3 +196,46 @@ NUMERAL_REASONS = [
     "binary-to-decimal place value calculation error", "decimal-to-binary encoding error", "hex digit value mapping error", "decimal-to-hex conversion error",
     "Roman numeral rule application error", "place value error in base-N conversion",
 ]
+
+# What the notebook's failure classifier looks for, and its labels.
+LETTERS_ASSIGNED = r"[A-Z]\s*[=:]\s*\d|\d\s*[=:]\s*[A-Z]"
+BITS_SEEN = r"\b[01]{4,}\b"
+BINARY_SEEN = r"0b[01]+"
+HEX_SEEN = r"0x[0-9a-fA-F]+"
+NOTEBOOK_LABELS = {
+    "right": "correct", "unparsed": "parse_fail", "cut": "timeout", "letters": "wrong_digit_assignment", "boxed": "wrong_answer_boxed", "no_letters": "no_systematic_attempt",
+    "bits": "wrong_binary_result", "no_bits": "no_binary_analysis", "number": "wrong_converted_value", "no_number": "no_conversion_attempt", "other": "wrong_answer",
+}
+
+# Notes, failures and confidence of the rule solver.
+SOLVER_NOTES = {
+    "no_question": "could not parse question expression",
+    "no_examples": "no examples; refusing fallback verification",
+    "all": "rule matches all %s examples",
+    "operator": "operator-conditioned rule matches %s examples with op %s",
+    "none": "no rule matched all examples; best=%s matched %s/%s",
+}
+SOLVER_FAILURES = {
+    "no_question": "extraction failure", "no_examples": "guess failure", "no_rule": "wrong operator rule", "verified": "", "no_answer": "answer format failure", "mismatch": "answer mismatch",
+}
+
+# The verified solution as text.
+GUESS_OPENING = "We need to guess the hidden operation.\nCandidate rules: forward concatenation, reverse concatenation, swapped operands, reversed sides, and interleaving.\nCheck each candidate against the examples:"
+DEDUCE_OPENING = "We need to infer the rule from the examples."
+EXAMPLE_LINE = "Example %s: input = %s%s%s, output = %s."
+RULE_LINE = "The consistent solver-verified rule is: %s."
+APPLY_LINE = "Apply the rule to the question: %s."
+SOLVED_LINE = "The solver obtains %s, matching the labeled answer."
+ANSWER_LINE = "Therefore, the answer is \\boxed{%s}."
+
+# The prompt.
+PROMPT = "Solve the following problem carefully.\n\n%sQuestion: %s\n\nThink step by step. Put your final answer inside \\boxed{}."
+PROMPT_EXAMPLES = "Examples:\n%s\n\n"
+PROMPT_EXAMPLE = "  %s. Input: %s -> Output: %s"
+
+# What is said of samples and records that don't belong in a patch.
+PATCH_ERRORS = {
+    "category": "unexpected category %s", "unverified_sample": "sample.verified must be true", "question": "missing question", "solver_answer": "missing solver_answer",
+    "reasoning_text": "missing reasoning_text", "answer": "missing answer", "messages": "expected two chat messages", "role": "message %s role must be '%s'",
+    "content": "message %s missing content", "metadata": "metadata must be an object", "unverified": "metadata.verified must be true", "no_rows": "patch contains no rows",
+}

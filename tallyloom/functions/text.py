@@ -27,6 +27,12 @@ def group(c: Column, pattern: str, number: int = 1, flags: str = "(?d)") -> Colu
     return F.when(c.rlike(flags + pattern), F.regexp_extract(c, flags + pattern, number))
 
 
+def filled(template: str, *parts: Column) -> Column:
+    """The text with its ``%s`` replaced in order; null if one of them is."""
+    first, *rest = template.split("%s")
+    return F.concat(F.lit(first), *(x for part, after in zip(parts, rest, strict=True) for x in (part, F.lit(after))))
+
+
 def contains_fold(c: Column, part: Column) -> Column:
     """Literal occurrence without regard to case; never for an empty part."""
     return F.coalesce((F.length(part) > 0) & F.contains(F.lower(c), F.lower(part)), F.lit(False))
@@ -126,9 +132,10 @@ def metric_match(pred: Column, gold: Column, tolerance: float = fixed.METRIC_TOL
 
 def prompt(question: Column, examples: Column) -> Column:
     """The problem as a prompt; ``examples`` is an array of (input, output) structs or null."""
-    shown = F.transform(examples, lambda e, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". Input: "), F.coalesce(e["input"], F.lit("")), F.lit(" -> Output: "), F.coalesce(e["output"], F.lit(""))))
-    block = F.when(F.size(F.coalesce(examples, F.array().cast("array<struct<input:string,output:string>>"))) > 0, F.concat(F.lit("Examples:\n"), F.array_join(shown, "\n"), F.lit("\n\n"))).otherwise("")
-    return F.concat(F.lit("Solve the following problem carefully.\n\n"), block, F.lit("Question: "), strip(F.coalesce(question, F.lit(""))), F.lit("\n\nThink step by step. Put your final answer inside \\boxed{}."))
+    shown = F.transform(examples, lambda e, i: filled(fixed.PROMPT_EXAMPLE, (i + 1).cast("string"), F.coalesce(e["input"], F.lit("")), F.coalesce(e["output"], F.lit(""))))
+    given = F.size(F.coalesce(examples, F.array().cast("array<struct<input:string,output:string>>"))) > 0
+    block = F.when(given, filled(fixed.PROMPT_EXAMPLES, F.array_join(shown, "\n"))).otherwise("")
+    return filled(fixed.PROMPT, block, strip(F.coalesce(question, F.lit(""))))
 
 
 def length_summary(question: Column, examples: Column, answer: Column) -> Column:

@@ -109,7 +109,7 @@ def numeral() -> Column:
     rows = [*_format_rows(raw, gold, pred, ok), (digits_swapped(pred, gold), "digit_order_error", WHY["digit_order"])]
     rows += [(sub == name, label, reason) for (name, label), reason in zip(fixed.NUMERAL_LABELS.items(), fixed.NUMERAL_REASONS, strict=True)]
     rows += [
-        (found(raw, r"0b[01]+", False), "binary_decimal_error", WHY["binary_seen"]), (found(raw, r"0x[0-9a-fA-F]+", False), "hex_decimal_error", WHY["hex_seen"]),
+        (found(raw, fixed.BINARY_SEEN, False), "binary_decimal_error", WHY["binary_seen"]), (found(raw, fixed.HEX_SEEN, False), "hex_decimal_error", WHY["hex_seen"]),
         (F.lit(True), "unknown", WHY["unknown"]),
     ]
     return cascade(*rows)
@@ -120,12 +120,13 @@ def notebook(df: DataFrame) -> DataFrame:
     raw, _, _, _, ok = _columns()
     cat, boxed = F.col("category"), found(raw, BOX, False)
     parsed = F.coalesce(F.col("parse_success"), F.lit(False))
+    said = fixed.NOTEBOOK_LABELS
     letters, bits, numbers = cat == "cryptarithmetic", cat == "bit_manipulation", cat == "numeral_conversion"
     return df.withColumn("failure_type", (
-        F.when(ok, "correct").when(~parsed, "parse_fail").when(F.col("finish_reason") == "length", "timeout")
-        .when(letters & found(raw, r"[A-Z]\s*[=:]\s*\d|\d\s*[=:]\s*[A-Z]", False), "wrong_digit_assignment").when(letters & boxed, "wrong_answer_boxed").when(letters, "no_systematic_attempt")
-        .when(bits & found(raw, r"\b[01]{4,}\b", False), "wrong_binary_result").when(bits & boxed, "wrong_answer_boxed").when(bits, "no_binary_analysis")
-        .when(numbers & boxed, "wrong_converted_value").when(numbers, "no_conversion_attempt").otherwise("wrong_answer")
+        F.when(ok, said["right"]).when(~parsed, said["unparsed"]).when(F.col("finish_reason") == "length", said["cut"])
+        .when(letters & found(raw, fixed.LETTERS_ASSIGNED, False), said["letters"]).when(letters & boxed, said["boxed"]).when(letters, said["no_letters"])
+        .when(bits & found(raw, fixed.BITS_SEEN, False), said["bits"]).when(bits & boxed, said["boxed"]).when(bits, said["no_bits"])
+        .when(numbers & boxed, said["number"]).when(numbers, said["no_number"]).otherwise(said["other"])
     ))
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import filled
+
+SAID = fixed.PATCH_ERRORS
 
 
 def _messages(*checks: tuple[Column, str | Column]) -> Column:
@@ -18,13 +21,13 @@ def _empty(c: Column) -> Column:
 
 
 def _unexpected(category: Column) -> tuple[Column, Column]:
-    return ~F.coalesce(category.isin(*fixed.CRYPTARITHM_LABELS), F.lit(False)), F.concat(F.lit("unexpected category "), F.coalesce(F.concat(F.lit("'"), category, F.lit("'")), F.lit("None")))
+    return ~F.coalesce(category.isin(*fixed.CRYPTARITHM_LABELS), F.lit(False)), filled(SAID["category"], F.coalesce(F.concat(F.lit("'"), category, F.lit("'")), F.lit("None")))
 
 
 def sample_errors() -> Column:
     """What keeps a sample out of a patch."""
     c = F.col
-    return _messages((~c("verified"), "sample.verified must be true"), _unexpected(c("category")), (_empty(c("question")), "missing question"), (_empty(c("solver_answer")), "missing solver_answer"), (_empty(c("reasoning_text")), "missing reasoning_text"))
+    return _messages((~c("verified"), SAID["unverified_sample"]), _unexpected(c("category")), (_empty(c("question")), SAID["question"]), (_empty(c("solver_answer")), SAID["solver_answer"]), (_empty(c("reasoning_text")), SAID["reasoning_text"]))
 
 
 def to_record(df: DataFrame) -> DataFrame:
@@ -56,11 +59,11 @@ def record_errors() -> Column:
     """What makes a patch row invalid."""
     m = F.col("messages")
     pair = F.size(F.coalesce(m, F.array().cast("array<struct<role:string,content:string>>"))) == 2
-    checks = [_unexpected(F.col("category")), (_empty(F.col("answer")), "missing answer"), (~pair, "expected two chat messages")]
+    checks = [_unexpected(F.col("category")), (_empty(F.col("answer")), SAID["answer"]), (~pair, SAID["messages"])]
     for k, role in enumerate(("user", "assistant")):
         at = F.get(m, F.lit(k))
-        checks += [(pair & F.coalesce(at["role"] != role, F.lit(True)), f"message {k + 1} role must be '{role}'"), (pair & _empty(at["content"]), f"message {k + 1} missing content")]
-    checks += [(F.col("metadata").isNull(), "metadata must be an object"), (F.col("metadata").isNotNull() & ~F.coalesce(F.col("metadata")["verified"], F.lit(False)), "metadata.verified must be true")]
+        checks += [(pair & F.coalesce(at["role"] != role, F.lit(True)), SAID["role"] % (k + 1, role)), (pair & _empty(at["content"]), SAID["content"] % (k + 1))]
+    checks += [(F.col("metadata").isNull(), SAID["metadata"]), (F.col("metadata").isNotNull() & ~F.coalesce(F.col("metadata")["verified"], F.lit(False)), SAID["unverified"])]
     return _messages(*checks)
 
 
@@ -71,6 +74,6 @@ def validate(patch: DataFrame, *, require_rows: bool = False) -> int:
         shown = patch.withColumn("errors", record_errors()).where(F.size("errors") > 0).limit(5).collect()
         raise ValueError("; ".join(f"{r.problem_id}: {', '.join(r.errors)}" for r in shown))
     if require_rows and not n:
-        raise ValueError("patch contains no rows")
+        raise ValueError(SAID["no_rows"])
     return n
 

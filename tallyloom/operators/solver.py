@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.text import clean_answer, let, parse_expression
+from ..functions.text import clean_answer, filled, let, parse_expression
 from ..functions.transforms import TRANSFORMS, apply_rule
 
 EXAMPLE = T.StructType([T.StructField(c, T.StringType()) for c in ("left", "op", "right", "output")])
@@ -127,14 +127,13 @@ def _solution(question: Column, answer: Column, examples: Column) -> Column:
         return let(_named(q=s["q"], answer=s["answer"], n=s["n"], n_own=s["n_own"], most=most, best=best, whole=first(s["counts"], s["n"]), part=first(s["own_counts"], s["n_own"])), ruled)
 
     def ruled(s: Column) -> Column:
+        said = fixed.SOLVER_NOTES
         q, n, n_own, whole, part = s["q"], s["n"], s["n_own"], s["whole"], s["part"]
         rule = F.when(q.isNull(), "").otherwise(F.coalesce(whole, F.concat(F.lit("operator_conditioned_rule:"), q["op"], F.lit(":"), part), F.lit("")))
         matched = F.when(q.isNull() | (n == 0), 0).when(whole.isNotNull(), n).when(part.isNotNull(), n_own).otherwise(s["most"])
         notes = (
-            F.when(q.isNull(), "could not parse question expression").when(n == 0, "no examples; refusing fallback verification")
-            .when(whole.isNotNull(), F.concat(F.lit("rule matches all "), text(n), F.lit(" examples")))
-            .when(part.isNotNull(), F.concat(F.lit("operator-conditioned rule matches "), text(n_own), F.lit(" examples with op "), q["op"]))
-            .otherwise(F.concat(F.lit("no rule matched all examples; best="), s["best"], F.lit(" matched "), text(s["most"]), F.lit("/"), text(n)))
+            F.when(q.isNull(), said["no_question"]).when(n == 0, said["no_examples"]).when(whole.isNotNull(), filled(said["all"], text(n)))
+            .when(part.isNotNull(), filled(said["operator"], text(n_own), q["op"])).otherwise(filled(said["none"], s["best"], text(s["most"]), text(n)))
         )
         return let(_named(q=q, answer=s["answer"], n=n, rule=rule, matched=matched, notes=notes), applied)
 
@@ -145,7 +144,9 @@ def _solution(question: Column, answer: Column, examples: Column) -> Column:
     def judged(s: Column) -> Column:
         none, unruled = s["q"].isNull(), s["rule"] == ""
         verified = ~unruled & (s["answer"] != "") & (s["solved"] == s["answer"])
-        failure = F.when(none, "extraction failure").when(unruled & (s["n"] == 0), "guess failure").when(unruled, "wrong operator rule").when(verified, "").when(s["answer"] == "", "answer format failure").otherwise("answer mismatch")
+        said = fixed.SOLVER_FAILURES
+        failure = F.when(none, said["no_question"]).when(unruled & (s["n"] == 0), said["no_examples"]).when(unruled, said["no_rule"])
+        failure = failure.when(verified, said["verified"]).when(s["answer"] == "", said["no_answer"]).otherwise(said["mismatch"])
         confidence = F.when(none, "none").when(unruled, "low").when(verified & (s["matched"] == s["n"]), "high").when(s["solved"] != "", "medium").otherwise("low")
         return _named(rule_type=s["rule"], normalized_answer=s["answer"], solver_answer=s["solved"], verified=verified, confidence=confidence, failure_type=failure, matched_examples=s["matched"].cast("long"), total_examples=s["n"].cast("long"), solver_notes=s["notes"])
 
@@ -165,12 +166,7 @@ def solve(df: DataFrame, *, question: str = "question", answer: str = "answer",
 def reasoning_text(*, category: Column, question: Column, examples: Column, rule: Column, solver_answer: Column) -> Column:
     """The verified solution as text, a line for each example."""
     guess = category == "cryptarithm_guess"
-    opening = F.when(guess, "We need to guess the hidden operation.\nCandidate rules: forward concatenation, reverse concatenation, swapped operands, reversed sides, and interleaving.\nCheck each candidate against the examples:").otherwise("We need to infer the rule from the examples.")
-    shown = F.transform(examples, lambda e, i: F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit(": input = "), e["left"], e["op"], e["right"], F.lit(", output = "), e["output"], F.lit(".")))
-    closing = F.array(
-        F.concat(F.lit("The consistent solver-verified rule is: "), rule, F.lit(".")),
-        F.concat(F.lit("Apply the rule to the question: "), question, F.lit(".")),
-        F.concat(F.lit("The solver obtains "), solver_answer, F.lit(", matching the labeled answer.")),
-        F.concat(F.lit("Therefore, the answer is \\boxed{"), solver_answer, F.lit("}.")),
-    )
+    opening = F.when(guess, fixed.GUESS_OPENING).otherwise(fixed.DEDUCE_OPENING)
+    shown = F.transform(examples, lambda e, i: filled(fixed.EXAMPLE_LINE, (i + 1).cast("string"), e["left"], e["op"], e["right"], e["output"]))
+    closing = F.array(filled(fixed.RULE_LINE, rule), filled(fixed.APPLY_LINE, question), filled(fixed.SOLVED_LINE, solver_answer), filled(fixed.ANSWER_LINE, solver_answer))
     return F.array_join(F.concat(F.array(opening), shown, closing), "\n")
