@@ -237,5 +237,5 @@ PROMPT_EXAMPLE = "  %s. Input: %s -> Output: %s"
 PATCH_ERRORS = {
     "category": "unexpected category %s", "unverified_sample": "sample.verified must be true", "question": "missing question", "solver_answer": "missing solver_answer",
     "reasoning_text": "missing reasoning_text", "answer": "missing answer", "messages": "expected two chat messages", "role": "message %s role must be '%s'",
-    "content": "message %s missing content", "metadata": "metadata must be an object", "unverified": "metadata.verified must be true", "no_rows": "patch contains no rows",
+    "content": "message %s missing content", "message": "message %s must be an object", "json": "invalid JSON", "object": "not an object", "metadata": "metadata must be an object", "unverified": "metadata.verified must be true", "no_rows": "patch contains no rows",
 }

@@ -172,6 +172,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def json_value(c: Column) -> Column:
+    """The text as a VARIANT; null if it isn't one JSON value with nothing after it, which parsers let pass: a mark behind it tells."""
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{_MARK}"]')))
+    return let(listed, lambda v: F.when(F.try_variant_get(v, "$[1]", "string") == _MARK, F.try_variant_get(v, "$[0]", "variant")))
+
+
 def canonical_json(raw: Column) -> Column:
     """JSON with its keys in order at every depth, a space behind ``,`` and ``:``; what isn't JSON stays as it is, null and empty texts are empty.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import filled
+from ..functions.text import filled, json_value, let
+from ..sources.ingest import read_lines
 
 SAID = fixed.PATCH_ERRORS
 
@@ -77,3 +78,43 @@ def validate(patch: DataFrame, *, require_rows: bool = False) -> int:
         raise ValueError(SAID["no_rows"])
     return n
 
+
+
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.substring_index(F.schema_of_variant(v), "<", 1), F.lit("VOID"))
+
+
+def _nothing(v: Column) -> Column:
+    """Absent, null, false, 0, or an empty text, list or object."""
+    return v.isNull() | v.cast("string").isNull() | v.cast("string").isin("", "false", "0", "[]", "{}")
+
+
+def line_errors(value: Column) -> Column:
+    """What makes a line of a patch file invalid, whatever JSON it holds."""
+
+    def of(v: Column) -> Column:
+        get = lambda c, at, kind="variant": F.try_variant_get(c, at, kind)
+        category, messages, metadata = get(v, "$.category"), get(v, "$.messages", "array<variant>"), get(v, "$.metadata")
+        known = (_kind(category) == "STRING") & category.cast("string").isin(*fixed.CRYPTARITHM_LABELS)
+        named = F.when(_kind(category) == "STRING", F.concat(F.lit("'"), category.cast("string"), F.lit("'"))).otherwise(F.coalesce(category.cast("string"), F.lit("None")))
+        pair = F.coalesce((_kind(get(v, "$.messages")) == "ARRAY") & (F.size(messages) == 2), F.lit(False))
+        checks = [(~known, filled(SAID["category"], named)), (_nothing(get(v, "$.answer")), SAID["answer"]), (~pair, SAID["messages"])]
+        for k, role in enumerate(("user", "assistant")):
+            m = F.get(messages, F.lit(k))
+            thing = _kind(m) == "OBJECT"
+            checks.append((pair & ~thing, SAID["message"] % (k + 1)))
+            checks.append((pair & thing & ~get(m, "$.role", "string").eqNullSafe(F.lit(role)), SAID["role"] % (k + 1, role)))
+            checks.append((pair & thing & _nothing(get(m, "$.content")), SAID["content"] % (k + 1)))
+        described = _kind(metadata) == "OBJECT"
+        true = (_kind(get(metadata, "$.verified")) == "BOOLEAN") & get(metadata, "$.verified", "boolean")
+        checks += [(~described, SAID["metadata"]), (described & ~F.coalesce(true, F.lit(False)), SAID["unverified"])]
+        said = lambda name: F.array(F.lit(SAID[name]))
+        return F.when(v.isNull(), said("json")).when(_kind(v) != "OBJECT", said("object")).otherwise(_messages(*checks))
+
+    return let(json_value(value), of)
+
+
+def check_file(spark: SparkSession, path: str) -> DataFrame:
+    """(_source_path, line, errors): every line of a patch that isn't blank, with what is wrong with it; a list, a number or broken JSON is an error."""
+    lines = read_lines(spark, path).where(F.btrim("value", F.lit(" \t\r")) != "")
+    return lines.select("_source_path", F.col("_line").alias("line"), line_errors(F.col("value")).alias("errors"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, failures, joins, logprob
+from ..operators import aggregate, failures, joins, logprob, patch
 from ..sources import ingest, sinks
 from ..sources.scratch import folder, written
 from ..streaming import resume
@@ -149,6 +149,25 @@ def category_anywhere(spark, sf_dir):
     return rows.select("doc_id", ingest.detect_category(rows).alias("category"))
 
 
+_GOOD = """{"category": "cryptarithm_guess", "answer": "A", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "metadata": {"verified": true}}"""
+#: Lines of a patch file, and what is wrong with them.
+_LINES = {
+    _GOOD: "", f"{_GOOD} x": "invalid JSON", "[1, 2]": "not an object", "{oops": "invalid JSON", _GOOD.replace("true", '"true"'): "metadata.verified must be true", _GOOD.replace("user", "bot"): "message 1 role must be 'user'",
+    _GOOD.replace('"A"', "0").replace("cryptarithm_guess", "chat"): "unexpected category 'chat'; missing answer", '{"messages": [1, {"role": "assistant"}], "metadata": 5, "answer": "x", "category": null}':
+    "unexpected category None; message 1 must be an object; message 2 missing content; metadata must be an object", '{"category": "cryptarithm_deduce", "answer": [1], "messages": [], "metadata": {"verified": true}}': "expected two chat messages", "7": "not an object",
+}
+
+
+@query(f"""SELECT o_orderkey % 3 AS part, row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) AS line, [{', '.join(duck.q(e) for e in _LINES.values())}][o_orderkey % {len(_LINES)} + 1] AS errors FROM orders""")
+def patch_file_checked(spark, sf_dir):
+    """Lines of every kind in three files, each judged under its number."""
+    path, k = folder(spark), F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k, (k % 3).alias("part"), derive.pick(k % len(_LINES), list(_LINES)).alias("value"))
+    rows.repartition(3, "part").sortWithinPartitions("part", "o_orderkey").select("part", "value").write.partitionBy("part").text(path)
+    checked = patch.check_file(spark, path)
+    return checked.select(F.regexp_extract("_source_path", r"part=(\d+)", 1).cast("long").alias("part"), "line", F.array_join("errors", "; ").alias("errors"))
+
+
 _STEPS = {"summary": "summary_rollup", "priority": "failure_priority", "cases_cryptarithm": "failure_cases_cryptarithm", "cases_bit_manipulation": "failure_cases_bit", "cases_numeral_conversion": "failure_cases_numeral", "failure_types": "failure_type_counts"}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import fixed
-from ..functions.text import canonical_json, length_summary, operator_symbols
+from ..functions.text import canonical_json, json_value, length_summary, operator_symbols
 from ..operators.joins import first_present, flag_members
 from .scratch import written
 
@@ -68,7 +68,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, *, st
     place = F.concat("_source_path", F.lit(":"), F.col("_line").cast("string")) if line_numbers else F.col("_source_path")
     lines = lines.where(F.btrim("value", F.lit(" \t\r")) != "")
     lines = numbered(lines) if ordered else lines
-    parsed = lines.withColumn("_any", F.try_parse_json("value"))
+    parsed = lines.withColumn("_any", json_value(F.col("value")))
     if strict:
         bad = F.raise_error(F.concat(place, F.lit(": malformed JSON line: "), F.substring("value", 1, 80)))
         parsed = parsed.withColumn("value", F.when(F.col("_any").isNull(), bad).otherwise(F.col("value")))

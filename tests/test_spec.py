@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed, text
-from tallyloom.operators import aggregate, gates, sampling
+from tallyloom.operators import aggregate, gates, patch, sampling
 from tallyloom.plans import report, steps
 from tallyloom.sources import ingest, sinks
 from tallyloom.streaming import resume
@@ -149,3 +149,16 @@ def test_report_is_collected_in_one_job(spark):
     assert "| 1 | a | -2.5000 |" in said.split("## Protected cases")[1].split("## Replay")[0] and "| 2 | a | -4.0000 |" in said.split("## Replay cases")[1]
     empty = report.recommendation(*(df.limit(0) for df in (summary, groups, kinds, scored)))
     assert "| Problems | N/A |" in empty and "No rows." in empty
+
+
+def test_text_after_a_value_is_malformed(spark, tmp_path):
+    rows = ['{"a": 1} x', "1,2", '{"a": 1}], [', '{"a":1},2],[', "", " 1 ", '{"a": 1}', "null", None, '"x"']
+    frame = spark.createDataFrame(list(enumerate(rows)), "i int, v string").select("i", text.json_value(F.col("v")).isNotNull().alias("ok"))
+    assert [r.ok for r in frame.orderBy("i").collect()] == [False] * 5 + [True, True, True, False, True]
+    (tmp_path / "x.jsonl").write_text('{"problem_id": "a"}\n\n{"problem_id": "b"} c\n')
+    with pytest.raises(Exception, match=r"x\.jsonl:3: malformed JSON line"):
+        ingest.read_jsonl(spark, f"file://{tmp_path}/x.jsonl", "problem_id string", line_numbers=True).collect()
+    assert [r.problem_id for r in ingest.read_jsonl(spark, f"file://{tmp_path}/x.jsonl", "problem_id string", strict=False).collect()] == ["a"]
+    (tmp_path / "p.jsonl").write_text("[1]\n\n{}\n")
+    got = [(r.line, r.errors[0]) for r in patch.check_file(spark, f"file://{tmp_path}/p.jsonl").orderBy("line").collect()]
+    assert got == [(1, "not an object"), (3, "unexpected category None")]
