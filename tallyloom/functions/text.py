@@ -148,7 +148,7 @@ _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _MARK = "\ue000\ue001"
 _WHOLE = r"-?[0-9]++(?![0-9.eE])"
 #: Floats, and whole numbers that VARIANT wouldn't give back as they are.
-_FLOAT = r"-?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
+_FLOAT = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
 _ODD = r"-0(?![0-9.eE])|-?[0-9]{30,}+(?![.eE])"
 
 
@@ -187,7 +187,8 @@ def canonical_json(raw: Column) -> Column:
     token = rf"\G((?:{_STRING}|[^\"0-9-]++|(?!{_ODD}){_WHOLE})*+)({_ODD}|{_FLOAT})"
 
     def marked(raw: Column) -> Column:
-        return F.when(F.try_parse_json(raw).isNotNull(), F.regexp_replace(raw, token, f'$1"{_MARK}$2"'))
+        """What is no JSON stays so, as a mark stands for a whole number alone; but for a number as a key, which ``whole`` looks for."""
+        return F.regexp_replace(raw, token, f'$1"{_MARK}$2"')
 
     def parsed(marked: Column) -> Column:
         """In a list, as a text alone would come back without its quotes."""
@@ -196,7 +197,8 @@ def canonical_json(raw: Column) -> Column:
     def whole(marked: Column, made: Column) -> Column:
         """One value and nothing after it: but for white space, keys' order and how strings are written both are of one length."""
         bones = lambda c: F.length(F.regexp_replace(F.regexp_replace(c, _STRING, '""'), r"[ \t\n\r]+", ""))
-        return F.coalesce((F.json_array_length(made) == 1) & (bones(marked) + 2 == bones(made)), F.lit(False))
+        key = F.contains(made, F.lit(_MARK)) & made.rlike(f'"{_MARK}[^"]*+":')
+        return F.coalesce((F.json_array_length(made) == 1) & (bones(marked) + 2 == bones(made)) & ~key, F.lit(False))
 
     def escaped(top: Column) -> Column:
         """Escapes in lower case."""

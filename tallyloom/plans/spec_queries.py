@@ -188,4 +188,5 @@ def canonical_examples(spark, sf_dir):
     k, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
     raw = derive.pick(F.col("event_id") % 4, ["", "", "", "[1,2.5,  null,true]"])
     raw = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"b":'), u, F.lit(',"a":[1,{"z":'), k, F.lit(',"y":"\\u00e9"}]}'))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("no json {"), k)).otherwise(raw)
-    return table(spark, sf_dir, "events").select("event_id", text.canonical_json(raw).alias("canonical"))
+    rows = derive.spread(table(spark, sf_dir, "events").select("event_id", "user_id"))
+    return rows.select("event_id", text.canonical_json(raw).alias("canonical"))

@@ -9,7 +9,7 @@ NUMBERS = [0.1, 1.0, -0.0, 0.0, 1e16, 1e15, 123456789.125, 1e-4, 1e-5, 2.5e-7, 1
 PIECES = ["a", "b", " ", ",", ":", '"', "\\", "\n", "\t", "{", "}", "[", "]", "é", "数", "1.5", "1e5", "/", "😀", "\x7f", "\x1f", "\x01"]
 ODD = [
     None, "", "  ", "no", '{"a":1} x', '{"a":1}{"b":2}', "1,2", "[1,]", "01", "01.5", "1.5abc", '"a" "b"', "-0", "[-0, -0.0, 0]", "1E400", "-1E400", "[123456789012345678901234567890123456789012345,1]",
-    "1.0E+2", '"tab\tin"', '{"x":1.50,"a":"1.50"}', "  [1 , 2]  ", "tru", "true", "null", '"x"', "1", "[1.5}", r'{"a":"x\\u001F"}', r'"\\\u001F"', "[]", "{}", '"' + "x" * 100_000 + '"', "[" + "1.5," * 5000 + "{}]",
+    "1.0E+2", '"tab\tin"', '{"x":1.50,"a":"1.50"}', "  [1 , 2]  ", "tru", "true", "null", '"x"', "1", "[1.5}", "{1.5: 2}", "{1: 2}", '{"a": {-0: 1}}', "1.", "1e", "-", "-01", "1.5.5", "1.5-2", '1.5"a"', "[1 2]", "[1.5 2]", ".5", "+1", "[-]", "00", "[0 1.5]", r'{"a":"x\\u001F"}', r'"\\\u001F"', "[]", "{}", '"' + "x" * 100_000 + '"', "[" + "1.5," * 5000 + "{}]",
 ]
 
 
