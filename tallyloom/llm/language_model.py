@@ -191,10 +191,11 @@ class Tree:
             heapq.heappush(heap, (sum(x[0] for x in below), BANDS + len(bias), sum((x[2] for x in below), ())))
         self.top_bias = np.array(bias, np.float32).reshape(-1, CLASSES)
         self.top_sizes = np.zeros(BANDS + 1, np.int64)
-        self.top = np.zeros((BANDS + 1, max(map(len, ways.values())), 2), np.int64)
         for k, way in ways.items():
             self.top_sizes[k] = len(way)
-            self.top[k, : len(way)] = np.array(way[::-1], np.int64).reshape(-1, 2)
+        self.top_starts = np.cumsum(self.top_sizes) - self.top_sizes
+        flat = np.array([step for k in sorted(ways) for step in ways[k][::-1]], np.int64).reshape(-1, 2)
+        self.top_nodes, self.top_branches = flat[:, 0], flat[:, 1]
 
     def known(self) -> int:
         return int(self.kinds.sum())
@@ -217,24 +218,25 @@ class Tree:
         sizes = self.top_sizes[leaf] + depth
         starts = np.cumsum(sizes) - sizes
         total = int(sizes.sum())
-        nodes, branches, bias = np.zeros(total, np.uint64), np.zeros(total, np.int64), np.zeros((total, CLASSES), np.float32)
-        for j in range(self.top.shape[1]):
-            i = np.flatnonzero(self.top_sizes[leaf] > j)
-            at, (node, branch) = starts[i] + j, self.top[leaf[i], j].T
-            nodes[at], branches[at], bias[at] = node, branch, self.top_bias[node]
-        rank, begin = numbers - self.first[band], starts + self.top_sizes[leaf]
-        for j in range(int(depth.max(initial=0))):
-            i = np.flatnonzero(depth > j)
-            size = CLASSES ** (depth[i] - j - 1)  # leaves below a branch
-            child = rank[i] // size
-            at = begin[i] + j
+        nodes, branches, bias = np.zeros(total, np.uint64), np.zeros(total, np.int8), np.zeros((total, CLASSES), np.float32)
+        above = self.top_sizes[leaf]
+        at, way = ts.expand(starts, above), ts.expand(self.top_starts[leaf], above)
+        nodes[at], branches[at], bias[at] = self.top_nodes[way], self.top_branches[way], self.top_bias[self.top_nodes[way]]
+        # levels below a band, deepest first: a leaf's number, then those of the nodes above it
+        below_it, end = (numbers - self.first[band]), starts + sizes
+        base, held = (band + 1).astype(np.uint64) << np.uint64(56), self.kinds[band]
+        for up in range(int(depth.max(initial=0))):
+            i = np.flatnonzero(depth > up)
+            size = CLASSES**up  # leaves below a branch
+            child = below_it[i]
             prefix = child // CLASSES
-            nodes[at] = ((band[i] + 1).astype(np.uint64) << np.uint64(56)) + (np.uint64(j + 1) << np.uint64(50)) + prefix.astype(np.uint64)
-            branches[at] = child % CLASSES
-            left = self.kinds[band[i]][:, None] - (prefix[:, None] * CLASSES + np.arange(CLASSES)) * size[:, None]
-            held = np.clip(left, 0, size[:, None])
-            bias[at] = np.where(held > 0, np.log(np.maximum(held, 1)), NEVER)
-        return Paths(starts, sizes, ts.mix(nodes + np.uint64(1)), branches.astype(np.int8), bias.view(np.complex128).ravel())
+            at = end[i] - 1 - up
+            nodes[at] = base[i] + ((depth[i] - up).astype(np.uint64) << np.uint64(50)) + prefix.astype(np.uint64)
+            branches[at] = child - prefix * CLASSES
+            left = (held[i] - prefix * (CLASSES * size))[:, None] - np.arange(CLASSES) * size
+            bias[at] = np.where(left > 0, np.log(np.clip(left, 1, size).astype(np.float32)), np.float32(NEVER))
+            below_it[i] = prefix
+        return Paths(starts, sizes, ts.mix(nodes + np.uint64(1)), branches, bias.view(np.complex128).ravel())
 
 
 @dataclass
@@ -366,11 +368,13 @@ class Model:
         """One mini-batch: gradients of each slot are added up, steps shrink with what a slot has seen."""
         rows, _, slots, p = self.look(paths, target, context)
         p[paths.branches[rows], np.arange(len(rows))] -= 1
-        p = p.astype(np.float64)
-        g = np.empty((1 << self.bits, CLASSES), np.float32)
+        # gradients of two branches add up as one number
+        pairs = np.ascontiguousarray(p.T).view(np.complex64)
         for k in range(KINDS):
-            for c in range(CLASSES):
-                g[:, c] = np.bincount(slots[k], p[c], 1 << self.bits)
+            sums = np.zeros((1 << self.bits, CLASSES // 2), np.complex64)
+            for half in range(CLASSES // 2):
+                np.add.at(sums[:, half], slots[k], pairs[:, half])
+            g = sums.view(np.float32)
             for at in range(0, len(g), BLOCK):  # in pieces that a core's cache holds
                 own, squares = g[at : at + BLOCK], self.squares[k, at : at + BLOCK]
                 squares += own * own
