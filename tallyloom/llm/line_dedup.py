@@ -7,12 +7,19 @@ A text is split at ``\\n``; a line's key is the line stripped of ``[\\x20\\x09-\
    of fixed size and merged block by block; bits that two tasks share go to the second filter too.  So every key in two
    documents or more is in the second filter; a false alarm costs a little more shuffle and nothing else.
 2. Only suspected repeats are counted exactly, by key bytes (their SHA-256) over distinct documents.
-3. Repeated keys come back to the documents: as a broadcast set while they are at most ``broadcast_keys``, otherwise by
-   a shuffle join of the suspected lines, then of the line numbers to drop.
+3. Repeated keys come back to the documents as a broadcast set.
 
-With ``keep="first"`` each repeated key keeps its first line, in the order of the rows as they are read; suspected lines then always go
-by the shuffle joins, which choose it.  The filter has ``bits_per_line`` bits for each line.  Where that is more than ``max_bits``, keys are taken in ranges of
-their hashes, one after another, each with filters of its own and by the shuffle join, so the bits for each line stay the same.
+The filter has ``bits_per_line`` bits for each line.  Where that is more than ``max_bits``, where more than ``broadcast_keys`` keys
+are repeated, and with ``keep="first"`` (each repeated key keeps its first line, in the order of the rows as they are read), nothing
+is broadcast.  Rows are then dealt to stretches of about ``STRETCH_BYTES`` of whole texts, and the same steps go over the executors:
+
+1. Hashes of a stretch, each key once, go to the blocks of the filters that they fall into.  A block has its own two
+   filters, for about ``block_lines`` lines: it fills them, then answers each stretch which of its hashes are in the second.
+2. A stretch counts its suspected repeats by key bytes, and the counts of all stretches are added up.
+3. Repeated keys go back to the stretches that hold them, with the place of their first line.
+
+That is three scans of the texts and two shuffles of them, whatever the number of lines.  A key in very many documents is a row for each
+stretch, so no task holds more than a block's hashes or a stretch.
 
 Edge cases: a null or empty text is one empty line; every row counts as one document even if ids repeat;
 keys shorter than ``min_chars`` code points are never dropped; an empty table gives an empty result; extra
@@ -23,26 +30,32 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .frames import discard, documents, free_name, map_arrow, materialise, quoted, table, without
+from .frames import discard, documents, free_name, map_arrow, materialise, without
 
 BLOCK_BITS = 1 << 20
 BITS_PER_LINE = 16
 MAX_BITS = 1 << 29  # 64 MB a filter
 BROADCAST_KEYS = 1 << 20
+BLOCK_LINES = 1 << 20
+STRETCH_BYTES = 8 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 
 _FILTERS = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("once", T.BinaryType()), T.StructField("twice", T.BinaryType())])
 _SUSPECTS = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType())])
+_HASHES = T.StructType([T.StructField("block", T.LongType()), T.StructField("stretch", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("again", T.BooleanType())])
+_ANSWERS = T.StructType([T.StructField("stretch", T.LongType()), T.StructField("hash", T.LongType())])
+_COUNTS = T.StructType([T.StructField("stretch", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("hash", T.LongType()), T.StructField("n", T.LongType()), T.StructField("row", T.LongType()), T.StructField("line", T.LongType())])
 
 
 def lines_of(chunk: ts.Chunk) -> ts.Spans:
@@ -110,25 +123,23 @@ def _set(packed: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(packed, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
 
-def _in_range(hashes: np.ndarray, part: int, parts: int) -> np.ndarray:
-    return ts.mix(hashes) % np.uint64(parts) == np.uint64(part)
+def _meet(once: np.ndarray, twice: np.ndarray, hashes: np.ndarray, again: np.ndarray, n_bits: int) -> None:
+    """Put distinct hashes into the filters: those met before, or marked as met ``again``, into the second too."""
+    a, b = _bits(hashes, n_bits)
+    again = again | (_has(once, a) & _has(once, b))
+    for bits in (a, b):
+        _set(twice, bits[again])
+        _set(once, bits)
 
 
-def _fill(text: str, min_chars: int, n_bits: int, part: int, parts: int):
+def _fill(text: str, min_chars: int, n_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(n_bits // 8, np.uint8), np.zeros(n_bits // 8, np.uint8)
         for batch in batches:
             for chunk in ts.chunks(batch.column(batch.schema.get_field_index(text))):
                 spans, _, _, hashes, enough = keys_of(chunk, min_chars)
-                if parts > 1:
-                    enough = enough & _in_range(hashes, part, parts)
-                at = _first_in_document(hashes, spans.owner(), enough)
-                h, many = np.unique(hashes[at], return_counts=True)
-                a, b = _bits(h, n_bits)
-                again = (many > 1) | (_has(once, a) & _has(once, b))
-                for bits in (a, b):
-                    _set(twice, bits[again])
-                    _set(once, bits)
+                h, many = np.unique(hashes[_first_in_document(hashes, spans.owner(), enough)], return_counts=True)
+                _meet(once, twice, h, many > 1, n_bits)
         size = BLOCK_BITS // 8
         for k in range(0, n_bits // 8, size):
             if once[k : k + size].any():
@@ -157,14 +168,9 @@ def count_lines(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.length(F.col(text)) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0
 
 
-def ranges(n_lines: int, bits_per_line: int = BITS_PER_LINE, max_bits: int = MAX_BITS) -> int:
-    """In how many ranges of hashes keys are taken."""
-    return max(1, -(-n_lines * bits_per_line // max_bits))
-
-
-def seen_twice(docs: DataFrame, text: str, min_chars: int, n_bits: int, part: int = 0, parts: int = 1) -> np.ndarray:
-    """The second filter of one range of keys, packed."""
-    filters = map_arrow(docs.select(text), _fill(text, min_chars, n_bits, part, parts), _FILTERS)
+def seen_twice(docs: DataFrame, text: str, min_chars: int, n_bits: int) -> np.ndarray:
+    """The second filter, packed."""
+    filters = map_arrow(docs.select(text), _fill(text, min_chars, n_bits), _FILTERS)
     merged = filters.groupBy("block").applyInArrow(_merge_blocks, _FILTERS)
     twice, size = np.zeros(n_bits // 8, np.uint8), BLOCK_BITS // 8
     for row in merged.select("block", "twice").toLocalIterator():  # of bounded size: one filter
@@ -172,16 +178,9 @@ def seen_twice(docs: DataFrame, text: str, min_chars: int, n_bits: int, part: in
     return twice
 
 
-class Twice:
-    """The second filter as broadcast."""
-
-    def __init__(self, filter_of_range: tuple[np.ndarray, int, int]):
-        self.packed, self.part, self.parts = filter_of_range
-        self.n_bits = len(self.packed) * 8
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        a, b = _bits(hashes, self.n_bits)
-        return _has(self.packed, a) & _has(self.packed, b) & (_in_range(hashes, self.part, self.parts) if self.parts > 1 else True)
+def _suspected(twice: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    a, b = _bits(hashes, len(twice) * 8)
+    return _has(twice, a) & _has(twice, b)
 
 
 def _digest(chunk: ts.Chunk, start: int, end: int) -> bytes:
@@ -192,12 +191,11 @@ def repeated_keys(docs: DataFrame, twice, *, text: str, min_docs: int, min_chars
     """SHA-256 of the keys that at least ``min_docs`` documents hold, counted exactly among suspected repeats."""
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Twice(twice.value)
         for batch in batches:
             for chunk in ts.chunks(batch.column(0)):
                 spans, starts, ends, hashes, enough = keys_of(chunk, min_chars)
                 at = _first_in_document(hashes, spans.owner(), enough)
-                at = at[known.has(hashes[at])]
+                at = at[_suspected(twice.value, hashes[at])]
                 digests = [_digest(chunk, a, b) for a, b in zip(starts[at], ends[at], strict=True)]
                 if digests:
                     counted = pa.table({"key": pa.array(digests, pa.binary()), "n": np.ones(len(at), np.int64)}).group_by("key").aggregate([("n", "sum")])
@@ -213,7 +211,31 @@ def _finish(chunk_raw: bytes, spans: ts.Spans, d: int, drop: np.ndarray) -> str:
     return b"\n".join([chunk_raw[spans.starts[i] : spans.ends[i]] for i in kept]).decode("utf-8", "replace")
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_chars: int = 1, bits_per_line: int = BITS_PER_LINE, max_bits: int = MAX_BITS, broadcast_keys: int = BROADCAST_KEYS, keep: str = "none") -> DataFrame:
+def _rewrite(columns: list[pa.Array], place: int, min_chars: int, choose: Callable[[ts.Chunk, ts.Spans, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> list[pa.Array]:
+    """The columns with the kept lines as text, and n_lines, n_dropped; ``choose`` says which lines of a chunk to drop."""
+    column = columns[place]
+    texts, n_lines, n_dropped = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    data, _ = ts.raw(column)
+    data, done = data.tobytes(), 0
+    for chunk in ts.chunks(column):
+        spans, starts, ends, hashes, enough = keys_of(chunk, min_chars)
+        drop = choose(chunk, spans, starts, ends, hashes, enough)
+        size = int(chunk.offsets[-1])
+        source = data[done : done + size]
+        done += size
+        total = np.concatenate([[0], np.cumsum(drop)])
+        lost = total[spans.bounds[1:]] - total[spans.bounds[:-1]]
+        n_lines.append(spans.counts())
+        n_dropped.append(lost)
+        texts += [_finish(source, spans, d, drop) if lost[d] else None for d in range(len(chunk))]
+    n_dropped = np.concatenate(n_dropped)
+    new = pc.if_else(pc.and_(pa.array(n_dropped > 0), column.is_valid()), pa.array(texts, pa.string()), column.cast(pa.string()))
+    return [*(new if k == place else c for k, c in enumerate(columns)), pa.array(np.concatenate(n_lines)), pa.array(n_dropped)]
+
+
+def dedup_lines(
+    docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_chars: int = 1, bits_per_line: int = BITS_PER_LINE, max_bits: int = MAX_BITS, broadcast_keys: int = BROADCAST_KEYS, block_lines: int = BLOCK_LINES, keep: str = "none"
+) -> DataFrame:
     """``docs`` with the kept lines as ``text`` (null stays null), and n_lines, n_dropped (longs).
 
     ``keep``: "none" drops all lines of a repeated key, "first" all but the first.
@@ -223,104 +245,153 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_
     spark = docs.sparkSession
     docs = without(docs, {"n_lines", "n_dropped"}, text)
     n_lines = count_lines(docs, text)
-    n_bits, parts = filter_bits(n_lines, bits_per_line, max_bits), ranges(n_lines, bits_per_line, max_bits)
-    if parts > 1 or keep == "first":
-        return _dedup_by_ranges(docs, text, min_docs, min_chars, n_bits, parts, keep)
-    twice = spark.sparkContext.broadcast((seen_twice(docs, text, min_chars, n_bits), 0, 1))
+    spread = lambda: _dedup_spread(docs, text, min_docs, min_chars, n_lines, bits_per_line, block_lines, keep)
+    if n_lines * bits_per_line > max_bits or keep == "first":
+        return spread()
+    twice = spark.sparkContext.broadcast(seen_twice(docs, text, min_chars, filter_bits(n_lines, bits_per_line, max_bits)))
     keys = materialise(repeated_keys(docs, twice, text=text, min_docs=min_docs, min_chars=min_chars), "repeated-lines")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    place = docs.columns.index(text)
-    if keys.count() <= broadcast_keys:
-        dropped = spark.sparkContext.broadcast(frozenset(keys.toArrow().column(0).to_pylist()))
-        discard(keys)
-
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, bad = Twice(twice.value), dropped.value
-            for batch in batches:
-                column = batch.column(place)
-                texts, n_lines, n_dropped = [], [], []
-                data, _ = ts.raw(column)
-                data, done = data.tobytes(), 0
-                for chunk in ts.chunks(column):
-                    spans, starts, ends, hashes, enough = keys_of(chunk, min_chars)
-                    drop = enough & known.has(hashes)
-                    for i in np.flatnonzero(drop):
-                        drop[i] = _digest(chunk, starts[i], ends[i]) in bad
-                    size = int(chunk.offsets[-1])
-                    source = data[done : done + size]
-                    done += size
-                    total = np.concatenate([[0], np.cumsum(drop)])
-                    lost = total[spans.bounds[1:]] - total[spans.bounds[:-1]]
-                    n_lines.append(spans.counts())
-                    n_dropped.append(lost)
-                    texts += [_finish(source, spans, d, drop) if lost[d] else None for d in range(len(chunk))]
-                n_dropped = np.concatenate(n_dropped or [np.zeros(0, np.int64)])
-                changed = pa.array(texts, pa.string())
-                new = pc.if_else(pa.array(n_dropped > 0), changed, column.cast(pa.string()))
-                columns = [new if k == place else c for k, c in enumerate(batch.columns)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(n_lines or [np.zeros(0, np.int64)])), pa.array(n_dropped)], names=schema.names)
-
-        return map_arrow(docs, apply, schema)
-    return _dedup_by_join(docs, keys, twice, text, min_chars)
-
-
-def _dedup_by_join(docs: DataFrame, keys: DataFrame, twice, text: str, min_chars: int) -> DataFrame:
-    """The way for any number of repeated keys: suspected lines meet the keys by shuffle, and the numbers of
-    the lines to drop go back to their documents."""
-    row = free_name(docs, "row_key")
-    # rows need an own key that holds over reruns, so they are written with it once
-    keyed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed-documents")
-    return _without(docs, keyed, _drops(keyed, keys, twice, text, min_chars, row), text, row)
-
-
-def _dedup_by_ranges(docs: DataFrame, text: str, min_docs: int, min_chars: int, n_bits: int, parts: int, keep: str) -> DataFrame:
-    """The same for more lines than one filter is for: a range of keys at a time, and only the lines to drop are kept of each."""
-    row = free_name(docs, "row_key")
-    keyed, drops = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "keyed-documents"), None
-    for part in range(parts):
-        twice = docs.sparkSession.sparkContext.broadcast((seen_twice(keyed, text, min_chars, n_bits, part, parts), part, parts))
-        keys = materialise(repeated_keys(keyed, twice, text=text, min_docs=min_docs, min_chars=min_chars), "repeated-lines")
-        own = materialise(_drops(keyed, keys, twice, text, min_chars, row, keep), "lines-to-drop")
+    if keys.count() > broadcast_keys:
         twice.destroy()
         discard(keys)
-        drops = own if drops is None else drops.union(own)
-    return _without(docs, keyed, drops, text, row)
+        return spread()
+    dropped = spark.sparkContext.broadcast(frozenset(keys.toArrow().column(0).to_pylist()))
+    discard(keys)
+    schema, place = _result(docs), docs.columns.index(text)
 
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad = dropped.value
 
-def _drops(keyed: DataFrame, keys: DataFrame, twice, text: str, min_chars: int, row: str, keep: str = "none") -> DataFrame:
-    """Numbers of the lines to drop, by row."""
-    suspects_schema = T.StructType([T.StructField(row, T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("key", T.BinaryType())])
+        def choose(chunk, spans, starts, ends, hashes, enough) -> np.ndarray:
+            drop = enough & _suspected(twice.value, hashes)
+            for i in np.flatnonzero(drop):
+                drop[i] = _digest(chunk, starts[i], ends[i]) in bad
+            return drop
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Twice(twice.value)
         for batch in batches:
-            rows = batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays(_rewrite(batch.columns, place, min_chars, choose), names=schema.names)
+
+    return map_arrow(docs, apply, schema)
+
+
+def _result(docs: DataFrame) -> T.StructType:
+    return T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+
+
+def _stretched(docs: DataFrame, text: str, row: str, stretch: str) -> DataFrame:
+    """Rows with a number that follows the order they are read in, and the number of their stretch: rows that begin in the
+    same ``STRETCH_BYTES`` of a partition, each counted with some bytes more so that stretches of short texts end too."""
+    place = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, T.StructField(row, T.LongType()), T.StructField(stretch, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, rows, size = TaskContext.get().partitionId() << 33, 0, 0
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+            begins = size + np.cumsum(sizes) - sizes
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + rows + np.arange(len(batch))), pa.array(first + begins // STRETCH_BYTES)], names=schema.names)
+            rows, size = rows + len(batch), size + int(sizes.sum())
+
+    return map_arrow(docs, run, schema)
+
+
+def _send(min_chars: int, blocks: int):
+    """Hashes of the keys of a stretch, by block: each once for a chunk, ``again`` where two documents of the chunk hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stretches = batch.column(1).to_numpy()
             for chunk in ts.chunks(batch.column(0)):
+                spans, _, _, hashes, enough = keys_of(chunk, min_chars)
+                owner = spans.owner()
+                at = _first_in_document(hashes, owner, enough)
+                own = stretches[chunk.first + owner[at]]
+                order = np.lexsort((hashes[at], own))
+                h, own = hashes[at][order], own[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+                begin = np.flatnonzero(new)
+                many, h = np.diff(np.append(begin, len(h))), h[begin]
+                block = (ts.mix(h) % np.uint64(blocks)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(own[begin]), pa.array(h.view(np.int64)), pa.array(many > 1)], names=_HASHES.names)
+
+    return run
+
+
+def _answer(n_bits: int):
+    """One block: fill its filters, then say which hashes of which stretch the second one has."""
+
+    def run(shares: pa.Table) -> pa.Table:
+        once, twice = np.zeros(n_bits // 8, np.uint8), np.zeros(n_bits // 8, np.uint8)
+        hashes = shares.column("hash").to_numpy().view(np.uint64)
+        h, place, many = np.unique(hashes, return_inverse=True, return_counts=True)
+        _meet(once, twice, h, (many > 1) | (np.bincount(place, shares.column("again").to_numpy(), len(h)) > 0), n_bits)
+        return shares.select(["stretch", "hash"]).filter(pa.array(_suspected(twice, hashes)))
+
+    return run
+
+
+def _column(rows: pa.Table, name: str) -> pa.Array:
+    found = rows.column(name).combine_chunks()
+    return pa.concat_arrays(found.chunks) if isinstance(found, pa.ChunkedArray) else found
+
+
+def _count(text: str, row: str, min_chars: int):
+    """Suspected repeats of a stretch by key: documents that hold it, and its first line."""
+
+    def run(key: tuple, answers: pa.Table, rows: pa.Table) -> pa.Table:
+        known, found = np.unique(answers.column("hash").to_numpy()).view(np.uint64), {}
+        if len(known) and len(rows):
+            number = rows.column(row).to_numpy()
+            for chunk in ts.chunks(_column(rows, text)):
                 spans, starts, ends, hashes, enough = keys_of(chunk, min_chars)
-                at = np.flatnonzero(enough & known.has(hashes))
-                owner = spans.owner()[at]
-                digests = [_digest(chunk, a, b) for a, b in zip(starts[at], ends[at], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[chunk.first + owner]), pa.array((at - spans.bounds[owner]).astype(np.int32)), pa.array(digests, pa.binary())], names=[row, "line", "key"])
+                owner = spans.owner()
+                at = _first_in_document(hashes, owner, enough)
+                for i in at[np.isin(hashes[at], known)]:
+                    n, h, first = found.get(digest := _digest(chunk, starts[i], ends[i]), (0, 0, None))
+                    own = int(number[chunk.first + owner[i]]), int(i - spans.bounds[owner[i]])
+                    found[digest] = n + 1, int(hashes[i : i + 1].view(np.int64)[0]), own if first is None else min(first, own)
+        counted = list(found.values())
+        return pa.table({
+            "stretch": pa.array([key[0].as_py()] * len(found), pa.int64()), "key": pa.array(list(found), pa.binary()), "hash": pa.array([h for _, h, _ in counted], pa.int64()),
+            "n": pa.array([n for n, _, _ in counted], pa.int64()), "row": pa.array([f[0] for _, _, f in counted], pa.int64()), "line": pa.array([f[1] for _, _, f in counted], pa.int64()),
+        })
 
-    met = map_arrow(keyed.select(text, row), suspects, suspects_schema).join(keys, "key")
-    if keep == "none":
-        return met.select(row, "line")
-    first = met.groupBy("key").agg(F.min(F.struct(row, "line")).alias("first"))
-    return met.join(first, "key").where(F.struct(row, "line") != F.col("first")).select(row, "line")
+    return run
 
 
-def _without(docs: DataFrame, keyed: DataFrame, lines_to_drop: DataFrame, text: str, row: str) -> DataFrame:
-    place = docs.columns.index(text)
-    mark = free_name(docs, "drops")
-    drops = lines_to_drop.groupBy(row).agg(F.collect_list("line").alias(mark))
-    joined = keyed.join(drops, row, "left")
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    dropped = F.coalesce(F.col(mark), F.array().cast("array<int>"))
-    left = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform(dropped, lambda i: i + 1))
-    kept = F.array_join(F.transform(left, lambda i: F.element_at(lines, i)), "\n")
-    others = [F.col(quoted(c)) for c in docs.columns]
-    others[place] = F.when(F.size(dropped) > 0, kept).otherwise(F.col(text)).alias(text)
-    return joined.select(*others, F.size(lines).cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"))
+def _drop(text: str, row: str, stretch: str, names: list[str], min_chars: int, keep: str):
+    """A stretch without the lines of its repeated keys."""
+
+    def run(key: tuple, repeated: pa.Table, rows: pa.Table) -> pa.Table:
+        known = np.unique(repeated.column("hash").to_numpy()).view(np.uint64)
+        first = dict(zip(repeated.column("key").to_pylist(), zip(repeated.column("row").to_pylist(), repeated.column("line").to_pylist(), strict=True), strict=True))
+        number, own = rows.column(row).to_numpy(), [c for c in rows.column_names if c not in (row, stretch)]
+
+        def choose(chunk, spans, starts, ends, hashes, enough) -> np.ndarray:
+            drop, owner = enough & np.isin(hashes, known), spans.owner()
+            for i in np.flatnonzero(drop):
+                kept = first.get(_digest(chunk, starts[i], ends[i]))
+                drop[i] = kept is not None and (keep == "none" or kept != (number[chunk.first + owner[i]], i - spans.bounds[owner[i]]))
+            return drop
+
+        return pa.table(_rewrite([_column(rows, c) for c in own], own.index(text), min_chars, choose), names=names)
+
+    return run
+
+
+def _dedup_spread(docs: DataFrame, text: str, min_docs: int, min_chars: int, n_lines: int, bits_per_line: int, block_lines: int, keep: str) -> DataFrame:
+    """The way without broadcasts: filters lie in blocks over the executors, hashes and answers go by shuffle."""
+    row, stretch, schema = free_name(docs, "row_number"), free_name(docs, "stretch"), _result(docs)
+    # stretches have to hold over reruns, so rows are written with them once
+    keyed = materialise(_stretched(docs, text, row, stretch), "stretches")
+    blocks = max(1, -(-n_lines // block_lines))
+    hashes = map_arrow(keyed.select(text, stretch), _send(min_chars, blocks), _HASHES)
+    answers = hashes.groupBy("block").applyInArrow(_answer(filter_bits(block_lines, bits_per_line)), _ANSWERS)
+    texts = keyed.select(text, row, stretch)
+    counts = materialise(answers.groupBy("stretch").cogroup(texts.groupBy(stretch)).applyInArrow(_count(text, row, min_chars), _COUNTS), "suspected-lines")
+    keys = counts.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("row", "line")).alias("first")).where(F.col("n") >= min_docs)
+    repeated = counts.select("stretch", "key", "hash").join(keys, "key").select("stretch", "key", "hash", "first.row", "first.line")
+    return repeated.groupBy("stretch").cogroup(keyed.groupBy(stretch)).applyInArrow(_drop(text, row, stretch, schema.names, min_chars, keep), schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

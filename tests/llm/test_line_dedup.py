@@ -1,7 +1,6 @@
 import hashlib
 import re
 
-import numpy as np
 import pytest
 
 from tallyloom.llm import line_dedup as ld
@@ -45,22 +44,32 @@ def test_query_and_empty(spark):
     assert ld.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize(("min_docs", "min_chars"), [(2, 1), (10, 1), (2, 0)])
-def test_many_lines_are_taken_in_ranges(spark, min_docs, min_chars):
-    docs = spark.createDataFrame(DOCS, "doc_id long, text string").repartition(3)
-    assert ld.ranges(ld.count_lines(docs, "text"), max_bits=512) > 1
-    rows = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in ld.dedup_lines(docs, min_docs=min_docs, min_chars=min_chars, max_bits=512).collect()), key=str)
-    assert rows == sorted(brute(DOCS, min_docs, min_chars), key=str)
-
-
-def test_filters_stay_sparse(spark):
-    docs = spark.createDataFrame([(i, "\n".join(f"line {i} {k}" for k in range(50))) for i in range(100)], "doc_id long, text string")
-    n, most = 5000, 1 << 14
-    parts = ld.ranges(n, max_bits=most)
-    assert parts == 5 and ld.ranges(1 << 30) == 32
-    for part in range(parts):
-        twice = ld.seen_twice(docs, "text", 1, ld.filter_bits(n, max_bits=most), part, parts)
-        assert np.unpackbits(twice).mean() < 0.05
+@pytest.mark.parametrize(("min_docs", "min_chars", "block_lines", "stretch"), [(2, 1, 1 << 20, 1 << 20), (10, 1, 4, 200), (2, 0, 7, 1), (3, 1, 1, 500)])
+def test_filters_over_the_executors(spark, monkeypatch, min_docs, min_chars, block_lines, stretch):
+    monkeypatch.setattr(ld, "STRETCH_BYTES", stretch)
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string").selectExpr("doc_id", "text", "'other' as N_LINES", "doc_id as Stretch", "text as key", "1 as hash").repartition(3)
+    got = ld.dedup_lines(docs, min_docs=min_docs, min_chars=min_chars, max_bits=512, block_lines=block_lines)
+    assert got.columns == ["doc_id", "text", "Stretch", "key", "hash", "n_lines", "n_dropped"]
+    rows = got.collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in rows), key=str) == sorted(brute(DOCS, min_docs, min_chars), key=str)
+    assert all(r.Stretch == r.doc_id and (r.text is None) == (r.key is None) for r in rows)
+
+
+def test_spread_rows_equal_the_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = lambda df: sorted(tuple(r) for r in df.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(text, 256)").collect())
+    assert rows(ld.dedup_lines(docs, max_bits=512, block_lines=500)) == rows(ld.dedup_lines(docs))
+    assert ld.dedup_lines(docs.limit(0), max_bits=0).count() == 0 and ld.dedup_lines(docs.limit(0), keep="first").count() == 0
+
+
+def test_only_suspects_come_back(spark):
+    """At 16 bits a line few lines that occur once are suspected, however many blocks the filters lie in."""
+    docs = spark.createDataFrame([(i, "\n".join(["shared", *(f"line {i} {k}" for k in range(50))])) for i in range(100)], "doc_id long, text string")
+    keyed = ld._stretched(docs, "text", "row", "stretch")
+    hashes = keyed.select("text", "stretch").mapInArrow(ld._send(1, 5), ld._HASHES)
+    assert hashes.select("block").distinct().count() == 5
+    answers = hashes.groupBy("block").applyInArrow(ld._answer(ld.filter_bits(1000)), ld._ANSWERS).collect()
+    assert len({r.stretch for r in answers}) == keyed.select("stretch").distinct().count() and len({r["hash"] for r in answers}) < 50
 
 
 @pytest.mark.parametrize(("min_docs", "max_bits"), [(2, 1 << 20), (10, 1 << 20), (2, 512)])
