@@ -18,7 +18,7 @@ is broadcast.  Rows are then dealt to stretches of about ``STRETCH_BYTES`` of wh
 2. A stretch counts its suspected repeats by key bytes, and the counts of all stretches are added up.
 3. Repeated keys go back to the stretches that hold them, with the place of their first line.
 
-That is three scans of the texts and two shuffles of them, whatever the number of lines.  A key in very many documents is a row for each
+After the count of lines and the writing of stretches, that is three scans of the texts and two shuffles of them, whatever the number of lines.  A key in very many documents is a row for each
 stretch, so no task holds more than a block's hashes or a stretch.
 
 Edge cases: a null or empty text is one empty line; every row counts as one document even if ids repeat;
