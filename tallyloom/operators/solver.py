@@ -158,9 +158,9 @@ def solve(df: DataFrame, *, question: str = "question", answer: str = "answer",
     total_examples and solver_notes.
 
     The first transform that explains every example is the rule; else the first that explains every example with the
-    question's operator.
+    question's operator.  Each row is solved once, as a list of one that is laid out: filters on what is found stay behind it.
     """
-    return df.withColumn("_solved", _solution(F.col(question), F.col(answer), F.col(examples))).withColumns({c: F.col(f"_solved.{c}") for c in SOLVED}).drop("_solved")
+    return df.select(*(c for c in df.columns if c not in SOLVED), F.inline(F.array(_solution(F.col(question), F.col(answer), F.col(examples)))))
 
 
 def reasoning_text(*, category: Column, question: Column, examples: Column, rule: Column, solver_answer: Column) -> Column:
