@@ -99,15 +99,19 @@ def clean_answer(text: Column) -> Column:
     return alphanumeric(chosen)
 
 
+#: ``fixed.EXPRESSION`` without steps back: a match starts where letters and digits start, and no part can give up what the next would take.
+_EXPRESSION = "(?<![A-Za-z0-9])" + fixed.EXPRESSION.replace("]+", "]++").replace(r"\s*", r"\s*+").replace("}", "}+")
+
+
 def parse_expression(text: Column) -> Column:
     """Struct (left, op, right) of the first expression, or null."""
     text = F.coalesce(text, F.lit(""))
-    parts = [F.regexp_extract(text, fixed.EXPRESSION, k).alias(n) for k, n in ((1, "left"), (2, "op"), (3, "right"))]
-    return F.when(text.rlike(fixed.EXPRESSION), F.struct(*parts))
+    parts = [F.regexp_extract(text, _EXPRESSION, k).alias(n) for k, n in ((1, "left"), (2, "op"), (3, "right"))]
+    return F.when(text.rlike(_EXPRESSION), F.struct(*parts))
 
 
 def operator_symbols(text: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(fixed.EXPRESSION), 2)
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_EXPRESSION), 2)
     return F.array_join(F.array_sort(F.array_distinct(found)), " ")
 
 

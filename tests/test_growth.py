@@ -1,7 +1,13 @@
 """Work that must not grow faster than the input: what a plan evaluates, and how often."""
 
+import random
+import re
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from tallyloom.functions import fixed, text
 from tallyloom.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +22,16 @@ def filters(df):
 def test_filters_do_not_solve_again(spark, name):
     found = filters(queries.QUERIES[name](spark, SF))
     assert found and not any("transform(" in f for f in found)
+
+
+def test_expressions_in_long_texts(spark):
+    """As the plain pattern finds them, without going back over a run of letters from each of its places."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices(["ab", "7", "c", " ", "+", "-", "*", "é", "_", "\n", "====", "?"], k=rnd.randint(0, 25))) for _ in range(600)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.operator_symbols(F.col("t")).alias("s"), text.parse_expression(F.col("t")).alias("e"))
+    for r in rows.collect():
+        want = [m.groups() for m in re.finditer(fixed.EXPRESSION, texts[r.i], re.A)]
+        assert r.s == " ".join(sorted({w[1] for w in want})) and (r.e is None if not want else tuple(r.e) == want[0])
+    began = time.time()
+    long = spark.range(1).select(F.concat(F.repeat(F.lit("x"), 400_000), F.lit(" a+b")).alias("t")).select(text.operator_symbols(F.col("t")).alias("s"))
+    assert long.first().s == "+" and time.time() - began < 20
