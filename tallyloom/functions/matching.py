@@ -81,3 +81,20 @@ def occurs(folded: Column, words: Column, pattern: str) -> Column:
     if left:
         tests.append(reduce(or_, gates) & found(folded, "|".join(left)))
     return reduce(or_, tests)
+
+
+def linear(pattern: str) -> str:
+    """An alternative that occurs where the given one does, and whose search doesn't go over a text again from each place.
+
+    Of a repetition at either end what must be there is enough.  Plain parts with ``.*`` between them are looked for once in each line, the
+    first of each behind the first of the one before.
+    """
+    parts = pattern.split(".*")
+    if len(parts) > 1 and all(re.fullmatch(r"[\w ]+|\[\w+\]", p) for p in parts):
+        return "(?m)^" + "".join(f"(?>.*?{p})" for p in parts)
+    return re.sub(r"^(\[[^]]*\]\{\d+),\}|(?<=[*+ ])(\[[^]]*\]\{\d+),\}$", lambda m: (m[1] or m[2]) + "}", pattern)
+
+
+def occurs_in(text: Column, lowered: Column, pattern: str) -> Column:
+    """Does the pattern occur in a text?  Each alternative is looked for behind a look for its plain texts in the text in lower case."""
+    return reduce(or_, (reduce(and_, [*(F.contains(lowered, F.lit(h)) for h in held(a)), found(text, linear(a))]) for a in alternatives(pattern)))

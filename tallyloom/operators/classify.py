@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.matching import fold, occurs, words_of
-from ..functions.text import any_of, found
+from ..functions.matching import fold, occurs, occurs_in, words_of
+from ..functions.text import any_of, found, let
 
 KEYWORDS = [*(p for ps in fixed.CATEGORY_PATTERNS.values() for p in ps), *(p for rules in fixed.SUBCATEGORY_PATTERNS.values() for _, p in rules)]
 
@@ -69,7 +69,7 @@ def labelled_set(classified, *, key: str = "problem_id", question: str = "questi
 
 def by_single_pattern(text: Column) -> Column:
     """First of six patterns, else ``other``."""
-    return F.coalesce(*(F.when(found(text, p), F.lit(name)) for name, p in fixed.SINGLE_PATTERNS), F.lit("other"))
+    return let(F.lower(text), lambda low: F.coalesce(*(F.when(occurs_in(text, low, p), F.lit(name)) for name, p in fixed.SINGLE_PATTERNS), F.lit("other")))
 
 
 def by_phrases(question: Column) -> Column:

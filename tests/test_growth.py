@@ -7,8 +7,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions import fixed, text
-from tallyloom.plans import queries
+from tallyloom.functions import fixed, matching, text
+from tallyloom.operators import classify, logprob
+from tallyloom.plans import derive, io_queries, queries
+from tallyloom.sources import ingest, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +37,17 @@ def test_expressions_in_long_texts(spark):
     began = time.time()
     long = spark.range(1).select(F.concat(F.repeat(F.lit("x"), 400_000), F.lit(" a+b")).alias("t")).select(text.operator_symbols(F.col("t")).alias("s"))
     assert long.first().s == "+" and time.time() - began < 20
+
+
+def test_single_patterns_in_long_lines(spark):
+    """As each pattern on its own finds them, without going over a line again from each place."""
+    rnd = random.Random(4)
+    pieces = [*"find value x solve equation bit shift binary number system each letter digit unique base 7 AB + cd AND or mod K".split(), "sum of", "send + more", "hand", "\n", "\n"]
+    texts = ["", *(" ".join(rnd.choices(pieces, k=rnd.randint(0, 7))) for _ in range(600))]
+    rows = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string")
+    for name, p in fixed.SINGLE_PATTERNS:
+        got = rows.select("t", text.found(F.col("t"), p).alias("a"), matching.occurs_in(F.col("t"), F.lower("t"), p).alias("b")).collect()
+        assert all(r.a == r.b for r in got) and any(r.a for r in got if r.t), name
+    began = time.time()
+    long = spark.createDataFrame([("+" + "x" * 400_000,), ("find value " * 20_000 + "\n",)], "t string").select(classify.by_single_pattern(F.col("t")).alias("c"))
+    assert [r.c for r in long.collect()] == ["other", "other"] and time.time() - began < 20
