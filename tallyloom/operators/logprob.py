@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import fixed
+from ..functions.text import let
 
 WINDOW = 100
 CONTEXT = 5
@@ -33,15 +34,15 @@ def answer_start(texts: Column) -> Column:
     A marker is complete where the last character of its first match ends up, so the first token whose
     running text holds the first match is looked up by prefix sums of token lengths.
     """
-    text = F.array_join(texts, "")
-    pattern = F.lit("(?id)" + fixed.MARKER)
-    start = F.regexp_instr(text, pattern)
-    end = start + F.length(F.regexp_substr(text, pattern)) - 1
-    sums = F.aggregate(
-        texts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(-1).alias("hit")),
-        lambda s, t: F.struct((s["at"] + F.length(t)).alias("at"), (s["n"] + 1).alias("n"), F.when((s["hit"] < 0) & (s["at"] + F.length(t) >= end), s["n"]).otherwise(s["hit"]).alias("hit")),
-    )
-    return F.when(start > 0, sums["hit"])
+    pattern = "(?id)" + fixed.MARKER
+
+    def hit(text: Column, start: Column) -> Column:
+        return let(start + F.length(F.regexp_extract(text, pattern, 0)) - 1, lambda end: F.aggregate(
+            texts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(-1).alias("hit")),
+            lambda s, t: F.struct((s["at"] + F.length(t)).alias("at"), (s["n"] + 1).alias("n"), F.when((s["hit"] < 0) & (s["at"] + F.length(t) >= end), s["n"]).otherwise(s["hit"]).alias("hit")),
+        )["hit"])
+
+    return let(F.array_join(texts, ""), lambda text: let(F.regexp_instr(text, F.lit(pattern)), lambda start: F.when(start > 0, hit(text, start))))
 
 
 def stats(df: DataFrame, *, logprobs: str = "token_logprobs", texts: str = "tokens") -> DataFrame:
@@ -49,7 +50,7 @@ def stats(df: DataFrame, *, logprobs: str = "token_logprobs", texts: str = "toke
     df = df.withColumn(logprobs, values(df, logprobs))
     lp, text = F.col(logprobs), F.col(texts)
     staged = df.withColumns({"_min": F.array_min(lp), "_start": answer_start(text)})
-    staged = staged.withColumns({"_at": F.array_position(lp, F.col("_min")).cast("int"), "_answer": F.when(F.col("_start") < F.size(lp), F.slice(lp, F.col("_start") + 1, F.size(lp)))})
+    staged = staged.withColumns({"_at": F.array_position(lp, F.col("_min")).cast("int"), "_answer": let(F.col("_start"), lambda at: F.when(at < F.size(lp), F.slice(lp, at + 1, F.size(lp))))})
     answer, at = F.col("_answer"), F.col("_at")
     first = F.greatest(F.lit(1), at - CONTEXT)
     out = staged.withColumns({

@@ -68,8 +68,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import text
 
     raw = F.col("raw_output")
-    rows = predictions(spark, sf_dir).withColumn("_x", text.extract_answer(raw))
-    rows = rows.withColumns({c: F.col(f"_x.{c}") for c in ("pred_answer", "reasoning_text", "final_answer_text")}).drop("_x")
+    rows = predictions(spark, sf_dir).select("*", F.inline(F.array(text.extract_answer(raw))))  # once for each row: filters on answers stay behind
     pred = F.col("pred_answer")
     return rows.withColumns({"is_correct": text.answers_match(pred, F.col("gold_answer")), "parse_success": pred.isNotNull(), "parse_error_type": text.parse_error_type(pred, raw)})
 

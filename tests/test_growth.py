@@ -51,3 +51,14 @@ def test_single_patterns_in_long_lines(spark):
     began = time.time()
     long = spark.createDataFrame([("+" + "x" * 400_000,), ("find value " * 20_000 + "\n",)], "t string").select(classify.by_single_pattern(F.col("t")).alias("c"))
     assert [r.c for r in long.collect()] == ["other", "other"] and time.time() - began < 20
+
+
+def test_answers_are_extracted_once(spark):
+    """Neither by filters below the step that deals rows over the cores, nor for a filter on the other side of the join."""
+    found = filters(queries.QUERIES["replay_manifest"](spark, SF))
+    assert found and not any("RLIKE" in f for f in found)
+
+
+def test_marker_of_an_answer_is_searched_once(spark):
+    made = spark.range(1).select(logprob.answer_start(F.array(F.lit("the answer "), F.lit("is b"))).alias("a"))
+    assert made._jdf.queryExecution().analyzed().toString().count("(?id)") == 2 and made.first().a == 1
