@@ -222,10 +222,11 @@ def _report_sql() -> str:
 
 
 def _report_inputs(spark, sf_dir) -> list:
-    joined = _joined(spark, sf_dir)
-    frames = [aggregate.rollup(derive.scored(spark, sf_dir), "category", "subcategory"), aggregate.with_priority(aggregate.failure_groups(joined)),
+    unread = ["reasoning_text", "final_answer_text", "lowest_logprob_token", "lowest_logprob_context", "left_context", "right_context"]
+    joined = written(_joined(spark, sf_dir).drop(*unread))
+    frames = [aggregate.rollup(joined, "category", "subcategory"), aggregate.with_priority(aggregate.failure_groups(joined)),
               aggregate.counts_with_share(failures.all_cases(joined, order="problem_id"), "category", "failure_type", within="category")]
-    return [*(written(df) for df in frames), written(joined.select("problem_id", "category", "is_correct", "answer_min_logprob"))]
+    return [*(written(df) for df in frames), joined.select("problem_id", "category", "is_correct", "answer_min_logprob")]
 
 
 @query(_report_sql())

@@ -62,3 +62,12 @@ def test_answers_are_extracted_once(spark):
 def test_marker_of_an_answer_is_searched_once(spark):
     made = spark.range(1).select(logprob.answer_start(F.array(F.lit("the answer "), F.lit("is b"))).alias("a"))
     assert made._jdf.queryExecution().analyzed().toString().count("(?id)") == 2 and made.first().a == 1
+
+
+def test_reports_join_once(spark, monkeypatch):
+    joined, calls = queries._joined, []
+    monkeypatch.setattr(io_queries, "_joined", lambda *a: calls.append("joined") or joined(*a))
+    monkeypatch.setattr(io_queries.derive, "scored", lambda *a, own=derive.scored: calls.append("scored") or own(*a))
+    summary, groups, kinds, scored = io_queries._report_inputs(spark, SF)
+    assert sorted(calls) == ["joined", "scored"]
+    assert all("Join" not in f._jdf.queryExecution().optimizedPlan().toString() for f in (summary, groups, kinds, scored))
