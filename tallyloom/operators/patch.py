@@ -114,7 +114,10 @@ def line_errors(value: Column) -> Column:
     return let(json_value(value), of)
 
 
-def check_file(spark: SparkSession, path: str) -> DataFrame:
-    """(_source_path, line, errors): every line of a patch that isn't blank, with what is wrong with it; a list, a number or broken JSON is an error."""
-    lines = read_lines(spark, path).where(F.btrim("value", F.lit(" \t\r")) != "")
+def check_file(spark: SparkSession, path: str, *, folders: bool = False) -> DataFrame:
+    """(_source_path, line, errors): every line of a patch that isn't blank, with what is wrong with it; a list, a number or broken JSON is an error.
+
+    With ``folders`` a patch is a folder, and its lines are numbered through its files by their names.
+    """
+    lines = read_lines(spark, path, folders=folders).where(F.btrim("value", F.lit(" \t\r")) != "")
     return lines.select("_source_path", F.col("_line").alias("line"), line_errors(F.col("value")).alias("errors"))

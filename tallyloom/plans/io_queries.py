@@ -69,11 +69,11 @@ def missing_inputs(spark, sf_dir):
 @query("""SELECT event_id, event_id % 4 AS part, row_number() OVER w + sum(CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) OVER w AS line
   FROM events WINDOW w AS (PARTITION BY event_id % 4 ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def line_numbers(spark, sf_dir):
-    """Numbers of lines in four files, with blank lines between them."""
+    """Numbers of lines in four folders of files, with blank lines between them."""
     path, rows = folder(spark), table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4).alias("part"))
     line = F.concat(F.when(F.col("event_id") % 10 == 0, "\n").otherwise(""), F.to_json(F.struct("event_id")))
-    rows.withColumn("value", line).repartition(4, "part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
-    read = ingest.read_jsonl(spark, path, "event_id long", line_numbers=True)
+    sinks.write_text_groups(rows.withColumn("value", line), path, "part", "event_id")
+    read = ingest.read_jsonl(spark, path, "event_id long", line_numbers=True, folders=True)
     return read.select("event_id", (F.col("event_id") % 4).alias("part"), F.col("_line").alias("line"))
 
 
@@ -160,11 +160,11 @@ _LINES = {
 
 @query(f"""SELECT o_orderkey % 3 AS part, row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) AS line, [{', '.join(duck.q(e) for e in _LINES.values())}][o_orderkey % {len(_LINES)} + 1] AS errors FROM orders""")
 def patch_file_checked(spark, sf_dir):
-    """Lines of every kind in three files, each judged under its number."""
+    """Lines of every kind in three folders of files, each judged under its number in its folder."""
     path, k = folder(spark), F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(k, (k % 3).alias("part"), derive.pick(k % len(_LINES), list(_LINES)).alias("value"))
-    rows.repartition(3, "part").sortWithinPartitions("part", "o_orderkey").select("part", "value").write.partitionBy("part").text(path)
-    checked = patch.check_file(spark, path)
+    sinks.write_text_groups(rows, path, "part", "o_orderkey")
+    checked = patch.check_file(spark, path, folders=True)
     return checked.select(F.regexp_extract("_source_path", r"part=(\d+)", 1).cast("long").alias("part"), "line", F.array_join("errors", "; ").alias("errors"))
 
 

@@ -44,8 +44,8 @@ def numbered(df: DataFrame, name: str = "_ord") -> DataFrame:
     return joined.select(*df.columns, (F.col("_before") + place).alias(name))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, _source_path, _line): lines of text files with their numbers from 1 in their file.
+def read_lines(spark: SparkSession, path: str, *, folders: bool = False) -> DataFrame:
+    """(value, _source_path, _line): lines of text files with their numbers from 1 in their file, with ``folders`` through a folder's files by their names.
 
     The files are scanned once, whatever blocks they are read in; blocks are counted in narrow columns of what the scan wrote.
     """
@@ -53,18 +53,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     scan = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_source_path"), F.col("_metadata.file_block_start").alias("_start"))
     at = written(scan.withColumn("_id", F.monotonically_increasing_id()))
     blocks = at.groupBy(*block).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))  # rows of a block follow each other
-    order = W.partitionBy("_source_path").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    whole = F.regexp_replace("_source_path", "[^/]*$", "") if folders else F.col("_source_path")
+    order = W.partitionBy(whole).orderBy(*block).rowsBetween(W.unboundedPreceding, -1)
     before = blocks.select(*block, (F.coalesce(F.sum("_n").over(order), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     return at.join(before, block).select("value", "_source_path", (F.col("_id") + F.col("_shift")).alias("_line"))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, *, strict: bool = True, ordered: bool = False, line_numbers: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, *, strict: bool = True, ordered: bool = False, line_numbers: bool = False, folders: bool = False) -> DataFrame:
     """Objects of a JSONL file with ``_source_path``; blank lines and other JSON values are skipped.
 
     ``strict`` raises for a malformed line with its file and, with ``line_numbers``, its number; otherwise such lines are skipped.
-    ``line_numbers`` adds ``_line``, ``ordered`` adds ``_ord``, the number among all lines that aren't blank.
+    ``line_numbers`` adds ``_line`` (with ``folders`` through each folder's files), ``ordered`` adds ``_ord``, the number among all lines that aren't blank.
     """
-    lines = read_lines(spark, path) if line_numbers else spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_source_path"))
+    lines = read_lines(spark, path, folders=folders) if line_numbers else spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_source_path"))
     place = F.concat("_source_path", F.lit(":"), F.col("_line").cast("string")) if line_numbers else F.col("_source_path")
     lines = lines.where(F.btrim("value", F.lit(" \t\r")) != "")
     lines = numbered(lines) if ordered else lines

@@ -26,6 +26,14 @@ def write_groups(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def write_text_groups(df: DataFrame, path: str, by: str, order: str) -> None:
+    """Lines in ``value`` as a folder of text files for each group of ``by``; in the order of the files' names, lines are in that of ``order``.
+
+    Groups are cut by ranges of ``order``, so a large one goes to several tasks and files.
+    """
+    df.repartitionByRange(by, order).sortWithinPartitions(by, order).select(by, "value").write.partitionBy(by).text(path)
+
+
 def export_csv(df: DataFrame, path: str, fields: list[str], order: list[str]) -> None:
     """A small result as one sorted CSV file with its header once."""
     df.select(*fields).coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

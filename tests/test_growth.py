@@ -71,3 +71,24 @@ def test_reports_join_once(spark, monkeypatch):
     summary, groups, kinds, scored = io_queries._report_inputs(spark, SF)
     assert sorted(calls) == ["joined", "scored"]
     assert all("Join" not in f._jdf.queryExecution().optimizedPlan().toString() for f in (summary, groups, kinds, scored))
+
+
+def test_a_group_of_lines_goes_to_several_tasks(spark, tmp_path):
+    """Lines are numbered through a group's files, in the order of their keys, blank ones included."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        k = F.col("id")
+        rows = spark.range(5000).select("id", (k % 2).alias("part"), F.concat(F.when(k % 10 == 0, "\n").otherwise(""), F.lit('{"id": '), k.cast("string"), F.lit("}")).alias("value"))
+        sinks.write_text_groups(rows.repartition(3), str(tmp_path / "out"), "part", "id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = ingest.read_jsonl(spark, str(tmp_path / "out"), "id long", line_numbers=True, folders=True)
+    assert read.select("_source_path").distinct().count() > 2
+    got = {r.id: r._line for r in read.select("id", "_line").collect()}
+    want = {}
+    for part in (0, 1):
+        n = 0
+        for i in range(part, 5000, 2):
+            n += 2 if i % 10 == 0 else 1
+            want[i] = n
+    assert got == want
