@@ -150,6 +150,7 @@ def overlaps(candidates: DataFrame, holdout: DataFrame, key: str, *, text: str =
         known = _each(known, F.col("_grams"))
         kept = rows.select(key, F.size("_grams").cast("long").alias("n_grams"), "_grams")
     else:
+        known = written(known)  # read twice
         filled = bloom.build(_each(known, F.col("_grams")), "_gram", bits)
         # of each candidate the number of grams and those that may be shared
         kept = written(rows.select(key, F.size("_grams").cast("long").alias("n_grams"), bloom.suspected(spark, filled, F.col("_grams")).alias("_grams")))

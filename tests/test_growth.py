@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import fixed, matching, text
-from tallyloom.operators import classify, logprob
+from tallyloom.operators import classify, gates, logprob
 from tallyloom.plans import derive, io_queries, queries
 from tallyloom.sources import ingest, sinks
 
@@ -92,3 +92,11 @@ def test_a_group_of_lines_goes_to_several_tasks(spark, tmp_path):
             n += 2 if i % 10 == 0 else 1
             want[i] = n
     assert got == want
+
+
+def test_grams_of_a_holdout_are_made_once(spark, monkeypatch):
+    own, kept = gates.written, []
+    monkeypatch.setattr(gates, "written", lambda df: kept.append(df.columns) or own(df))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x y z"), (3, "a b c q r s")], "id long, text string")
+    got = gates.overlaps(docs, spark.createDataFrame([("a b c d",)], "text string"), "id", n=3)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 4, 2), (3, 4, 1)] and kept == [["_grams"], ["id", "n_grams", "_grams"]]
